@@ -163,3 +163,20 @@ def byte_size(df: DataFrame, name: str) -> Column:
     width = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}.get(dtype.simpleString(), 8)
     return F.count(F.lit(1)) * F.lit(width)
 
+
+
+def with_distinct(df: DataFrame, columns: list[str], at_least: int) -> list[str]:
+    """Columns with at least ``at_least`` distinct values, exactly.
+
+    A sketch settles columns with plainly more; only the others are counted, and
+    those have so few values that partial aggregation leaves almost no shuffle.
+    """
+    if not columns:
+        return []
+    guess = df.agg(*[F.approx_count_distinct(col(c)).alias(str(i)) for i, c in enumerate(columns)]).first()
+    sure = {c for i, c in enumerate(columns) if guess[i] >= 10 * at_least}
+    unsure = [c for c in columns if c not in sure]
+    if unsure:
+        exact = distinct_and_mode(df, unsure).where(F.col("distinct") >= at_least).select("column").collect()
+        sure |= {r["column"] for r in exact}
+    return [c for c in columns if c in sure]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import profiling
+from plumbline.plans import cleaning, profiling
 from plumbline.plans.fixtures import Catalog
 
-CATALOG: Catalog = {**profiling.CATALOG}
+CATALOG: Catalog = {**profiling.CATALOG, **cleaning.CATALOG}
