@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.config import HealthByCount, HealthByShare, ProfileOptions
 from plumbline.functions.counts import (
@@ -305,16 +305,20 @@ def health_by_count(facts: DataFrame, w: HealthByCount = HealthByCount()) -> Dat
     return facts.select(F.round(F.greatest(F.lit(100.0) - loss, F.lit(0.0)), 2).alias("health_score"))
 
 
-def health_by_share(facts: DataFrame, w: HealthByShare = HealthByShare()) -> DataFrame:
-    """Score from shares, with a grade and a label; the default score."""
+def share_score(w: HealthByShare = HealthByShare()) -> Column:
+    """Score from shares, over the columns of ``dataset_facts``."""
     loss = (
         F.least(F.col("missing_pct") * w.per_missing_pct, F.lit(w.missing_cap))
         + F.least(F.col("duplicate_pct") * w.per_duplicate_pct, F.lit(w.duplicate_cap))
         + F.col("constant_columns") * w.per_constant_column
         + F.col("identifier_columns") * w.per_identifier_column
     )
-    score = F.round(F.least(F.greatest(F.lit(100.0) - loss, F.lit(0.0)), F.lit(100.0)), 2)
-    return facts.select(score.alias("health_score")).select(
+    return F.round(F.least(F.greatest(F.lit(100.0) - loss, F.lit(0.0)), F.lit(100.0)), 2)
+
+
+def health_by_share(facts: DataFrame, w: HealthByShare = HealthByShare()) -> DataFrame:
+    """Score from shares, with a grade and a label; the default score."""
+    return facts.select(share_score(w).alias("health_score")).select(
         "health_score",
         ladder(F.col("health_score"), [(t, g) for t, g, _ in w.grades]).alias("grade"),
         ladder(F.col("health_score"), [(t, label) for t, _, label in w.grades]).alias("label"),
