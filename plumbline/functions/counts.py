@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.config import LOOKUP_ROWS
-from plumbline.functions.schema import col, family, is_float
+from plumbline.functions.schema import col, family
 from plumbline.session import bounded
 
 # Keep generated code below the JVM's method limit on wide tables.
@@ -46,8 +46,6 @@ def _storage_kind(dtype: T.DataType) -> T.DataType:
     """Type under which columns of like kind share one grouping."""
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return T.LongType()
-    if is_float(dtype):
-        return T.DoubleType()
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
         return T.StringType()
     return dtype

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.plans import advising, charting, cleaning, profiling
+from plumbline.plans import advising, charting, cleaning, modelling, profiling
 from plumbline.plans.fixtures import Catalog
 
-CATALOG: Catalog = {**profiling.CATALOG, **cleaning.CATALOG, **charting.CATALOG, **advising.CATALOG}
+CATALOG: Catalog = {
+    **profiling.CATALOG,
+    **cleaning.CATALOG,
+    **charting.CATALOG,
+    **advising.CATALOG,
+    **modelling.CATALOG,
+}
