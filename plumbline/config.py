@@ -71,8 +71,8 @@ NUMBER_PATTERN = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$
 LOOKUP_ROWS = 100_000
 
 # Up to this many non-missing values per column, Spark's one-pass exact
-# percentile is used; beyond it, the multi-pass selection in functions.quantiles.
-IN_MEMORY_VALUES = 2_000_000
+# percentile is used; beyond it, the selection in functions.quantiles.
+IN_MEMORY_VALUES = 100_000
 
 
 def name_words(name: str) -> list[str]:

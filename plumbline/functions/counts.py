@@ -11,8 +11,8 @@ from plumbline.config import LOOKUP_ROWS
 from plumbline.functions.schema import col, family
 from plumbline.session import bounded
 
-# Keep generated code below the JVM's method limit on wide tables.
-CHUNK = 40
+# Aggregates with more buffers than this leave whole-stage code generation.
+MAX_BUFFERS = 96
 HASH_FIRST_ROWS = 2_000_000
 
 
@@ -20,26 +20,32 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def per_column(df: DataFrame, columns: list[str], measures: Callable[[str], dict[str, Column]]) -> DataFrame:
+def per_column(
+    df: DataFrame, columns: list[str], measures: Callable[[str], dict[str, Column]], buffers: int = 6
+) -> DataFrame:
     """``(column, *measures)``, one row per column, from one aggregate per chunk of columns.
 
-    Each chunk reads only its own columns, so chunks do not repeat I/O.
+    ``buffers`` is the number of aggregate buffers one column needs.  Each chunk
+    reads only its own columns, so chunks do not repeat I/O.
     """
     parts = []
-    for i in range(0, len(columns), CHUNK):
+    size = max(1, MAX_BUFFERS // buffers)
+    for i in range(0, len(columns), size):
         rows = [
             F.struct(F.lit(c).alias("column"), *[e.alias(k) for k, e in measures(c).items()])
-            for c in columns[i : i + CHUNK]
+            for c in columns[i : i + size]
         ]
         parts.append(df.agg(F.array(*rows).alias("rows")).select(F.inline("rows")))
     return union_all(parts)
 
 
-def column_facts(df: DataFrame, columns: list[str], measures: Callable[[str], dict[str, Column]]) -> dict[str, T.Row]:
+def column_facts(
+    df: DataFrame, columns: list[str], measures: Callable[[str], dict[str, Column]], buffers: int = 6
+) -> dict[str, T.Row]:
     """``per_column`` on the driver: as many rows as the table has columns."""
     if not columns:
         return {}
-    return {r["column"]: r for r in per_column(df, columns, measures).collect()}
+    return {r["column"]: r for r in per_column(df, columns, measures, buffers).collect()}
 
 
 def _storage_kind(dtype: T.DataType) -> T.DataType:

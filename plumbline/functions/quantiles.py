@@ -1,30 +1,37 @@
 """Exact quantiles whose memory does not grow with the data.
 
 Spark's ``percentile`` keeps every distinct value of a column in one task.  That
-is fine for a few million values and hopeless for a continuous column of a large
-table.  Beyond ``in_memory`` values this module selects instead:
+is fine for a few hundred thousand values and hopeless for a continuous column of
+a large table.  Beyond ``in_memory`` values this module selects instead, for all
+columns and probabilities together:
 
-1. ``percentile_approx`` gives, in bounded memory, two values that bracket each
-   wanted rank;
-2. one aggregate counts the values below, at and between the ends of each bracket;
-3. the wanted rank is an end, or lies strictly between them, where the next round
-   looks.  Every round shrinks the bracket by about ``accuracy / 4`` and drops both
-   ends, so ties cannot stall it.  Small brackets are finished exactly.
+1. two ends are found that should bracket each wanted rank: the edges of a bin of
+   an equal-width histogram, or, where bins are too full, two values of a
+   ``percentile_approx`` sketch;
+2. one grouped count tells how many values lie below, at and between the ends,
+   and, once few enough are expected between them, which values those are.
 
-All columns and all probabilities share the aggregates of a round.
+The counts are exact, so a wrong guess in the first step costs a round and never a
+wrong result.  The wanted value is an end, or one of the values counted between the
+ends, or lies strictly between them in a later round.  A round narrows a bracket
+some thousand times and drops both ends, so ties cannot stall it.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.config import IN_MEMORY_VALUES
 from plumbline.functions.schema import col
 
 ACCURACY = 10_000
-FINISH_ROWS = 100_000
+FINISH_ROWS = 1_000_000
+# Histogram bins per column, and over all columns (the bins reach the driver).
+BINS = 2048
+ALL_BINS = 200_000
 
 
 def exact_quantiles(
@@ -38,111 +45,204 @@ def exact_quantiles(
     """Linear-interpolated quantiles per column; ``None`` for an all-missing column."""
     if not columns:
         return {}
-    counts = value_counts_per_column(df, columns)
-    small = [c for c in columns if 0 < counts[c] <= in_memory]
+    row = df.agg(
+        *[
+            e.alias(f"{k}{i}")
+            for i, c in enumerate(columns)
+            for k, e in (("n", F.count(col(c))), ("lo", F.min(number(c))), ("hi", F.max(number(c))))
+        ]
+    ).first()
+    counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
+    ranges = {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    for group in _chunks(small, 50):
-        row = df.agg(
-            *[F.percentile(col(c).cast("double"), F.array(*map(F.lit, probs))).alias(str(i)) for i, c in enumerate(group)]
-        ).first()
-        for i, c in enumerate(group):
-            out[c] = list(row[i])
+    small = [c for c in columns if 0 < counts[c] <= in_memory]
+    if small:
+        wanted_probs = F.array(*map(F.lit, probs))
+        row = df.agg(*[F.percentile(number(c), wanted_probs).alias(str(i)) for i, c in enumerate(small)]).first()
+        out |= {c: list(row[i]) for i, c in enumerate(small)}
     large = [c for c in columns if counts[c] > in_memory]
     if large:
         wanted = {c: sorted({r for p in probs for r in _ranks(counts[c], p)}) for c in large}
-        stats = order_statistics(df, wanted, counts, finish, accuracy)
-        for c in large:
-            out[c] = [_interpolate(counts[c], p, stats[c]) for p in probs]
+        stats = order_statistics(df, wanted, counts, ranges, finish, accuracy)
+        out |= {c: [_interpolate(counts[c], p, stats[c]) for p in probs] for c in large}
     return out
 
 
-def value_counts_per_column(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    row = df.agg(*[F.count(col(c)).alias(str(i)) for i, c in enumerate(columns)]).first()
-    return {c: row[i] for i, c in enumerate(columns)}
+def number(name: str) -> Column:
+    return col(name).cast("double")
+
+
+@dataclass
+class _Target:
+    """A wanted rank and the open interval it is known to lie in."""
+
+    column: str
+    rank: int
+    size: int
+    below: int = 0
+    low: float | None = None
+    high: float | None = None
+    ends: tuple[float, float] = (0.0, 0.0)
+    expected: float = 0.0
 
 
 def order_statistics(
     df: DataFrame,
     wanted: dict[str, list[int]],
     counts: dict[str, int],
+    ranges: dict[str, tuple[float, float]],
     finish: int = FINISH_ROWS,
     accuracy: int = ACCURACY,
 ) -> dict[str, dict[int, float]]:
     """Value at each 0-based rank, per column."""
     found: dict[str, dict[int, float]] = {c: {} for c in wanted}
-    # one open bracket per wanted rank: (column, rank, rank in bracket, size, low, high)
-    todo = [(c, r, r, counts[c], None, None) for c, ranks in wanted.items() for r in ranks]
+    todo = [_Target(c, r, counts[c]) for c, ranks in wanted.items() for r in ranks]
+    by_bins = [t for t in todo if 0 < ranges[t.column][1] - ranges[t.column][0] < math.inf]
+    by_sketch = [t for t in todo if t not in by_bins]
     while todo:
-        small = [t for t in todo if t[3] <= finish]
-        large = [t for t in todo if t[3] > finish]
-        if small:
-            exprs = [
-                F.sort_array(F.collect_list(F.when(_inside(c, lo, hi), col(c).cast("double"))))[k].alias(str(i))
-                for i, (c, _, k, _, lo, hi) in enumerate(small)
-            ]
-            row = df.agg(*exprs).first()
-            for i, (c, r, *_) in enumerate(small):
-                found[c][r] = row[i]
-        todo = _narrow(df, large, found, accuracy) if large else []
+        if by_bins:
+            _bracket_by_bins(df, by_bins, ranges)
+        by_sketch += [t for t in by_bins if t.expected > t.size / 64]
+        if by_sketch:
+            _bracket_by_sketch(df, by_sketch, accuracy)
+        with_values = sum({(t.column, t.ends): t.expected for t in todo}.values()) <= finish
+        tally = _tally(df, todo, with_values)
+        todo = [t for t in todo if not _resolve(t, tally[t.column], found)]
+        by_bins, by_sketch = [], list(todo)
     return found
 
 
-def _narrow(df, todo, found, accuracy):
+def _values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(id, v)``: one row per value, the column as its position from 1.
+
+    Expressions on these two columns are compiled once, not once per column.
+    """
+    named = df.select(*[number(c).alias(str(i + 1)) for i, c in enumerate(columns)])
+    if len(columns) == 1:
+        rows = named.select(F.lit(1).alias("id"), F.col("1").alias("v"))
+    else:
+        rows = named.unpivot([], named.columns, "id", "v").select(F.col("id").cast("int").alias("id"), "v")
+    return rows.where("v is not null")
+
+
+def _per_id(values: list) -> Column:
+    """The value that belongs to a row's ``id``."""
+    return F.element_at(F.array(*map(F.lit, values)), F.col("id"))
+
+
+def _bracket_by_bins(df: DataFrame, todo: list[_Target], ranges: dict) -> None:
+    """Set two ends around each target: the edges of its bin."""
+    columns = list(dict.fromkeys(t.column for t in todo))
+    bins = max(64, min(BINS, ALL_BINS // len(columns)))
+    low = [ranges[c][0] for c in columns]
+    width = [(ranges[c][1] - ranges[c][0]) / bins for c in columns]
+    place = F.least(F.floor((F.col("v") - _per_id(low)) / _per_id([w or 1.0 for w in width])), F.lit(bins - 1))
+    rows = _values(df, columns).groupBy("id", place.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: r["bin"]):
+        counts.setdefault(r["id"], []).append((r["bin"], r["n"]))
+    for t in todo:
+        i, below = columns.index(t.column), 0
+        for b, n in counts[i + 1]:
+            if t.rank < below + n:
+                break
+            below += n
+        edges = (low[i] + b * width[i], low[i] + (b + 1) * width[i])
+        t.ends = (edges[0], ranges[t.column][1] if b == bins - 1 else edges[1])
+        t.expected = n
+
+
+def _bracket_by_sketch(df: DataFrame, todo: list[_Target], accuracy: int) -> None:
+    """Set two ends around each target: one sketch per column and interval."""
     margin = 2.0 / accuracy
+    spans: dict[tuple, list[_Target]] = {}
+    for t in todo:
+        spans.setdefault((t.column, t.low, t.high), []).append(t)
     sketches = []
-    for i, (c, _, k, m, lo, hi) in enumerate(todo):
-        p = k / (m - 1)
-        ends = F.array(F.lit(max(0.0, p - margin)), F.lit(min(1.0, p + margin)))
-        v = F.when(_inside(c, lo, hi), col(c).cast("double"))
+    for i, ((c, low, high), targets) in enumerate(spans.items()):
+        v = _within(number(c), low, high)
+        shares = [(t.rank - t.below) / max(1, t.size - 1) for t in targets]
+        probs = [F.lit(min(1.0, max(0.0, p + d))) for p in shares for d in (-margin, margin)]
         sketches += [
-            F.percentile_approx(v, ends, F.lit(accuracy)).alias(f"q{i}"),
+            F.percentile_approx(v, F.array(*probs), F.lit(accuracy)).alias(f"q{i}"),
             F.min(v).alias(f"lo{i}"),
             F.max(v).alias(f"hi{i}"),
         ]
     row = df.agg(*sketches).first()
-    brackets = []
-    for i, (_, _, k, m, _, _) in enumerate(todo):
-        p = k / (m - 1)
-        a = row[f"q{i}"][0] if p - margin > 0 else row[f"lo{i}"]
-        b = row[f"q{i}"][1] if p + margin < 1 else row[f"hi{i}"]
-        brackets.append((a, b))
-    tallies = []
-    for i, ((c, _, _, _, lo, hi), (a, b)) in enumerate(zip(todo, brackets)):
-        v, seen = col(c).cast("double"), _inside(c, lo, hi)
-        tallies += [
-            F.count_if(seen & (v < a)).alias(f"below{i}"),
-            F.count_if(v == a).alias(f"low{i}"),
-            F.count_if((v > a) & (v < b)).alias(f"mid{i}"),
-            F.count_if(v == b).alias(f"high{i}"),
+    for i, targets in enumerate(spans.values()):
+        for j, t in enumerate(targets):
+            p = (t.rank - t.below) / max(1, t.size - 1)
+            a, b = row[f"q{i}"][2 * j : 2 * j + 2]
+            t.ends = (a if p > margin else row[f"lo{i}"], b if p < 1 - margin else row[f"hi{i}"])
+            t.expected = t.size if t.size < 2 * accuracy else 2 * margin * t.size
+
+
+def _tally(df: DataFrame, todo: list[_Target], with_values: bool) -> dict[str, list[tuple]]:
+    """``(low, high, value, n)`` per column in ascending order, over all its values.
+
+    A row is a single value (``value`` set) or an open interval between two ends.
+    With ``with_values`` the intervals inside brackets come as single values.
+    """
+    columns = list(dict.fromkeys(t.column for t in todo))
+    ends = {c: sorted({e for t in todo if t.column == c for e in t.ends}) for c in columns}
+    most = max(map(len, ends.values()))
+    v, place = F.col("v"), F.lit(0)
+    for j in range(most):
+        end = _per_id([ends[c][j] if j < len(ends[c]) else math.nan for c in columns])
+        place = place + (v > end).cast("int") + (v >= end).cast("int")
+    values = _values(df, columns).select("id", "v", place.alias("place"))
+    keep = F.lit(None).cast("double")
+    if with_values:
+        inside = [
+            any(t.column == c and t.ends[0] <= a and b <= t.ends[1] for t in todo)
+            for c in columns
+            for a, b in _gaps(ends[c], most)
         ]
-    row = df.agg(*tallies).first()
-    left = []
-    for i, ((c, r, k, m, lo, hi), (a, b)) in enumerate(zip(todo, brackets)):
-        below, low, mid, high = (row[f"{n}{i}"] for n in ("below", "low", "mid", "high"))
-        if a == b:
-            high = 0
-        if k < below:  # sketch error beyond its bound: stay in the lower part
-            left.append((c, r, k, below, lo, a))
-        elif k < below + low:
-            found[c][r] = a
-        elif k < below + low + mid:
-            left.append((c, r, k - below - low, mid, a, b))
-        elif k < below + low + mid + high:
-            found[c][r] = b
+        at = (F.col("id") - 1) * (most + 1) + F.floor(F.col("place") / 2) + 1
+        gap = F.col("place") % 2 == 0
+        keep = F.when(gap & F.element_at(F.array(*map(F.lit, inside)), at.cast("int")), v)
+    rows = values.groupBy("id", "place", keep.alias("value")).agg(F.count(F.lit(1)).alias("n")).collect()
+    out: dict[str, list[tuple]] = {c: [] for c in columns}
+    for r in sorted(rows, key=lambda r: (r["place"], -math.inf if r["value"] is None else r["value"])):
+        c = columns[r["id"] - 1]
+        (j, at_end), at = divmod(r["place"], 2), ends[c]
+        if at_end:
+            out[c].append((None, None, at[j], r["n"]))
         else:
-            rest = below + low + mid + high
-            left.append((c, r, k - rest, m - rest, b, hi))
-    return left
+            low = at[j - 1] if j else None
+            high = at[j] if j < len(at) else None
+            out[c].append((low, high, r["value"], r["n"]))
+    return out
+
 
+def _gaps(ends: list[float], most: int) -> list[tuple[float, float]]:
+    """The open intervals below, between and above the ends, padded to a common count."""
+    edges = [-math.inf, *ends, *[math.inf] * (most + 1 - len(ends))]
+    return list(zip(edges, edges[1:]))
 
-def _inside(c, lo, hi):
-    v = col(c).cast("double")
-    cond = v.isNotNull()
-    if lo is not None:
-        cond = cond & (v > F.lit(lo))
-    if hi is not None:
-        cond = cond & (v < F.lit(hi))
-    return cond
+
+def _resolve(t: _Target, tally: list[tuple], found: dict) -> bool:
+    below = 0
+    for low, high, value, n in tally:
+        if t.rank < below + n:
+            if value is not None:
+                found[t.column][t.rank] = value
+                return True
+            t.low, t.high, t.below, t.size = low, high, below, n
+            return False
+        below += n
+    raise AssertionError("rank beyond the number of values")
+
+
+def _within(v: Column, low: float | None, high: float | None) -> Column:
+    if low is None and high is None:
+        return v
+    cond = F.lit(True)
+    if low is not None:
+        cond = cond & (v > F.lit(low))
+    if high is not None:
+        cond = cond & (v < F.lit(high))
+    return F.when(cond, v)
 
 
 def _ranks(n: int, p: float) -> set[int]:
@@ -156,7 +256,3 @@ def _interpolate(n: int, p: float, stats: dict[int, float]) -> float:
     if lo == hi:
         return stats[lo]
     return (hi - pos) * stats[lo] + (pos - lo) * stats[hi]
-
-
-def _chunks(items, size):
-    return [items[i : i + size] for i in range(0, len(items), size)]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.functions.counts import column_facts, per_column, union_all, value_counts, with_distinct
 from plumbline.functions.exprs import to_time
+from plumbline.functions.moments import pair_moments
 from plumbline.functions.quantiles import exact_quantiles
 from plumbline.functions.schema import DATETIME, NUMERIC, TEXT, col, columns_of, nan_to_null
 from plumbline.operators.profile import fences, outside
@@ -290,25 +291,16 @@ def pair_columns(df: DataFrame, at_most: int = 5, min_distinct: int = 6) -> list
 def scatter_ols(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Least-squares line and r for every pair of the first few numeric columns.
 
-    Rows missing either side are skipped per pair; all pairs share one aggregate.
+    Rows missing either side are skipped per pair; all pairs share their scans.
     """
     df = nan_to_null(df)
     pairs = list(combinations(columns or pair_columns(df), 2))
-    rows = []
-    for x, y in pairs:
-        a, b = col(x).cast("double"), col(y).cast("double")
-        rows.append(
-            F.struct(
-                F.lit(x).alias("x"),
-                F.lit(y).alias("y"),
-                F.regr_count(b, a).alias("n"),
-                F.round(F.regr_slope(b, a), 6).alias("slope"),
-                F.round(F.regr_intercept(b, a), 4).alias("intercept"),
-                F.round(F.regr_r2(b, a), 6).alias("r2"),
-                F.round(F.corr(a, b), 2).alias("r"),
-            )
-        )
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    rows = [(x, y, m.n, m.slope, m.intercept, m.r2, m.r) for (x, y), m in pair_moments(df, pairs).items()]
+    fits = df.sparkSession.createDataFrame(
+        rows, "x string, y string, n bigint, slope double, intercept double, r2 double, r double"
+    )
+    digits = {"slope": 6, "intercept": 4, "r2": 6, "r": 2}
+    return fits.withColumns({c: F.round(c, k) for c, k in digits.items()})
 
 
 def point_sample(df: DataFrame, key: str, columns: list[str], rows: int = 1000, seed: int = 42) -> DataFrame:

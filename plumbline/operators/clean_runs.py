@@ -133,7 +133,7 @@ def _settle_columns(df, o, log):
             **clean.fingerprint_measures(v),
         }
 
-    facts = column_facts(df, names, measures)
+    facts = column_facts(df, names, measures, buffers=10)
     log.columns("title_case", "changed", {c: f["changed"] for c, f in facts.items() if f["changed"]})
     keep = {c: value[c] for c in df.columns}
     if o.drop_constant:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.storagelevel import StorageLevel
+from pyspark.util import inheritable_thread_target
 
 from plumbline.functions.schema import col, nan_to_null
 from plumbline.operators import knn
@@ -42,6 +44,8 @@ from plumbline.operators.ml_prepare import (
 from plumbline.session import materialize
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
+# Rounds of reweighting between two writes of the weighted rows.
+ROUNDS_PER_CUT = 8
 
 
 @dataclass(frozen=True)
@@ -175,12 +179,13 @@ def _fit_svm(task):
     return fit
 
 
-def _fit_ada_classify(train, s, info):
-    """SAMME: each round reweights the rows the round got wrong.
+def _next_round(rows: DataFrame, i: int) -> DataFrame:
+    """Reweighted rows; written every few rounds, so the plan does not grow with the rounds."""
+    return materialize(rows, "boost") if i % ROUNDS_PER_CUT == ROUNDS_PER_CUT - 1 else rows
 
-    Weights are kept in a written table per round, so neither the plan nor the
-    recovery of a lost executor grows with the rounds.
-    """
+
+def _fit_ada_classify(train, s, info):
+    """SAMME: each round reweights the rows the round got wrong."""
     k, out = max(2, info["classes"]), Fitted("ada_classify", CLASSIFICATION, extra={"classes": max(2, info["classes"])})
     rows = train.withColumn("__w", F.lit(1.0))
     for i in range(s.ada_rounds):
@@ -195,9 +200,8 @@ def _fit_ada_classify(train, s, info):
         out.weights.append(alpha)
         if e <= 1e-10 or i + 1 == s.ada_rounds:
             break
-        rows = materialize(
-            judged.withColumn("__w", F.col("__w") * F.when(wrong, math.exp(alpha)).otherwise(1.0)).select(*rows.columns), "ada"
-        )
+        judged = judged.withColumn("__w", F.col("__w") * F.when(wrong, math.exp(alpha)).otherwise(1.0))
+        rows = _next_round(judged.select(*rows.columns), i)
     if not out.stages:
         out.stages, out.weights = [tree], [1.0]
     return out
@@ -220,9 +224,8 @@ def _fit_ada_regress(train, s, info):
         out.weights.append(math.log(1.0 / beta) if loss < 0.5 else 1.0)
         if loss == 0.0 or loss >= 0.5 or i + 1 == s.ada_rounds:
             break
-        rows = materialize(
-            judged.withColumn("__w", F.col("__w") * F.pow(F.lit(beta), 1.0 - F.col("__e") / top)).select(*rows.columns), "ada"
-        )
+        judged = judged.withColumn("__w", F.col("__w") * F.pow(F.lit(beta), 1.0 - F.col("__e") / top))
+        rows = _next_round(judged.select(*rows.columns), i)
     return out
 
 
@@ -347,11 +350,13 @@ def training_set(df: DataFrame, target: str, features: list[str], key: str, task
 
 def fit(data: TrainingSet, name: str, settings: ModelSettings = ModelSettings()) -> Fitted:
     fitters = CLASSIFIERS if data.task == CLASSIFICATION else REGRESSORS
-    train = data.train.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = data.train.storageLevel.useMemory
+    train = data.train if kept else data.train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return fitters[name](train, settings, data.info)
     finally:
-        train.unpersist()
+        if not kept:
+            train.unpersist()
 
 
 def evaluate(data: TrainingSet, model: Fitted) -> DataFrame:
@@ -367,22 +372,34 @@ def fit_and_evaluate(data: TrainingSet, name: str, settings: ModelSettings = Mod
 
 
 def leaderboard(
-    data: TrainingSet, settings: ModelSettings = ModelSettings(), names: list[str] | None = None
+    data: TrainingSet,
+    settings: ModelSettings = ModelSettings(),
+    names: list[str] | None = None,
+    parallelism: int = 4,
 ) -> tuple[DataFrame, dict[str, Fitted]]:
     """Every model on the same split, best first; the first of equals wins.
 
-    Fits run one after another, each using the whole cluster.
+    A few fits run side by side, because boosting is a long row of small jobs that
+    leaves a cluster idle; the training rows are cached once for all of them.
     """
-    fitters = CLASSIFIERS if data.task == CLASSIFICATION else REGRESSORS
-    best_by = "accuracy" if data.task == CLASSIFICATION else "r2"
-    models, rows = {}, []
-    for i, name in enumerate(names or list(fitters)):
-        models[name] = fit(data, name, settings)
-        m = evaluate(data, models[name]).first().asDict()
-        rows.append((i, name, name in APPROXIMATE, *m.values()))
-        schema = "position int, model string, approximate boolean, " + ", ".join(f"{k} double" for k in m)
-    board = data.train.sparkSession.createDataFrame(rows, schema)
-    return board.orderBy(F.desc(best_by), "position").drop("position"), models
+    names = names or list(CLASSIFIERS if data.task == CLASSIFICATION else REGRESSORS)
+    spark = data.train.sparkSession
+
+    def run(name):
+        model = fit(data, name, settings)
+        return model, evaluate(data, model).first().asDict()
+
+    data.train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            found = list(pool.map(inheritable_thread_target(spark)(run), names))
+    finally:
+        data.train.unpersist()
+    rows = [(i, n, n in APPROXIMATE, *m.values()) for i, (n, (_, m)) in enumerate(zip(names, found))]
+    metrics = list(found[0][1])
+    schema = "position int, model string, approximate boolean, " + ", ".join(f"{k} double" for k in metrics)
+    board = spark.createDataFrame(rows, schema).orderBy(F.desc(metrics[0]), "position").drop("position")
+    return board, {n: model for n, (model, _) in zip(names, found)}
 
 
 # --- scoring -----------------------------------------------------------------

@@ -20,6 +20,7 @@ from plumbline.functions.counts import (
     per_column,
 )
 from plumbline.functions.exprs import ladder, percent
+from plumbline.functions.moments import pair_moments
 from plumbline.functions.quantiles import exact_quantiles
 from plumbline.functions.schema import BOOLEAN, DATETIME, NUMERIC, TEXT, col, columns_of, nan_to_null
 from plumbline.operators.roles import constant_measures, identifier_names
@@ -80,7 +81,7 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None, digits: int =
             **{k: F.round(e, digits) for k, e in stats.items()},
         }
 
-    return per_column(df, columns, measures)
+    return per_column(df, columns, measures, buffers=12)
 
 
 def categorical_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -161,7 +162,7 @@ def column_profile(df: DataFrame, options: ProfileOptions = DEFAULT) -> DataFram
             "outliers": out.cast("bigint"),
         }
 
-    facts = per_column(df, names, measures)
+    facts = per_column(df, names, measures, buffers=14)
     is_numeric = F.col("column").isin(*numeric)
     return facts.join(distinct_and_mode(df, names), "column").select(
         "column",
@@ -209,20 +210,15 @@ def storage_estimate(df: DataFrame, options: ProfileOptions = DEFAULT) -> DataFr
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, digits: int = 4) -> DataFrame:
     """Pearson r for every unordered pair of varying numeric columns.
 
-    All pairs are expressions of one aggregate; rows missing either side are
-    skipped per pair.  ``rank`` orders by strength, ``signed_rank`` by r itself.
+    All pairs share the scans of ``functions.moments``; rows missing either side
+    are skipped per pair.  ``rank`` orders by strength, ``signed_rank`` by r itself.
     """
     df = nan_to_null(df)
     columns = columns or columns_of(df, NUMERIC)
     facts = column_facts(df, columns, lambda c: {"varies": F.coalesce(F.min(col(c)) < F.max(col(c)), F.lit(False))})
     pairs = list(combinations([c for c in columns if facts[c]["varies"]], 2))
-    schema = "column_a string, column_b string, r double"
-    found = []
-    for i in range(0, len(pairs), 150):
-        part = pairs[i : i + 150]
-        row = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(str(j)) for j, (a, b) in enumerate(part)]).first()
-        found += [(a, b, row[j]) for j, (a, b) in enumerate(part)]
-    r = df.sparkSession.createDataFrame(found, schema).where("r is not null and not isnan(r)")
+    found = [(a, b, m.r) for (a, b), m in pair_moments(df, pairs).items() if m.r is not None]
+    r = df.sparkSession.createDataFrame(found, "column_a string, column_b string, r double")
     r = r.withColumn("r", F.round("r", digits))
     return r.select(
         "*",

@@ -114,17 +114,13 @@ def parts_set(spark, sf):
     )
 
 
-def _both(classifier, regressor):
-    """Metrics of one model family on both tasks, where it has both."""
+def _model(make, name):
+    """Test-set metrics of one model, in long form."""
 
     def run(spark, sf):
-        parts = []
-        for make, name in ((docs_set, classifier), (parts_set, regressor)):
-            if name:
-                m = ml_models.fit_and_evaluate(make(spark, sf), name)
-                head = ("model", "task", "approximate")
-                parts.append(m.unpivot(list(head), [c for c in m.columns if c not in head], "metric", "value"))
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        m = ml_models.fit_and_evaluate(make(spark, sf), name)
+        head = ["model", "task", "approximate"]
+        return m.unpivot(head, [c for c in m.columns if c not in head], "metric", "value")
 
     return run
 
@@ -145,6 +141,18 @@ def _rejected(spark, sf):
     return ml_models.rejected_rows(table(spark, sf, "dirty_orders"), prep).select("o_orderkey", "reason")
 
 
+_FAMILIES = {
+    "decision_tree": "decision_tree",
+    "random_forest": "random_forest",
+    "extra_trees": "extra_trees",
+    "gbt": "gradient_boosting",
+    "adaboost": "adaboost",
+    "svm": "svm",
+    "knn": "knn",
+}
+_CLASSIFIERS = {"logistic": "logistic_regression", **_FAMILIES}
+_REGRESSORS = {"linear": "linear_regression", **_FAMILIES}
+
 CATALOG: Catalog = {
     "label_encode": Query(
         lambda spark, sf: ml_prepare.label_encode(table(spark, sf, "dirty_orders"), list(_CODED)),
@@ -221,15 +229,8 @@ CATALOG: Catalog = {
             WHEN o_orderpriority NOT IN (SELECT o_orderpriority FROM orders) THEN 'unseen: o_orderpriority' END AS reason
           FROM dirty_orders) SELECT * FROM u WHERE reason IS NOT NULL""",
     ),
-    "ml_logistic": Query(_both("logistic_regression", None)),
-    "ml_linear_parts": Query(_both(None, "linear_regression")),
-    "ml_decision_tree": Query(_both("decision_tree", "decision_tree")),
-    "ml_random_forest": Query(_both("random_forest", "random_forest")),
-    "ml_extra_trees": Query(_both("extra_trees", "extra_trees")),
-    "ml_gbt": Query(_both("gradient_boosting", "gradient_boosting")),
-    "ml_adaboost": Query(_both("adaboost", "adaboost")),
-    "ml_svm": Query(_both("svm", "svm")),
-    "ml_knn": Query(_both("knn", "knn")),
+    **{f"ml_{key}": Query(_model(docs_set, name)) for key, name in _CLASSIFIERS.items()},
+    **{f"ml_{key}_regression": Query(_model(parts_set, name)) for key, name in _REGRESSORS.items()},
     "model_leaderboard": Query(_leaderboard(docs_set)),
     "model_leaderboard_regression": Query(_leaderboard(parts_set)),
     "batch_score": Query(_batch_score),

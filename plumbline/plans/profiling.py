@@ -148,6 +148,22 @@ def _parsed(c):
 
 _DATES = [c for c, t in ORDERS.items() if t in ("string", "timestamp_ntz")]
 
+
+def _outliers_sql(columns, source):
+    return each(
+        numeric(columns),
+        lambda c: f"""
+        SELECT '{c}' AS "column", count({c}) AS "values", CAST({outlier_count_sql(c, source)} AS BIGINT) AS outliers,
+          {pct(outlier_count_sql(c, source), f"count({c})")} AS outlier_pct,
+          round(any_value(q1 - 1.5e0 * (q3 - q1)), 4) AS lower_fence, round(any_value(q3 + 1.5e0 * (q3 - q1)), 4) AS upper_fence
+        FROM {source}, {quartiles_sql(c, source)} q""",
+    )
+
+
+_LINE_NULLS = " + ".join(f"(count(*) - count({c}))" for c in LINEITEM)
+_LINE_BYTES = " + ".join(bytes_sql(c, t) for c, t in LINEITEM.items())
+_LINE_COPIES = "count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem))"
+
 CATALOG: Catalog = {
     "column_profile": Query(
         _orders(profile.column_profile), cte("dirty_orders") + column_profile_sql(ORDERS, "dirty_orders")
@@ -158,6 +174,18 @@ CATALOG: Catalog = {
         FACTS + """SELECT "rows", columns, missing_cells, missing_pct, duplicate_rows, numeric_columns, text_columns,
           boolean_columns, datetime_columns, storage_bytes FROM facts""",
     ),
+    "dataset_summary_lineitem": Query(
+        _lineitem(profile.dataset_summary),
+        f"""SELECT count(*) AS "rows", CAST(11 AS BIGINT) AS columns, CAST({_LINE_NULLS} AS BIGINT) AS missing_cells,
+          {pct(_LINE_NULLS, "count(*) * 11")} AS missing_pct, CAST({_LINE_COPIES} AS BIGINT) AS duplicate_rows,
+          CAST(8 AS BIGINT) AS numeric_columns, CAST(2 AS BIGINT) AS text_columns, CAST(0 AS BIGINT) AS boolean_columns,
+          CAST(1 AS BIGINT) AS datetime_columns, CAST({_LINE_BYTES} AS BIGINT) AS storage_bytes FROM lineitem""",
+    ),
+    "duplicate_analysis_lineitem": Query(
+        _lineitem(profile.duplicate_analysis),
+        f"""SELECT CAST({_LINE_COPIES} AS BIGINT) AS duplicate_rows, {pct(_LINE_COPIES, "count(*)")} AS duplicate_pct,
+          {_LINE_COPIES} > 0 AS has_duplicates FROM lineitem""",
+    ),
     "missing_analysis": Query(
         _orders(profile.missing_analysis),
         f"""{cte("dirty_orders")}, m AS ({each(ORDERS, lambda c: f'''
@@ -243,18 +271,8 @@ CATALOG: Catalog = {
             FROM dirty_orders""",
         ),
     ),
-    "iqr_outliers": Query(
-        _orders(profile.iqr_outliers),
-        cte("dirty_orders")
-        + each(
-            numeric(ORDERS),
-            lambda c: f"""
-            SELECT '{c}' AS "column", count({c}) AS "values", CAST({outlier_count_sql(c, "dirty_orders")} AS BIGINT) AS outliers,
-              {pct(outlier_count_sql(c, "dirty_orders"), f"count({c})")} AS outlier_pct,
-              round(any_value(q1 - 1.5e0 * (q3 - q1)), 4) AS lower_fence, round(any_value(q3 + 1.5e0 * (q3 - q1)), 4) AS upper_fence
-            FROM dirty_orders, {quartiles_sql(c, "dirty_orders")} q""",
-        ),
-    ),
+    "iqr_outliers": Query(_orders(profile.iqr_outliers), cte("dirty_orders") + _outliers_sql(ORDERS, "dirty_orders")),
+    "iqr_outliers_lineitem": Query(_lineitem(profile.iqr_outliers), _outliers_sql(LINEITEM, "lineitem")),
     "duplicate_analysis": Query(
         _orders(profile.duplicate_analysis),
         FACTS + "SELECT duplicate_rows, duplicate_pct, duplicate_rows > 0 AS has_duplicates FROM facts",
@@ -274,7 +292,7 @@ CATALOG: Catalog = {
           row_number() OVER (ORDER BY r DESC, column_a, column_b) AS signed_rank FROM c WHERE r IS NOT NULL""",
     ),
     "strong_correlations": Query(
-        _lineitem(profile.strong_correlations),
-        f"WITH c AS ({_correlations_sql(numeric(LINEITEM), 'lineitem', 3)}) SELECT * FROM c WHERE abs(r) >= 0.7e0",
+        _orders(profile.strong_correlations),
+        f"{cte('dirty_orders')}, c AS ({_correlations_sql(numeric(ORDERS), 'dirty_orders', 3)}) SELECT * FROM c WHERE abs(r) >= 0.7e0",
     ),
 }
