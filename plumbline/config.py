@@ -64,6 +64,8 @@ DATE_FORMATS = (
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
 )
 
+MIN_DATE_LENGTH, MAX_DATE_LENGTH = 10, 19
+
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 # Upper bound on rows that may be collected or broadcast as a lookup.  Everything
@@ -72,7 +74,7 @@ LOOKUP_ROWS = 100_000
 
 # Up to this many non-missing values per column, Spark's one-pass exact
 # percentile is used; beyond it, the selection in functions.quantiles.
-IN_MEMORY_VALUES = 100_000
+IN_MEMORY_VALUES = 250_000
 
 
 def name_words(name: str) -> list[str]:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from plumbline.config import DATE_FORMATS, NUMBER_PATTERN
+from plumbline.config import DATE_FORMATS, MAX_DATE_LENGTH, MIN_DATE_LENGTH, NUMBER_PATTERN
 
 SPACE = " \t\n\r\f\x0b"
 
 # Drop symbols before the first letter or number, keeping a sign or point that
-# belongs to a number; the tail pattern starts only where a symbol run starts,
-# so long runs cost linear time.
-_HEAD = r"^[^\p{L}\p{N}]*?([+-]?[.]?\p{N}|\p{L})"
+# belongs to a number.  Both patterns fail at once on text without edge symbols, and
+# the tail starts only where a symbol run starts, so long runs cost linear time.
+_HEAD = r"^(?![+-]?[.]?\p{N})[^\p{L}\p{N}]+?(?=[+-]?[.]?\p{N}|\p{L})"
 _TAIL = r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]+$"
 _HEAD_ASCII = r"^[^A-Za-z0-9]+"
 _TAIL_ASCII = r"(?<![^A-Za-z0-9])[^A-Za-z0-9]+$"
@@ -30,7 +30,7 @@ def strip_symbols(c: Column, ascii_only: bool = False) -> Column:
     t = strip(c)
     if ascii_only:
         return F.regexp_replace(F.regexp_replace(t, _HEAD_ASCII, ""), _TAIL_ASCII, "")
-    return F.regexp_replace(F.regexp_replace(t, _TAIL, ""), _HEAD, "$1")
+    return F.regexp_replace(F.regexp_replace(t, _TAIL, ""), _HEAD, "")
 
 
 def to_number(c: Column) -> Column:
@@ -50,14 +50,17 @@ def currency_to_number(c: Column, scale_suffix: bool = True) -> Column:
 def to_time(c: Column, formats: tuple[tuple[str, str], ...] = DATE_FORMATS) -> Column:
     """Text to ``timestamp_ntz`` by the first format whose shape fits; else NULL."""
     t = strip(c)
-    out = F.coalesce(*[F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt))) for shape, fmt in formats])
-    return out.cast("timestamp_ntz")
+    parsed = F.coalesce(*[F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt))) for shape, fmt in formats])
+    # no accepted spelling is shorter or longer, and the test is much cheaper than a regex
+    return F.when(F.length(t).between(MIN_DATE_LENGTH, MAX_DATE_LENGTH), parsed).cast("timestamp_ntz")
 
 
 def title_case(c: Column) -> Column:
     """Capitalise every run of letters: ``o'neil new-york`` to ``O'Neil New-York``."""
     runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    by_run = F.array_join(F.transform(runs, F.initcap), "")
+    # initcap starts words after spaces only, which is enough for letters and spaces
+    return F.when(c.rlike(r"[^\p{L} ]"), by_run).otherwise(F.initcap(c))
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:

@@ -55,12 +55,13 @@ def clean_table(df: DataFrame, options: CleanOptions = CleanOptions()) -> Cleane
         log.add("strings", "text_columns", len(columns_of(df, TEXT)))
     if o.null_tokens:
         df = clean.null_tokens(df, o.tokens)
+    raw_text = columns_of(df, TEXT)
     if o.numeric_strings:
         numeric_text = clean.find_numeric_text(df, o.numeric_share)
         df = replace_columns(df, {c: clean.to_number(col(c)) for c in numeric_text})
         log.columns("numeric_strings", "unparsable", numeric_text)
 
-    df, rows_before, rows = _rowwise_numbers(df, o, log)
+    df, rows_before, rows = _rowwise_numbers(df, raw_text, o, log)
     if o.drop_duplicates:
         df = materialize(clean.dedupe(df), "deduped")
         log.add("duplicates", "removed_rows", rows - (rows := df.count()))
@@ -73,16 +74,18 @@ def clean_table(df: DataFrame, options: CleanOptions = CleanOptions()) -> Cleane
     return Cleaned(df, list(log))
 
 
-def _rowwise_numbers(df, o, log):
-    """Infinities, fractional counts and empty rows, counted in one pass."""
+def _rowwise_numbers(df, raw_text, o, log):
+    """Infinities and fractional counts in one pass, then empty rows.
+
+    The first pass leaves out the cleaned text.  The second filters on the other
+    columns first, so text is only cleaned in rows that have nothing else.
+    """
     floats = clean.float_columns(df) if o.replace_infinite else []
     whole = clean.integer_columns(df, o.integer_words, o.substring_names) if o.clean_integers else []
     value = {c: clean.finite(col(c)) if c in floats else col(c) for c in df.columns}
     final = {c: clean.whole_only(v) if c in whole else v for c, v in value.items()}
-    empty = F.coalesce(*[F.when(v.isNotNull(), 0) for v in final.values()]).isNull()
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count_if(empty).alias("empty"),
         *[F.count_if(clean.infinite(col(c))).alias(f"inf{i}") for i, c in enumerate(floats)],
         *[F.count_if(clean.fractional(value[c])).alias(f"frac{i}") for i, c in enumerate(whole)],
     ).first()
@@ -90,9 +93,14 @@ def _rowwise_numbers(df, o, log):
     log.columns("integers", "fractional", {c: row[f"frac{i}"] for i, c in enumerate(whole) if row[f"frac{i}"]})
     df = replace_columns(df, {c: final[c] for c in {*floats, *whole}})
     rows = row["rows"]
-    if o.drop_empty_rows and row["empty"]:
-        df, rows = df.na.drop("all"), rows - row["empty"]
-        log.add("empty", "removed_rows", row["empty"])
+    if o.drop_empty_rows:
+        bare = df
+        for c in sorted(df.columns, key=lambda c: c in raw_text):
+            bare = bare.where(col(c).isNull())
+        empty = bare.count()
+        if empty:
+            df, rows = df.na.drop("all"), rows - empty
+            log.add("empty", "removed_rows", empty)
     return df, row["rows"], rows
 
 
