@@ -14,7 +14,6 @@ from plumbline.session import bounded
 # Aggregates with more buffers than this leave whole-stage code generation.
 MAX_BUFFERS = 96
 HASH_FIRST_ROWS = 2_000_000
-PER_ID_CHUNK = 24
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -95,54 +94,44 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def _per_id(counts: DataFrame, ids: dict[int, str], measures: Callable[[Column], dict[str, Column]]) -> DataFrame:
-    """One row per column from a ``(id, value, n)`` table, without grouping it again.
-
-    Grouping by id with a structure as the result would sort every distinct value;
-    conditional aggregates over the whole table only stream through them.
-    """
-    parts = []
-    for i in range(0, len(ids), PER_ID_CHUNK):
-        part = sorted(ids)[i : i + PER_ID_CHUNK]
-        rows = [
-            F.struct(F.lit(ids[j]).alias("column"), *[e.alias(k) for k, e in measures(F.col("id") == j).items()])
-            for j in part
-        ]
-        mine = counts if len(ids) == len(part) else counts.where(F.col("id").isin(part))
-        parts.append(mine.agg(F.array(*rows).alias("rows")).select(F.inline("rows")))
-    return union_all(parts)
-
-
-def _top(cond: Column) -> Column:
-    """Aggregate: the most frequent value, ties to the smallest."""
-    return F.min(F.when(cond & F.col("value").isNotNull(), F.struct((-F.col("n")).alias("rank"), F.col("value"))))
-
-
 def distinct_and_mode(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column, distinct, distinct_all, top_value, top_count)``.
 
     ``distinct_all`` counts missing as a value.  Ties go to the smallest value in
     the column's own order (numbers as numbers).
     """
-
-    def measures(mine):
-        top = _top(mine)
-        return {
-            "distinct": F.count_if(mine & F.col("value").isNotNull()),
-            "distinct_all": F.count_if(mine),
-            "top_value": top["value"].cast("string"),
-            "top_count": F.coalesce(-top["rank"], F.lit(0)),
-        }
-
-    return union_all([_per_id(counts, ids, measures) for ids, counts in typed_value_counts(df, columns)])
+    parts = []
+    for ids, counts in typed_value_counts(df, columns):
+        seen = F.col("value").isNotNull()
+        parts.append(
+            counts.groupBy("id")
+            .agg(
+                F.count_if(seen).alias("distinct"),
+                F.count(F.lit(1)).alias("distinct_all"),
+                F.min(F.when(seen, F.struct((-F.col("n")).alias("rank"), F.col("value")))).alias("top"),
+            )
+            .select(
+                _named(ids).alias("column"),
+                "distinct",
+                "distinct_all",
+                F.col("top.value").cast("string").alias("top_value"),
+                F.coalesce(-F.col("top.rank"), F.lit(0)).alias("top_count"),
+            )
+        )
+    return union_all(parts)
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
     """Typed mode per column on the driver (one value per column)."""
-    out: dict[str, object] = {}
+    out: dict[str, object] = {c: None for c in columns}
     for ids, counts in typed_value_counts(df, columns):
-        rows = _per_id(counts, ids, lambda mine: {"mode": _top(mine)["value"]}).collect()
-        out |= {r["column"]: r["mode"] for r in rows}
+        top = (
+            counts.where(F.col("value").isNotNull())
+            .groupBy("id")
+            .agg(F.min(F.struct((-F.col("n")).alias("rank"), F.col("value"))).alias("top"))
+        )
+        for r in top.collect():
+            out[ids[r["id"]]] = r["top"]["value"]
     return out
 
 

@@ -49,16 +49,17 @@ def topk_categories(df: DataFrame, k: int = 15, columns: list[str] | None = None
 
 def category_share(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Share of all rows per group, and which group leads its column."""
-    df = nan_to_null(df)
-    columns = categorical_names(df) if columns is None else columns
     rows = df.count()
     counts = category_counts(df, columns)
-    leads = [F.min(F.when(F.col("column") == c, F.struct((-F.col("n")).alias("r"), "value")))["value"] for c in columns]
-    lead = dict(zip(columns, counts.agg(*leads).first())) if columns else {}
-    is_lead = F.lit(False)
-    for c, v in lead.items():
-        is_lead = is_lead | ((F.col("column") == c) & (F.col("value") == v))
-    return counts.select("column", "value", "n", F.round(F.col("n") * 100.0 / rows, 1).alias("share_pct"), is_lead.alias("is_dominant"))
+    # one row per column
+    lead = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("r"), "value")).alias("lead"))
+    return counts.join(F.broadcast(lead), "column").select(
+        "column",
+        "value",
+        "n",
+        F.round(F.col("n") * 100.0 / rows, 1).alias("share_pct"),
+        (F.col("value") == F.col("lead.value")).alias("is_dominant"),
+    )
 
 
 def two_level_counts(df: DataFrame, a: str | None = None, b: str | None = None, limit: int = 200) -> DataFrame:
