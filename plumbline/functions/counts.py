@@ -169,6 +169,12 @@ def byte_size(df: DataFrame, name: str) -> Column:
 
 
 
+def approx_distinct(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Estimated distinct values per column (5 % standard error)."""
+    facts = column_facts(df, columns, lambda c: {"distinct": F.approx_count_distinct(col(c))})
+    return {c: facts[c]["distinct"] for c in columns}
+
+
 def with_distinct(df: DataFrame, columns: list[str], at_least: int) -> list[str]:
     """Columns with at least ``at_least`` distinct values, exactly.
 
@@ -177,8 +183,8 @@ def with_distinct(df: DataFrame, columns: list[str], at_least: int) -> list[str]
     """
     if not columns:
         return []
-    guess = df.agg(*[F.approx_count_distinct(col(c)).alias(str(i)) for i, c in enumerate(columns)]).first()
-    sure = {c for i, c in enumerate(columns) if guess[i] >= 10 * at_least}
+    guess = approx_distinct(df, columns)
+    sure = {c for c in columns if guess[c] >= 10 * at_least}
     unsure = [c for c in columns if c not in sure]
     if unsure:
         exact = distinct_and_mode(df, unsure).where(F.col("distinct") >= at_least).select("column").collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.config import ProfileOptions, name_matches
-from plumbline.functions.counts import column_facts, distinct_and_mode, groupable, per_column
+from plumbline.functions.counts import approx_distinct, distinct_and_mode, groupable, per_column
 from plumbline.functions.exprs import to_time
 from plumbline.functions.schema import BOOLEAN, DATETIME, NUMERIC, TEXT, col, columns_of, family, nan_to_null
 
@@ -38,12 +38,8 @@ def constant_names(df: DataFrame) -> list[str]:
 
 def near_unique(df: DataFrame, columns: list[str]) -> list[str]:
     """Columns worth an exact distinct count when looking for identifiers."""
-    facts = column_facts(
-        df,
-        columns,
-        lambda c: {"rows": F.count(F.lit(1)), "distinct": F.approx_count_distinct(col(c))},
-    )
-    return [c for c in columns if facts[c]["distinct"] >= NEAR_UNIQUE * facts[c]["rows"] > 0]
+    rows, guess = df.count(), approx_distinct(df, columns)
+    return [c for c in columns if guess[c] >= NEAR_UNIQUE * rows > 0]
 
 
 def identifier_columns(df: DataFrame, options: ProfileOptions = DEFAULT, substring: bool = False) -> DataFrame:
