@@ -1,3 +1,8 @@
-"""plumbline: profile, clean and model tabular data with plain Spark DataFrames."""
+"""plumbline: understand, clean and model tabular data on Spark."""
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+# Workers get the package's functions with the task, so they need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

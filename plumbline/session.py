@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.config import LOOKUP_ROWS
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = 8, app: str = "plumbline") -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
@@ -51,12 +53,39 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
     Parquet rather than ``checkpoint()`` because later passes read few columns.
-    A lost executor only costs a re-read: the lineage starts at the files.
+    A lost executor only costs a re-read: the lineage starts at the files.  The
+    shuffle files of the job go with it; the table goes with ``release`` or when
+    the driver ends, whichever is first.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    kept = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    except Exception:
+        fs.delete(at, True)
+        raise
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, kept)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these tables, when nothing reads it any more."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            fs, at = _file_system(t.sparkSession, path)
+            fs.delete(at, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def bounded(df: DataFrame, limit: int = LOOKUP_ROWS) -> tuple[DataFrame, bool]:
