@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, sharding
-from plumbline.llm.common import documents
+from plumbline.llm import byte_bpe, exact_dedup, sharding, toxicity, url_filter
+from plumbline.llm.common import documents, fractions_of
 from plumbline.plans.fixtures import Catalog, Query
 
 
@@ -22,11 +23,44 @@ grouped AS (SELECT doc_id, body, first_value(doc_id) OVER (PARTITION BY body ORD
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM grouped"""
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.encode(
+        documents(spark, sf_dir), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, decoded="decoded", keep=["doc_id"]
+    )
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train_by_contract(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (fractions_of("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir)).drop("row_number")
 
 
 CATALOG: Catalog = {
     "op1_exact_dedup": Query(op1_exact_dedup, OP1_SQL),
+    "op3_url_filter": Query(op3_url_filter),
+    "op5_byte_bpe": Query(op5_byte_bpe),
+    "op9_toxicity": Query(op9_toxicity),
     "op10_sharding": Query(op10_sharding),
 }
