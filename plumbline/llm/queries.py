@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, exact_dedup, sharding, toxicity, url_filter
+from plumbline.llm import byte_bpe, exact_dedup, sharding, token_store, toxicity, url_filter
 from plumbline.llm.common import documents, fractions_of
 from plumbline.plans.fixtures import Catalog, Query
+from plumbline.session import scratch_path
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +43,15 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+WORD_BPE, WORD_BPE_SIZE, DOCUMENT_END = "word_bpe_49k.json", 49_408, 2
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_store.write_tokens(documents(spark, sf_dir), path, public_tokenizers.path(WORD_BPE), WORD_BPE_SIZE, DOCUMENT_END)
+    return token_store.read_digests(spark, path)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train_by_contract(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -61,6 +71,7 @@ CATALOG: Catalog = {
     "op1_exact_dedup": Query(op1_exact_dedup, OP1_SQL),
     "op3_url_filter": Query(op3_url_filter),
     "op5_byte_bpe": Query(op5_byte_bpe),
+    "op8_token_store": Query(op8_token_store),
     "op9_toxicity": Query(op9_toxicity),
     "op10_sharding": Query(op10_sharding),
 }
