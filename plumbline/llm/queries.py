@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, exact_dedup, sharding, token_store, toxicity, url_filter
+from plumbline.llm import byte_bpe, exact_dedup, near_dedup, sharding, token_store, toxicity, url_filter
 from plumbline.llm.common import documents, fractions_of
 from plumbline.plans.fixtures import Catalog, Query
 from plumbline.session import scratch_path
@@ -43,6 +43,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(documents(spark, sf_dir)).drop("uid")
+
+
 WORD_BPE, WORD_BPE_SIZE, DOCUMENT_END = "word_bpe_49k.json", 49_408, 2
 
 
@@ -71,6 +75,7 @@ CATALOG: Catalog = {
     "op1_exact_dedup": Query(op1_exact_dedup, OP1_SQL),
     "op3_url_filter": Query(op3_url_filter),
     "op5_byte_bpe": Query(op5_byte_bpe),
+    "op6_near_dedup": Query(op6_near_dedup),
     "op8_token_store": Query(op8_token_store),
     "op9_toxicity": Query(op9_toxicity),
     "op10_sharding": Query(op10_sharding),
