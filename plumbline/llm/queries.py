@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, exact_dedup, near_dedup, sharding, token_store, toxicity, url_filter
+from plumbline.llm import byte_bpe, decontaminate, exact_dedup, near_dedup, sharding, token_store, toxicity, url_filter
 from plumbline.llm.common import documents, fractions_of
 from plumbline.plans.fixtures import Catalog, Query
 from plumbline.session import scratch_path
@@ -47,6 +47,12 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(documents(spark, sf_dir)).drop("uid")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontaminate.with_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", decontaminate.contaminated().alias("contaminated"), "matches")
+
+
 WORD_BPE, WORD_BPE_SIZE, DOCUMENT_END = "word_bpe_49k.json", 49_408, 2
 
 
@@ -76,6 +82,7 @@ CATALOG: Catalog = {
     "op3_url_filter": Query(op3_url_filter),
     "op5_byte_bpe": Query(op5_byte_bpe),
     "op6_near_dedup": Query(op6_near_dedup),
+    "op7_decontaminate": Query(op7_decontaminate),
     "op8_token_store": Query(op8_token_store),
     "op9_toxicity": Query(op9_toxicity),
     "op10_sharding": Query(op10_sharding),
