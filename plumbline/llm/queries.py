@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, decontaminate, exact_dedup, near_dedup, sharding, token_store, toxicity, url_filter
+from plumbline.llm import byte_bpe, decontaminate, exact_dedup, lm_scoring, near_dedup, sharding, token_store, toxicity, url_filter
 from plumbline.llm.common import documents, fractions_of
 from plumbline.plans.fixtures import Catalog, Query
 from plumbline.session import scratch_path
@@ -31,6 +31,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fractions_of("doc_id", 10) == 0
+    return lm_scoring.score_texts(documents(spark, sf_dir), held_out, public_tokenizers.path(BYTE_RANKS)).drop("uid")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.encode(
         documents(spark, sf_dir), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, decoded="decoded", keep=["doc_id"]
@@ -80,6 +85,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 CATALOG: Catalog = {
     "op1_exact_dedup": Query(op1_exact_dedup, OP1_SQL),
     "op3_url_filter": Query(op3_url_filter),
+    "op4_lm_scoring": Query(op4_lm_scoring),
     "op5_byte_bpe": Query(op5_byte_bpe),
     "op6_near_dedup": Query(op6_near_dedup),
     "op7_decontaminate": Query(op7_decontaminate),
