@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, decontaminate, exact_dedup, lm_scoring, near_dedup, sharding, token_store, toxicity, url_filter
+from plumbline.llm import byte_bpe, decontaminate, exact_dedup, lm_scoring, near_dedup, sharding, substring_dedup, token_store, toxicity, url_filter
 from plumbline.llm.common import documents, fractions_of
 from plumbline.plans.fixtures import Catalog, Query
 from plumbline.session import scratch_path
@@ -24,6 +24,24 @@ grouped AS (SELECT doc_id, body, first_value(doc_id) OVER (PARTITION BY body ORD
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM grouped"""
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.without_repeats(documents(spark, sf_dir), keep_text=False)
+    return kept.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+windows AS (SELECT doc_id, s AS start, array_to_string(words[s : s + 19], ' ') AS body
+    FROM split, unnest(range(1, greatest(1, len(words) - 18))) AS t(s)),
+later AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS k FROM windows) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, start + i AS at FROM later, unnest(range(0, 20)) AS t(i)),
+kept AS (SELECT s.doc_id, t.at, s.words[t.at] AS word FROM split s, unnest(range(1, len(s.words) + 1)) AS t(at)
+    ANTI JOIN gone g ON g.doc_id = s.doc_id AND g.at = t.at),
+left_over AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS body FROM kept GROUP BY doc_id)
+SELECT s.doc_id, len(s.words)::BIGINT AS n_words, (len(s.words) - coalesce(l.n, 0))::BIGINT AS n_removed,
+    sha256(coalesce(l.body, '')) AS kept_sha256 FROM split s LEFT JOIN left_over l USING (doc_id)"""
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -84,6 +102,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CATALOG: Catalog = {
     "op1_exact_dedup": Query(op1_exact_dedup, OP1_SQL),
+    "op2_substring_dedup": Query(op2_substring_dedup, OP2_SQL),
     "op3_url_filter": Query(op3_url_filter),
     "op4_lm_scoring": Query(op4_lm_scoring),
     "op5_byte_bpe": Query(op5_byte_bpe),
