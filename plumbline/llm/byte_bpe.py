@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import fresh, utf8
 
 #: Pieces whose ids a task remembers; rows worked on at a time.
-MEMORY, ROWS = 250_000, 400
+MEMORY, ROWS = 600_000, 400
 NONE = 1 << 62
 
 
@@ -31,50 +31,48 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> array:
 
     Leaf ``i`` of the tree holds the rank of the pair that starts at byte ``i``,
     joined with ``i``, so the root is the leftmost pair of least rank.  A merge
-    clears one leaf and renews two; each is a path to the root.
+    clears one leaf and renews two; each path to the root ends where nothing changes.
     """
     n = len(piece)
+    get = ranks.get
     size = 1 << max(1, (n - 1).bit_length())
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    after, before = list(range(1, n + 2)), list(range(-1, n))
     tree = [NONE] * (2 * size)
-
-    def pair(i: int) -> int:
-        j = after[i]
-        if j >= n or after[j] - i > longest:
-            return NONE
-        rank = ranks.get(piece[i : after[j]])
-        return NONE if rank is None else rank << 32 | i
-
-    def put(i: int, value: int) -> None:
-        at = size + i
-        tree[at] = value
-        at >>= 1
-        while at:
-            a, b = tree[2 * at], tree[2 * at + 1]
-            least = a if a < b else b
-            if tree[at] == least:
-                return
-            tree[at] = least
-            at >>= 1
-
-    tree[size : size + n] = map(pair, range(n))
+    for i in range(n - 1):
+        if (rank := get(piece[i : i + 2])) is not None:
+            tree[size + i] = rank << 32 | i
     for at in range(size - 1, 0, -1):
         a, b = tree[2 * at], tree[2 * at + 1]
         tree[at] = a if a < b else b
     while (top := tree[1]) != NONE:
         i = top & 0xFFFFFFFF
         j = after[i]
-        after[i] = k = after[j]
+        k = after[i] = after[j]
+        changed = [size + i, size + j]
+        tree[size + j] = tree[size + i] = NONE
         if k < n:
             before[k] = i
-        put(j, NONE)
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+            if after[k] - i <= longest and (rank := get(piece[i : after[k]])) is not None:
+                tree[size + i] = rank << 32 | i
+        if i:
+            h = before[i]
+            changed.append(size + h)
+            tree[size + h] = NONE if k - h > longest or (rank := get(piece[h:k])) is None else rank << 32 | h
+        for at in changed:
+            at >>= 1
+            while at:
+                a, b = tree[2 * at], tree[2 * at + 1]
+                if b < a:
+                    a = b
+                if tree[at] == a:
+                    break
+                tree[at] = a
+                at >>= 1
     ids, i = array("i"), 0
     while i < n:
-        ids.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        j = after[i]
+        ids.append(ranks[piece[i:j]])
+        i = j
     return ids
 
 
