@@ -5,7 +5,7 @@
    sequences fold to one row first.
 3. In each band's bucket the member that meets most others is the leader, and
    every other member is compared with it exactly.  Members unlike their leader
-   meet again, under a new leader, in the finer buckets of two bands, then three.
+   meet again, under new leaders, in the finer buckets of two bands, then three.
 4. Classes are the connected components of the links found.
 """
 
@@ -26,8 +26,8 @@ from plumbline.llm.common import WordHashes, fresh, gram_hashes, mixed, utf8
 from plumbline.session import materialize, release
 
 #: Words of a shingle, least similarity, bands, samples of a band.  At 0.8 two
-#: documents share a band with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997.
-WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 8, 3
+#: documents share a band with probability 1 - (1 - 0.8 ** 3) ** 10 = 0.999.
+WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 10, 3
 #: Counters of document frequencies (2 MB, whatever the corpus); bands of the finest bucket.
 COUNTERS, LEVELS = 1 << 18, 3
 #: Entries of the tables of random draws.
@@ -98,9 +98,9 @@ def _frequencies(k: int):
 
 
 def inverse_frequencies(texts: DataFrame, k: int) -> np.ndarray:
-    """A weight from one half to one for each counter: half of it is the logarithmic inverse frequency.
+    """A weight from 3/4 to 1 for each counter: the last quarter is the logarithmic inverse frequency.
 
-    Halving keeps a large group of near copies, whose shared shingles are frequent
+    Damping it keeps a large group of near copies, whose shared shingles are frequent
     because of it, from falling apart over its few rare ones.
     """
     counted = texts.mapInArrow(_frequencies(k), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
@@ -109,7 +109,7 @@ def inverse_frequencies(texts: DataFrame, k: int) -> np.ndarray:
     total = int(n[counter < 0].sum())
     df = np.zeros(COUNTERS)
     df[counter[counter >= 0]] = n[counter >= 0]
-    return 0.5 + 0.5 * np.clip(np.log((1 + total) / (1 + df)) / np.log(2 + total), 0, 1)
+    return 0.75 + 0.25 * np.clip(np.log((1 + total) / (1 + df)) / np.log(2 + total), 0, 1)
 
 
 def _sketches(k: int, bands: int, rows: int, idf):
@@ -176,48 +176,55 @@ def _compared(pairs: DataFrame, bodies: DataFrame, k: int, idf) -> DataFrame:
     return materialize(both.mapInArrow(_similarities(k, idf), "uid long, leader long, similarity double"), "compared")
 
 
-def _starred(members: DataFrame) -> DataFrame:
-    """(key, uid, leader): the leader of a key is its unresolved member that meets most others."""
-    score = members.groupBy("uid").agg(F.sum("size").alias("score"))
-    led = members.where("open").join(score, "uid").groupBy("key")
-    led = led.agg(F.max_by(F.col("uid"), F.struct("score", -F.col("uid"))).alias("leader"))
-    return members.join(led, "key").select("key", "uid", "leader")
-
+def _starred(rows: DataFrame) -> DataFrame:
+    """(set, uid, open, leader) for the members of every bucket of two or more.
 
-def _bucketed(rows: DataFrame) -> DataFrame:
-    """(key, uid, open) of keys that two rows or more share, with ``size``, their number."""
-    size = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    return rows.join(size, "key")
+    The score of a member is the number of others it meets.  The open member of
+    the highest score leads all; the highest of those that have not led before
+    leads the open ones.
+    """
+    size = rows.groupBy("set").agg(F.count("*").alias("size"), F.max("open").alias("any")).where("size > 1 and any")
+    members = rows.join(size.drop("any"), "set")
+    score = members.groupBy("uid").agg(F.sum("size").alias("score"))
+    best = lambda which: F.max_by(F.col("uid"), F.when(which, F.struct("score", -F.col("uid"))))
+    led = members.join(score, "uid").groupBy("set")
+    led = led.agg(best(F.col("open")).alias("of_all"), F.max(F.when(~F.col("led"), F.struct("score", -F.col("uid")))).alias("of_open"))
+    leaders = F.array_distinct(F.array_compact(F.array("of_all", F.when(F.col("open"), -F.col("of_open")["col2"]))))
+    return members.join(led, "set").select("set", "uid", "open", "led", F.explode(leaders).alias("leader"))
+
+
+def _finer(starred: DataFrame, links: DataFrame, base: DataFrame, level: int, bands: int) -> DataFrame:
+    """The members of buckets with an open member, in the buckets of one band more."""
+    state = starred.join(links.withColumn("linked", F.lit(True)), ["uid", "leader"], "left")
+    leads = F.col("uid") == F.col("leader")
+    met = F.max(F.coalesce("linked", F.lit(False)) | leads)
+    state = state.groupBy("set", "uid").agg((F.max("open") & ~met).alias("open"), (F.max("led") | F.max(leads)).alias("led"))
+    state = materialize(state, "open")
+    active = state.join(state.where("open").select("set").distinct(), "set", "left_semi")
+    mine = active.groupBy("uid").agg(
+        F.collect_list("set").alias("mine"), F.max("open").alias("open"), F.collect_list(F.when(F.col("led"), F.col("set"))).alias("leading")
+    )
+    sets = F.array(*(F.array(*(F.get("keys", i) for i in c)) for c in combinations(range(bands), level + 1)))
+    rows = mine.join(base, "uid").select("uid", "open", "mine", "leading", F.explode(sets).alias("set"))
+    within = lambda s: F.size(F.array_except(s, F.col("set"))) == 0
+    return rows.where(F.exists("mine", within)).select("set", "uid", "open", F.exists("leading", within).alias("led"))
 
 
 def links_between(reps: DataFrame, bodies: DataFrame, similarity: float, k: int, idf, levels: int, bands: int = BANDS) -> DataFrame:
     """(uid, leader) of verified links between the rows of ``reps``."""
-    rows = reps.select(F.explode("keys").alias("key"), "uid").withColumn("open", F.lit(True))
-    found, done, base = [], None, rows.select("key", "uid")
+    rows = reps.select(F.explode("keys").alias("key"), "uid").select(F.array("key").alias("set"), "uid", F.lit(True).alias("open"), F.lit(False).alias("led"))
+    found, done = [], None
     for level in range(1, levels + 1):
-        starred = materialize(_starred(_bucketed(rows)), "starred")
+        starred = materialize(_starred(rows), "starred")
         pairs = starred.where("uid <> leader").select("uid", "leader").distinct()
         if done is not None:
             pairs = pairs.join(done, ["uid", "leader"], "left_anti")
         compared = _compared(pairs, bodies, k, idf)
         done = compared.select("uid", "leader") if done is None else done.union(compared.select("uid", "leader"))
-        links = compared.where(F.col("similarity") >= similarity).select("uid", "leader")
-        found.append(links)
-        if level == levels:
-            break
-        state = starred.join(links.withColumn("linked", F.lit(True)), ["uid", "leader"], "left")
-        state = state.select("key", "uid", (F.col("linked").isNull() & (F.col("uid") != F.col("leader"))).alias("open"))
-        active = state.where("open").select("key").distinct()
-        state = materialize(state.join(active, "key", "left_semi"), "open")
-        if state.isEmpty():
+        found.append(compared.where(F.col("similarity") >= similarity).select("uid", "leader"))
+        if level == levels or starred.isEmpty():
             break
-        # Finer buckets: all sets of level + 1 bands of a row, at least one of them still open.
-        still = state.groupBy("uid").agg(F.array_sort(F.collect_set("key")).alias("mine"), F.max("open").alias("open"))
-        whole = still.join(base.groupBy("uid").agg(F.array_sort(F.collect_set("key")).alias("all")), "uid")
-        sets = F.array(*(F.array(*(F.get("all", i) for i in c)) for c in combinations(range(bands), level + 1)))
-        rows = whole.select("uid", "open", "mine", F.explode(sets).alias("set")).where(F.arrays_overlap("set", "mine"))
-        rows = rows.select(F.xxhash64("set").alias("key"), "uid", "open")
-        release(starred)
+        rows = _finer(starred, reduce(DataFrame.union, found), reps, level, bands)
     return reduce(DataFrame.union, found)
 
 
