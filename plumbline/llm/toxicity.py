@@ -24,8 +24,8 @@ from plumbline.session import materialize
 
 #: Letters and signs that look like Latin letters, and digits that stand for them.
 LOOK_ALIKES = str.maketrans(
-    "аеорсухіјѕһԁԛԝкмтвнαεορυικτν013457@$!|",
-    "aeopcyxijshdqwkmtbhaeopuiktvoieastasil",
+    "аеорсухіјѕһԁԛԝкмтвнαεορυικτν013457@$",
+    "aeopcyxijshdqwkmtbhaeopuiktvoieastas",
 )
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each class that the lexicon and the curve are fitted on at most.
