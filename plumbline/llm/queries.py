@@ -30,14 +30,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
-windows AS (SELECT doc_id, s AS start, array_to_string(words[s : s + 19], ' ') AS body
-    FROM split, unnest(range(1, greatest(1, len(words) - 18))) AS t(s)),
-later AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS k FROM windows) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, start + i AS at FROM later, unnest(range(0, 20)) AS t(i)),
-kept AS (SELECT s.doc_id, t.at, s.words[t.at] AS word FROM split s, unnest(range(1, len(s.words) + 1)) AS t(at)
-    ANTI JOIN gone g ON g.doc_id = s.doc_id AND g.at = t.at),
-left_over AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS body FROM kept GROUP BY doc_id)
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 18))) AS start FROM split),
+windows AS (SELECT doc_id, start, array_to_string(words[start : start + 19], ' ') AS body FROM starts),
+later AS (SELECT doc_id, start FROM
+    (SELECT doc_id, start, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS k FROM windows) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, start + i AS pos FROM (SELECT doc_id, start, unnest(range(0, 20)) AS i FROM later)),
+numbered AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM split),
+left_over AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS body
+    FROM numbered ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
 SELECT s.doc_id, len(s.words)::BIGINT AS n_words, (len(s.words) - coalesce(l.n, 0))::BIGINT AS n_removed,
     sha256(coalesce(l.body, '')) AS kept_sha256 FROM split s LEFT JOIN left_over l USING (doc_id)"""
 
