@@ -1,7 +1,8 @@
 """Thresholds, word lists and messages.
 
 Every number an operator compares against is a field here, so a caller can
-change it without touching the operator.  Word lists are this project's own.
+change it without touching the operator.  Word lists that say what a table is
+about are empty here: the caller knows the table's vocabulary.
 """
 
 from __future__ import annotations
@@ -12,14 +13,14 @@ from dataclasses import dataclass, field
 # Spellings that mean "no value" when a table is first loaded.
 LOAD_TOKENS = (
     "", "NA", "N/A", "na", "n/a", "NULL", "null", "None", "NaN", "nan",
-    "missing", "unknown", "?", "-", "--",
+    "none", "missing", "unknown", "?", "-", "--",
 )
 
 # The same idea inside a cleaning run, where symbols at the edges
 # have already been stripped.
 CLEAN_TOKENS = (
     "", "NA", "N/A", "na", "n/a", "NULL", "null", "None", "NaN", "nan",
-    "missing", "unknown",
+    "none", "missing", "unknown", "?", "-", "--",
 )
 
 # Words that mark a column as naming a thing, not measuring it.
@@ -28,11 +29,8 @@ IDENTIFIER_WORDS = (
     "ssn", "phone", "email", "zip", "postcode", "account", "token",
 )
 
-# Words that mark a numeric column as a whole-number quantity.
-INTEGER_WORDS = (
-    "age", "count", "qty", "quantity", "units", "items", "visits", "year",
-    "month", "day", "rooms", "floors", "seats", "children", "copies",
-)
+# Words that mark a numeric column as a whole-number quantity; the caller's to give.
+INTEGER_WORDS: tuple[str, ...] = ()
 
 # Words that exempt a numeric column from outlier capping.
 UNCAPPED_WORDS = IDENTIFIER_WORDS + (
@@ -45,26 +43,27 @@ CASE_SENSITIVE_WORDS = IDENTIFIER_WORDS + (
     "url", "path", "hash", "iban", "currency", "symbol", "version",
 )
 
-# Words that hint that a column is what people want to predict.
-TARGET_WORDS = (
-    "target", "label", "class", "outcome", "result", "response", "status",
-    "churn", "default", "fraud", "price", "quality", "rating", "score",
-)
+# Words that hint that a column is what people want to predict; the caller's to give.
+TARGET_WORDS: tuple[str, ...] = ()
 
 # Accepted date spellings, each with the shape it must have before
-# a parse is tried (a failed parse is far dearer than a failed regex).
+# a parse is tried (a failed parse is far dearer than a failed regex).  A time may
+# have a fraction of a second and a zone; it is read as UTC.
 DATE_FORMATS = (
     (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
     (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
     (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
     (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm"),
-    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
+    (r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}([.]\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?$", ""),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
 )
 
-MIN_DATE_LENGTH, MAX_DATE_LENGTH = 10, 19
+# The shortest and longest text that fits one of these shapes.
+MIN_DATE_LENGTH, MAX_DATE_LENGTH = 8, 35
 
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
@@ -111,6 +110,9 @@ class ProfileOptions:
     text_saving_ratio: float = 0.40
 
 
+# The weights, caps and limits of the classes below.
+
+
 @dataclass(frozen=True)
 class HealthByCount:
     """Score A: penalties on absolute counts."""

@@ -7,27 +7,32 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from plumbline.config import LOOKUP_ROWS
 from plumbline.functions.schema import col, family
-from plumbline.session import bounded
 
 # Aggregates with more buffers than this leave whole-stage code generation.
 MAX_BUFFERS = 96
-HASH_FIRST_ROWS = 2_000_000
 
 
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def empty(df: DataFrame, schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([], schema)
+
+
+def union_all(parts: list[DataFrame], none: DataFrame | None = None) -> DataFrame:
+    """All parts under one another; ``none`` where there is no part."""
+    return reduce(DataFrame.unionByName, parts) if parts else none
 
 
 def per_column(
-    df: DataFrame, columns: list[str], measures: Callable[[str], dict[str, Column]], buffers: int = 6
+    df: DataFrame, columns: list[str], measures: Callable[[str], dict[str, Column]], buffers: int = 6, none: str = ""
 ) -> DataFrame:
     """``(column, *measures)``, one row per column, from one aggregate per chunk of columns.
 
     ``buffers`` is the number of aggregate buffers one column needs.  Each chunk
-    reads only its own columns, so chunks do not repeat I/O.
+    reads only its own columns, so on columnar files chunks do not repeat I/O.
+    Without columns the result is empty, its measures being those of ``none``.
     """
+    if not columns:
+        return empty(df, "column string" + (f", {none}" if none else ""))
     parts = []
     size = max(1, MAX_BUFFERS // buffers)
     for i in range(0, len(columns), size):
@@ -90,7 +95,8 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
         [
             counts.select(_named(ids).alias("column"), F.col("value").cast("string").alias("value"), "n")
             for ids, counts in typed_value_counts(df, columns)
-        ]
+        ],
+        empty(df, "column string, value string, n bigint"),
     )
 
 
@@ -118,7 +124,7 @@ def distinct_and_mode(df: DataFrame, columns: list[str]) -> DataFrame:
                 F.coalesce(-F.col("top.rank"), F.lit(0)).alias("top_count"),
             )
         )
-    return union_all(parts)
+    return union_all(parts, empty(df, "column string, distinct bigint, distinct_all bigint, top_value string, top_count bigint"))
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
@@ -135,24 +141,20 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
     return out
 
 
-def duplicate_rows(df: DataFrame, rows: int | None = None, hash_first_rows: int = HASH_FIRST_ROWS) -> int:
+def duplicate_rows(df: DataFrame, rows: int | None = None) -> int:
     """Rows minus distinct rows, exactly.
 
-    Large tables are grouped by a 64-bit row hash first, which shuffles eight
-    bytes per row instead of the row.  Only rows whose hash repeats can be
-    duplicates, and only those are grouped by value.  If too many hashes repeat
-    for a bounded lookup, all rows are grouped by value.
+    Rows are grouped by a 64-bit hash first, which shuffles eight bytes of each
+    instead of the row; only rows whose hash repeats, which may be other rows of
+    the same hash, are then grouped by value.
     """
-    rows = df.count() if rows is None else rows
     keys = [col(c) for c in groupable(df)]
-    if rows > hash_first_rows:
-        hashed = df.withColumn("__row_hash", F.xxhash64(*keys))
-        repeated = hashed.groupBy("__row_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__row_hash")
-        lookup, small = bounded(repeated, LOOKUP_ROWS)
-        if small:
-            df = hashed.join(F.broadcast(lookup), "__row_hash", "left_semi").select(*keys)
-    per_row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return per_row.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("d")).first()["d"]
+    if not keys:
+        return max(0, (df.count() if rows is None else rows) - 1)
+    hashed = df.withColumn("__row_hash", F.xxhash64(*keys))
+    repeated = hashed.groupBy("__row_hash").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__row_hash")
+    per_row = hashed.join(repeated, "__row_hash", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return per_row.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("d")).first()["d"]
 
 
 def groupable(df: DataFrame) -> list[str]:

@@ -48,9 +48,14 @@ def currency_to_number(c: Column, scale_suffix: bool = True) -> Column:
 
 
 def to_time(c: Column, formats: tuple[tuple[str, str], ...] = DATE_FORMATS) -> Column:
-    """Text to ``timestamp_ntz`` by the first format whose shape fits; else NULL."""
+    """Text to ``timestamp_ntz`` by the first format whose shape fits; else NULL.
+
+    An empty format is Spark's own reading of ISO times; a zone moves the time to
+    the session's.
+    """
     t = strip(c)
-    parsed = F.coalesce(*[F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt))) for shape, fmt in formats])
+    read = lambda fmt: F.try_to_timestamp(t, F.lit(fmt)) if fmt else t.try_cast("timestamp")
+    parsed = F.coalesce(*[F.when(t.rlike(shape), read(fmt)) for shape, fmt in formats])
     # no accepted spelling is shorter or longer, and the test is much cheaper than a regex
     return F.when(F.length(t).between(MIN_DATE_LENGTH, MAX_DATE_LENGTH), parsed).cast("timestamp_ntz")
 

@@ -10,7 +10,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plumbline.functions.counts import column_facts, per_column, union_all, value_counts, with_distinct
+from plumbline.functions.counts import column_facts, empty, per_column, union_all, value_counts, with_distinct
 from plumbline.functions.exprs import to_time
 from plumbline.functions.moments import pair_moments
 from plumbline.functions.quantiles import exact_quantiles
@@ -66,7 +66,10 @@ def two_level_counts(df: DataFrame, a: str | None = None, b: str | None = None,
     """Counts by two columns, the first ``limit`` groups in key order (not by size)."""
     df = nan_to_null(df)
     if a is None or b is None:
-        a, b = categorical_names(df)[:2]
+        names = categorical_names(df)
+        if len(names) < 2:
+            return empty(df, "level_1 string, level_2 string, n bigint")
+        a, b = names[:2]
     keys = [F.coalesce(col(c).cast("string"), F.lit(MISSING)).alias(n) for c, n in ((a, "level_1"), (b, "level_2"))]
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy("level_1", "level_2").limit(limit)
 
@@ -130,7 +133,7 @@ def trend_lines(df: DataFrame, share: float = 0.5, measures: list[str] | None =
     df = nan_to_null(df)
     measures = columns_of(df, NUMERIC) if measures is None else measures
     parts = []
-    for name, when in date_measures(df, share).items():
+    for name, when in date_measures(df, share).items() if measures else ():
         sums = [F.round(F.coalesce(F.sum(col(m).cast("double")), F.lit(0.0)), 2).alias(m) for m in measures]
         daily = df.groupBy(F.to_date(when).alias("__day")).agg(*sums).where("__day is not null")
         parts.append(
@@ -138,7 +141,7 @@ def trend_lines(df: DataFrame, share: float = 0.5, measures: list[str] | None =
                 F.lit(name).alias("date_column"), "measure", F.col("__day").alias("day"), "total"
             )
         )
-    return union_all(parts)
+    return union_all(parts, empty(df, "date_column string, measure string, day date, total double"))
 
 
 def trend_summaries(df: DataFrame, share: float = 0.7, min_periods: int = 5) -> DataFrame:
@@ -170,6 +173,11 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 30, m
     """
     df = nan_to_null(df)
     columns = with_distinct(df, columns or columns_of(df, NUMERIC), min_distinct)
+    if not columns:
+        return empty(
+            df,
+            "column string, bin bigint, low double, high double, n bigint, mean double, median double, width double, total bigint",
+        )
     facts = column_facts(
         df,
         columns,
@@ -249,13 +257,16 @@ def box_stats(df: DataFrame, columns: list[str] | None = None, factor: float = 1
         }
         return {**{k: F.round(e, 4) for k, e in out.items()}, "outliers": F.count_if(outside(c, m))}
 
-    return per_column(df, columns, measures)
+    names = ("q1", "median", "q3", "lower_fence", "upper_fence", "whisker_low", "whisker_high")
+    return per_column(df, columns, measures, none=", ".join(f"{k} double" for k in names) + ", outliers bigint")
 
 
 def box_points(df: DataFrame, columns: list[str] | None = None, factor: float = 1.5) -> DataFrame:
     """``(column, value)`` for every value outside its fences."""
     df = nan_to_null(df)
     columns = with_distinct(df, columns or columns_of(df, NUMERIC), 5)
+    if not columns:
+        return empty(df, "column string, value double")
     marks = fences(df, columns, factor)
     values = df.select(*[F.when(outside(c, marks[c]), col(c).cast("double")).alias(c) for c in columns])
     return values.unpivot([], [col(c) for c in columns], "column", "value").where("value is not null")
@@ -273,12 +284,13 @@ def violin_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             "mean": F.round(F.avg(col(c).cast("double")), 4),
             **{k: F.round(F.lit(marks[c][k]), 4) for k in ("median", "q1", "q3")},
         },
+        none="mean double, median double, q1 double, q3 double",
     )
 
 
 def missing_bars(df: DataFrame) -> DataFrame:
     df = nan_to_null(df)
-    return per_column(df, df.columns, lambda c: {"missing": F.count_if(col(c).isNull())}).where("missing > 0")
+    return per_column(df, df.columns, lambda c: {"missing": F.count_if(col(c).isNull())}, none="missing bigint").where("missing > 0")
 
 
 # --- pairs -------------------------------------------------------------------

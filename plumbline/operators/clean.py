@@ -111,7 +111,8 @@ def fingerprint_measures(c: Column) -> dict[str, Column]:
     return {
         "missing": F.count_if(c.isNull()),
         "xor": F.bit_xor(h),
-        "sum": F.sum(h.cast("decimal(20,0)")).cast("string"),
+        # a sum of decimal(28) has 38 digits, enough for any number of 19-digit hashes
+        "sum": F.sum(h.cast("decimal(28,0)")).cast("string"),
     }
 
 
@@ -122,14 +123,14 @@ def equal_pairs(df: DataFrame, facts: dict, values: dict[str, Column] | None = N
     groups: dict[tuple, list[str]] = {}
     for c in facts:
         groups.setdefault((types[c], facts[c]["missing"], facts[c]["xor"], facts[c]["sum"]), []).append(c)
-    pairs = [(a, b) for g in groups.values() for i, a in enumerate(g) for b in g[i + 1 :]]
-    if not pairs:
-        return {}
-    row = df.agg(*[F.every(values[a].eqNullSafe(values[b])).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
     same: dict[str, str] = {}
-    for i, (a, b) in enumerate(pairs):
-        if row[i] and a not in same and b not in same:
-            same[b] = a
+    todo = [g for g in groups.values() if len(g) > 1]
+    while todo:
+        # every column against the first of its group; those that differ form a group of their own
+        pairs = {b: g[0] for g in todo for b in g[1:]}
+        found = column_facts(df, list(pairs), lambda b: {"equal": F.every(values[pairs[b]].eqNullSafe(values[b]))}, buffers=1)
+        same |= {b: a for b, a in pairs.items() if found[b]["equal"]}
+        todo = [rest for g in todo if len(rest := [c for c in g[1:] if c not in same]) > 1]
     return same
 
 
@@ -167,8 +168,12 @@ def dedupe(df: DataFrame) -> DataFrame:
 
 def outlier_rows(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     """Rows whose value lies outside the fences; the fences are two literals in the filter."""
-    df = nan_to_null(df)
-    return df.where(outside(column, fences(df, [column], factor)[column]))
+    fence = fences(nan_to_null(df), [column], factor)[column]
+    if fence["low"] is None:
+        return nan_to_null(df).where(F.lit(False))
+    # on the column as stored, so that the scan skips what lies within; NaN sorts above all numbers
+    far = (col(column) < fence["low"]) | (col(column) > fence["high"])
+    return nan_to_null(df.where(far)).where(outside(column, fence))
 
 
 # --- text --------------------------------------------------------------------
@@ -353,9 +358,9 @@ def apply_fills(df: DataFrame, fills: dict) -> DataFrame:
     return replace_columns(df, {c: filled(df, c, v) for c, v in fills.items()})
 
 
-def fill_numeric(df: DataFrame, how: str = "auto") -> DataFrame:
+def fill_numeric(df: DataFrame, how: str = "auto", words: tuple[str, ...] = INTEGER_WORDS) -> DataFrame:
     df = nan_to_null(df)
-    return apply_fills(df, find_numeric_fills(df, how))
+    return apply_fills(df, find_numeric_fills(df, how, words))
 
 
 def find_text_fills(

@@ -81,14 +81,16 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None, digits: int =
             **{k: F.round(e, digits) for k, e in stats.items()},
         }
 
-    return per_column(df, columns, measures, buffers=12)
+    none = "count bigint, missing bigint, " + ", ".join(f"{k} double" for k in ("mean", "median", "std", "variance", "min", "max", "q1", "q3"))
+    return per_column(df, columns, measures, buffers=12, none=none)
 
 
 def categorical_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, missing, distinct, mode and mode frequency per text or boolean column."""
     df = nan_to_null(df)
     columns = columns or columns_of(df, TEXT, BOOLEAN)
-    counts = per_column(df, columns, lambda c: {"count": F.count(col(c)), "missing": F.count_if(col(c).isNull())})
+    measures = lambda c: {"count": F.count(col(c)), "missing": F.count_if(col(c).isNull())}
+    counts = per_column(df, columns, measures, none="count bigint, missing bigint")
     return counts.join(distinct_and_mode(df, columns), "column").select(
         "column", "count", "missing", "distinct", F.col("top_value").alias("mode"), F.col("top_count").alias("mode_count")
     )
@@ -110,7 +112,8 @@ def iqr_outliers(df: DataFrame, columns: list[str] | None = None, options: Profi
             "upper_fence": F.round(_double(marks[c]["high"]), 4),
         }
 
-    return per_column(df, columns, measures).where(F.col("values") >= options.min_values_for_fences)
+    none = "values bigint, outliers bigint, outlier_pct double, lower_fence double, upper_fence double"
+    return per_column(df, columns, measures, none=none).where(F.col("values") >= options.min_values_for_fences)
 
 
 def missing_analysis(df: DataFrame, options: ProfileOptions = DEFAULT) -> DataFrame:
@@ -127,7 +130,7 @@ def missing_analysis(df: DataFrame, options: ProfileOptions = DEFAULT) -> DataFr
         F.col("missing_pct"), [(options.severity_high, "high"), (options.severity_medium, "medium")], "low"
     )
     return (
-        per_column(df, df.columns, measures)
+        per_column(df, df.columns, measures, none="missing bigint, missing_pct double, suggested_fill string")
         .where("missing > 0")
         .withColumn("severity", severity)
         .orderBy(F.desc("missing_pct"), "column")
@@ -162,7 +165,10 @@ def column_profile(df: DataFrame, options: ProfileOptions = DEFAULT) -> DataFram
             "outliers": out.cast("bigint"),
         }
 
-    facts = per_column(df, names, measures, buffers=14)
+    none = "rows bigint, dtype string, missing bigint, missing_pct double, sample_value string, bytes bigint, " + ", ".join(
+        f"{k} double" for k in ("min", "max", "mean", "median", "std")
+    )
+    facts = per_column(df, names, measures, buffers=14, none=f"{none}, outliers bigint")
     is_numeric = F.col("column").isin(*numeric)
     return facts.join(distinct_and_mode(df, names), "column").select(
         "column",
@@ -190,7 +196,8 @@ def storage_estimate(df: DataFrame, options: ProfileOptions = DEFAULT) -> DataFr
     df = nan_to_null(df)
     names = groupable(df)
     numeric, text = columns_of(df, NUMERIC), columns_of(df, TEXT)
-    facts = per_column(df, names, lambda c: {"rows": F.count(F.lit(1)), "bytes": byte_size(df, c).cast("bigint")})
+    measures = lambda c: {"rows": F.count(F.lit(1)), "bytes": byte_size(df, c).cast("bigint")}
+    facts = per_column(df, names, measures, none="rows bigint, bytes bigint")
     share = (
         F.when(F.col("column").isin(*numeric), options.numeric_saving)
         .when(
@@ -240,8 +247,12 @@ def strong_correlations(df: DataFrame, threshold: float = DEFAULT.strong_correla
 # --- whole-table facts and scores --------------------------------------------
 
 
-def dataset_facts(df: DataFrame, options: ProfileOptions = DEFAULT) -> DataFrame:
-    """One row of whole-table facts that the scores and rules below read."""
+def dataset_facts(df: DataFrame, options: ProfileOptions = DEFAULT, identifiers: bool = True) -> DataFrame:
+    """One row of whole-table facts that the scores and rules below read.
+
+    Finding identifiers counts distinct values; without ``identifiers`` their
+    number is NULL.
+    """
     df = nan_to_null(df)
     names = groupable(df)
     facts = column_facts(df, names, lambda c: {**constant_measures(c), "bytes": byte_size(df, c).cast("bigint")})
@@ -258,7 +269,7 @@ def dataset_facts(df: DataFrame, options: ProfileOptions = DEFAULT) -> DataFrame
         "duplicate_pct": duplicates / rows * 100 if rows else 0.0,
         "empty_columns": sum(f["missing"] == rows for f in facts.values()),
         "constant_columns": sum(bool(f["is_constant"]) for f in facts.values()),
-        "identifier_columns": len(identifier_names(df, options)),
+        "identifier_columns": len(identifier_names(df, options)) if identifiers else None,
         "numeric_columns": len(columns_of(df, NUMERIC)),
         "text_columns": len(columns_of(df, TEXT)),
         "boolean_columns": len(columns_of(df, BOOLEAN)),
@@ -271,11 +282,11 @@ def dataset_facts(df: DataFrame, options: ProfileOptions = DEFAULT) -> DataFrame
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
-    return dataset_facts(df).drop("empty_columns", "constant_columns", "identifier_columns", "duplicate_pct")
+    return dataset_facts(df, identifiers=False).drop("empty_columns", "constant_columns", "identifier_columns", "duplicate_pct")
 
 
 def quality_counts(df: DataFrame) -> DataFrame:
-    return dataset_facts(df).select("empty_columns", "constant_columns", "duplicate_rows", "missing_cells")
+    return dataset_facts(df, identifiers=False).select("empty_columns", "constant_columns", "duplicate_rows", "missing_cells")
 
 
 def duplicate_analysis(df: DataFrame) -> DataFrame:

@@ -10,10 +10,10 @@ from plumbline.functions.exprs import to_time
 from plumbline.functions.schema import BOOLEAN, DATETIME, NUMERIC, TEXT, col, columns_of, family, nan_to_null
 
 DEFAULT = ProfileOptions()
-# Columns whose estimated distinct share is below this cannot pass the identifier
-# ratio: the estimate's standard error is 5 %, and this leaves more than five of
-# them.  Such columns skip the exact count.
-NEAR_UNIQUE = 0.70
+# Columns whose estimated distinct values are below this share of what the ratio
+# asks for cannot pass it: the estimate's standard error is 5 %, and this leaves
+# six of them.  Such columns skip the exact count.
+NEAR = 0.70
 
 
 def constant_measures(name: str) -> dict:
@@ -29,17 +29,20 @@ def constant_columns(df: DataFrame) -> DataFrame:
     Equal minimum and maximum decide it, so no distinct count is shuffled.
     """
     df = nan_to_null(df)
-    return per_column(df, groupable(df), constant_measures).where("is_constant").drop("is_constant")
+    return per_column(df, groupable(df), constant_measures, none="rows bigint, missing bigint, is_constant boolean").where("is_constant").drop("is_constant")
 
 
 def constant_names(df: DataFrame) -> list[str]:
     return [r["column"] for r in constant_columns(df).collect()]
 
 
-def near_unique(df: DataFrame, columns: list[str]) -> list[str]:
-    """Columns worth an exact distinct count when looking for identifiers."""
+def near_unique(df: DataFrame, columns: list[str], ratio: float) -> list[str]:
+    """Columns worth an exact distinct count when looking for a distinct share over ``ratio``.
+
+    The estimate leaves out missing values, which count as one.
+    """
     rows, guess = df.count(), approx_distinct(df, columns)
-    return [c for c in columns if guess[c] >= NEAR_UNIQUE * rows > 0]
+    return [c for c in columns if rows and guess[c] + 1 >= NEAR * ratio * rows]
 
 
 def identifier_columns(df: DataFrame, options: ProfileOptions = DEFAULT, substring: bool = False) -> DataFrame:
@@ -50,7 +53,7 @@ def identifier_columns(df: DataFrame, options: ProfileOptions = DEFAULT, substri
     df = nan_to_null(df)
     names = groupable(df)
     by_name = [c for c in names if name_matches(c, options.identifier_words, substring)]
-    rest = near_unique(df, [c for c in names if c not in by_name])
+    rest = near_unique(df, [c for c in names if c not in by_name], options.identifier_ratio)
     schema = "column string, reason string, distinct_pct double"
     out = df.sparkSession.createDataFrame([(c, "name", None) for c in by_name], schema)
     if rest:
@@ -82,7 +85,8 @@ def datetime_columns(df: DataFrame, share: float = DEFAULT.date_share) -> DataFr
             "keep": F.lit(c in typed) | (parsed >= F.lit(share) * F.count(F.lit(1))) & (parsed > 0),
         }
 
-    return per_column(df, names, measures).where("keep").drop("keep")
+    none = "parsed bigint, date_share double, keep boolean"
+    return per_column(df, names, measures, none=none).where("keep").drop("keep")
 
 
 def feature_types(df: DataFrame, options: ProfileOptions = DEFAULT) -> DataFrame:

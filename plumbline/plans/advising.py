@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.config import TARGET_WORDS, name_words
+from plumbline.config import TargetRules, name_words
 from plumbline.operators import advice, profile
 from plumbline.plans.fixtures import Catalog, Query, cte, table
 from plumbline.plans.profiling import CATALOG as PROFILING
@@ -58,10 +58,14 @@ _LOG = (
 )
 
 
+# What the given tables may be asked to predict.
+TARGETS = TargetRules(words=("orderstatus", "totalprice", "quality", "toxic"))
+
+
 def _target_sql(columns, source):
     def one(c):
         t = columns[c]
-        words = 50 * sum(w in name_words(c) for w in TARGET_WORDS)
+        words = 50 * sum(w in name_words(c) for w in TARGETS.words)
         text = 30 if t == "string" else 0
         two = 0 if t == "string" else 40
         many = 20 if t in NUMBERS else 0
@@ -119,14 +123,14 @@ CATALOG: Catalog = {
         UNION ALL SELECT "column", 'cap or transform outliers' FROM outl WHERE outliers > 0""",
     ),
     "target_candidates": Query(
-        _orders(advice.target_candidates), f"{cte('dirty_orders')}, {_target_sql(_ORDERS_SCORED, 'dirty_orders')} SELECT * FROM targets"
+        _orders(lambda df: advice.target_candidates(df, TARGETS)), f"{cte('dirty_orders')}, {_target_sql(_ORDERS_SCORED, 'dirty_orders')} SELECT * FROM targets"
     ),
     "target_candidates_docs": Query(
-        lambda spark, sf: advice.target_candidates(table(spark, sf, "scored_docs")),
+        lambda spark, sf: advice.target_candidates(table(spark, sf, "scored_docs"), TARGETS),
         f"{cte('scored_docs')}, {_target_sql(_DOCS, 'scored_docs')} SELECT * FROM targets",
     ),
     "model_suggestion": Query(
-        _orders(advice.model_suggestion),
+        _orders(lambda df: advice.model_suggestion(df, rules=TARGETS)),
         f"""{FACTS}, {_target_sql(_ORDERS_SCORED, "dirty_orders")},
           best AS (SELECT "column", problem_type FROM targets ORDER BY score DESC, "column" LIMIT 1)
         SELECT best."column" AS target, problem_type, CASE WHEN "rows" < 1000 THEN l || ', decision tree'

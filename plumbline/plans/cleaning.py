@@ -11,6 +11,8 @@ from plumbline.plans.fixtures import Catalog, Query, cte, table
 from plumbline.plans.profiling import ORDERS, quartiles_sql, top_sql
 from plumbline.sources import io
 
+# Words for whole-number quantities in the given tables.
+QUANTITIES = ("count",)
 EVENTS = ("event_id", "user_id", "ts", "event_type", "value", "visits_count", "price_text")
 ORDERS_TEXT = [c for c, t in ORDERS.items() if t == "string"]
 
@@ -198,11 +200,11 @@ CATALOG: Catalog = {
         f"""{_E} {select(EVENTS, {'value': "CASE WHEN abs(value) < CAST('Infinity' AS DOUBLE) THEN value END"}, 'dirty_events')}""",
     ),
     "integer_clean": Query(
-        _events(clean.clean_integers),
+        _events(lambda df: clean.clean_integers(df, QUANTITIES)),
         f"""{_E} {select(EVENTS, {'visits_count': "CASE WHEN visits_count - floor(visits_count) <= 1e-8 THEN visits_count END"}, 'dirty_events')}""",
     ),
     "integer_restore": Query(
-        _events(lambda df: clean.restore_integers(clean.clean_integers(df))),
+        _events(lambda df: clean.restore_integers(clean.clean_integers(df, QUANTITIES), QUANTITIES)),
         f"""{_E} {select(EVENTS, {'visits_count': "CASE WHEN visits_count - floor(visits_count) <= 1e-8 THEN CAST(visits_count AS BIGINT) END"}, 'dirty_events')}""",
     ),
     "title_case": Query(
@@ -235,7 +237,7 @@ CATALOG: Catalog = {
     ),
     "dedupe": Query(_orders(clean.dedupe), f"{_O} SELECT DISTINCT * FROM dirty_orders"),
     "fill_numeric": Query(
-        _events(lambda df: clean.fill_numeric(clean.clean_integers(clean.replace_infinite(df))).drop("ts", "event_id", "user_id")),
+        _events(lambda df: clean.fill_numeric(clean.clean_integers(clean.replace_infinite(df), QUANTITIES), words=QUANTITIES).drop("ts", "event_id", "user_id")),
         f"""{_E}, f AS (SELECT event_type, price_text,
             CASE WHEN abs(value) < CAST('Infinity' AS DOUBLE) THEN value END AS value,
             CASE WHEN visits_count - floor(visits_count) <= 1e-8 THEN visits_count END AS visits_count FROM dirty_events)

@@ -34,20 +34,20 @@ def test_numeric_strings_share_counts_all_rows(spark):
 def test_infinite_and_fractional_values(spark):
     df = spark.createDataFrame([(float("inf"), 1.0), (float("-inf"), 2.5), (1.5, -3.0), (None, 2 + 1e-10)], "x double, item_count double")
     assert rows(clean.replace_infinite(df).select("x")) == [(1.5,), (None,), (None,), (None,)]
-    assert clean.clean_integers(df).where("item_count is null").count() == 1
+    assert clean.clean_integers(df, ("count",)).where("item_count is null").count() == 1
 
 
 def test_restore_integers_by_value_and_by_name(spark):
     df = spark.createDataFrame([(1.0, 2.0004, 1.5, 1e300), (None, 3.0, 2.0, 1.0)], "whole double, visits double, part double, huge double")
-    out = clean.restore_integers(df)
+    out = clean.restore_integers(df, ("visits",))
     assert dict(out.dtypes) == {"whole": "bigint", "visits": "bigint", "part": "double", "huge": "double"}
     assert rows(out.select("visits")) == [(2,), (3,)]
 
 
 def test_fill_numeric_options(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 2.0), (4, 9.0), (None, None)], "item_count int, x double")
-    assert rows(clean.fill_numeric(df))[:2] == [(1, 1.0), (1, 2.0)]
-    assert clean.find_numeric_fills(df, "auto") == {"item_count": 1, "x": 2.0}
+    assert rows(clean.fill_numeric(df, words=("count",)))[:2] == [(1, 1.0), (1, 2.0)]
+    assert clean.find_numeric_fills(df, "auto", ("count",)) == {"item_count": 1, "x": 2.0}
     assert clean.find_numeric_fills(df, "mean") == {"item_count": 2.0, "x": 4.0}
     assert clean.find_numeric_fills(df, "no such option") == {"item_count": 1.0, "x": 2.0}
     empty = spark.createDataFrame([(None,)], "x double")

@@ -76,10 +76,10 @@ def test_mode_ties_go_to_the_smallest_value_in_its_own_order(spark):
     assert counts.modes(df, ["n", "s"]) == {"n": 9, "s": "a"}
 
 
-def test_duplicate_rows_with_and_without_hash_pass(spark):
+def test_duplicate_rows_are_exact(spark):
     rows = [(1, None), (1, None), (None, 1), (2, "x"), (2, "x"), (2, "x")]
     df = spark.createDataFrame([(a, None if b is None else str(b)) for a, b in rows], "a int, b string")
-    assert counts.duplicate_rows(df) == counts.duplicate_rows(df, hash_first_rows=0) == 3
+    assert counts.duplicate_rows(df) == 3
 
 
 def test_with_distinct_is_exact_at_the_limit(spark):
