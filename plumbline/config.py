@@ -67,9 +67,10 @@ MIN_DATE_LENGTH, MAX_DATE_LENGTH = 8, 35
 
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
-# Upper bound on rows that may be collected or broadcast as a lookup.  Everything
+# Upper bounds on what may be collected or broadcast as a lookup.  Everything
 # larger takes a shuffle instead.
 LOOKUP_ROWS = 100_000
+LOOKUP_BYTES = 16 << 20
 
 # Up to this many non-missing values per column, Spark's one-pass exact
 # percentile is used; beyond it, the selection in functions.quantiles.

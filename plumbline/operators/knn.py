@@ -1,4 +1,4 @@
-"""Exact k nearest neighbours without a cross join.
+"""Exact k nearest neighbours by pruned blocks.
 
 Training points are grouped around pivots.  Each cell is summarised by its size,
 its radius and its few smallest pivot distances; from these summaries alone every
@@ -6,6 +6,10 @@ query bounds the distance of its k-th neighbour, and by the triangle inequality
 skips each cell that cannot hold a nearer point.  Cells are cut into blocks and
 queries into chunks of bounded size, so a crowded cell is many small tasks, and
 each task returns only its k best per query, never its pairs.
+
+What is skipped depends on the data.  Vectors without clusters, as in many
+dimensions, leave nothing to skip, and then every block meets every query: the
+work is queries times rows, the price of exactness.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from plumbline.functions.schema import col
 
@@ -49,15 +53,18 @@ def nearest(
 ) -> DataFrame:
     """``(query, neighbor, distance, rank[, payload])`` by Euclidean distance, ties by key.
 
+    Keys are whole numbers, or else compared as text, and must not repeat.
     ``exclude_self`` ignores a training point with the query's own key.
     """
+    whole = isinstance(train.schema[key].dataType, T.IntegralType) and isinstance(query.schema[key].dataType, T.IntegralType)
+    kind = "bigint" if whole else "string"
     payload_type = train.schema[payload].dataType.simpleString() if payload else "int"
     points = train.select(
-        col(key).cast("bigint").alias("id"),
+        col(key).cast(kind).alias("id"),
         col(vector).cast("array<double>").alias("vec"),
         (col(payload) if payload else F.lit(0)).alias("payload"),
     )
-    asked = query.select(col(key).cast("bigint").alias("qid"), col(vector).cast("array<double>").alias("qvec"))
+    asked = query.select(col(key).cast(kind).alias("qid"), col(vector).cast("array<double>").alias("qvec"))
 
     size = points.count()
     if size == 0:
@@ -74,7 +81,7 @@ def nearest(
             cell = d.argmin(1)
             yield pdf.assign(cell=cell.astype("int32"), reach=d[np.arange(len(pdf)), cell])
 
-    placed = points.mapInPandas(place, f"id bigint, vec array<double>, payload {payload_type}, cell int, reach double")
+    placed = points.mapInPandas(place, f"id {kind}, vec array<double>, payload {payload_type}, cell int, reach double")
 
     # Per cell: size, radius and the few nearest members; at most MAX_PIVOTS rows.
     by_reach = Window.partitionBy("cell").orderBy("reach", "id")
@@ -121,7 +128,7 @@ def nearest(
                 rows, where = visits(pdf)
                 yield pdf.iloc[rows].assign(cell=where)
 
-    routed = asked.mapInPandas(route, "qid bigint, cell int")
+    routed = asked.mapInPandas(route, f"qid {kind}, cell int")
     # Rows per cell decide how many chunks its queries make; at most MAX_PIVOTS rows.
     load = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     chunks = {int(c): max(1, math.ceil(load.get(int(c), 0) / chunk_rows)) for c in ids}
@@ -139,23 +146,25 @@ def nearest(
         .select("cell", "block", "chunk", "id", "vec", "payload")
     )
     right = (
-        asked.mapInPandas(carry, "qid bigint, qvec array<double>, cell int")
+        asked.mapInPandas(carry, f"qid {kind}, qvec array<double>, cell int")
         .join(F.broadcast(grid), "cell")
         .withColumn("chunk", spread("n_chunks", "qid"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .select("cell", "block", "chunk", "qid", "qvec")
     )
 
+    plain = np.int64 if whole else np.str_
+
     def best(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query": [], "neighbor": [], "distance": [], "payload": []})
         if not len(points) or not len(queries):
             return empty
         points = points.sort_values("id")
-        pid, pvec, extra = points["id"].to_numpy(), _matrix(points["vec"]), points["payload"].to_numpy()
+        pid, pvec, extra = points["id"].to_numpy(plain), _matrix(points["vec"]), points["payload"].to_numpy()
         out = []
         for start in range(0, len(queries), 512):
             part = queries.iloc[start : start + 512]
-            qid, qvec = part["qid"].to_numpy(), _matrix(part["qvec"])
+            qid, qvec = part["qid"].to_numpy(plain), _matrix(part["qvec"])
             d = _distances(qvec, pvec)
             if exclude_self:
                 d[qid[:, None] == pid[None, :]] = np.inf
@@ -175,7 +184,7 @@ def nearest(
     candidates = (
         left.groupBy("cell", "block", "chunk")
         .cogroup(right.groupBy("cell", "block", "chunk"))
-        .applyInPandas(best, f"query bigint, neighbor bigint, distance double, payload {payload_type}")
+        .applyInPandas(best, f"query {kind}, neighbor {kind}, distance double, payload {payload_type}")
     )
     closest = Window.partitionBy("query").orderBy("distance", "neighbor")
     out = candidates.withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= k)

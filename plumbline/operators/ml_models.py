@@ -29,21 +29,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.storagelevel import StorageLevel
 from pyspark.util import inheritable_thread_target
 
-from plumbline.functions.schema import col, nan_to_null
+from plumbline.functions.exprs import currency_to_number
+from plumbline.functions.schema import TEXT, col, family, nan_to_null
 from plumbline.operators import knn
 from plumbline.operators.ml_metrics import classification_metrics, regression_metrics
 from plumbline.operators.ml_prepare import (
     Preparation,
     as_category,
     encode,
+    fit_codes,
     fit_preparation,
     model_input,
+    problem_type,
     stratified_split,
     unseen_categories,
 )
 from plumbline.session import materialize
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
+# Classes of a classifier's target at most; beyond them it is a regression on codes.
+MAX_CLASSES = 1000
 # Rounds of reweighting between two writes of the weighted rows.
 ROUNDS_PER_CUT = 8
 
@@ -138,10 +143,12 @@ def _ada_regress(model: Fitted, df: DataFrame) -> DataFrame:
 
 
 def _knn(model: Fitted, df: DataFrame) -> DataFrame:
-    rows = df.withColumn("__vec", vector_to_array("features"))
+    """Rows get numbers of their own, written once, so keys may repeat or be text."""
+    numbered = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "asked")
+    rows = numbered.withColumn("__vec", vector_to_array("features"))
     run = knn.classify if model.task == CLASSIFICATION else knn.regress
-    found = run(model.extra["train"], rows, "__key", "__vec", "label", model.extra["k"])
-    return df.join(found.withColumnRenamed("query", "__key"), "__key").select(*df.columns, "prediction")
+    found = run(model.extra["train"], rows, "__row", "__vec", "label", model.extra["k"])
+    return numbered.join(found.withColumnRenamed("query", "__row"), "__row").select(*df.columns, "prediction")
 
 
 PREDICTORS: dict[str, Callable[[Fitted, DataFrame], DataFrame]] = {
@@ -231,7 +238,9 @@ def _fit_ada_regress(train, s, info):
 
 def _fit_knn(task):
     def fit(train, s, info):
-        rows = materialize(train.select("__key", vector_to_array("features").alias("__vec"), "label"), "neighbors")
+        # numbered in order of key, which is what breaks ties between neighbours
+        rows = train.select("__key", vector_to_array("features").alias("__vec"), "label").orderBy("__key", "label")
+        rows = materialize(rows.select(F.monotonically_increasing_id().alias("__row"), "__vec", "label"), "neighbors")
         return Fitted("knn", task, extra={"train": rows, "k": s.neighbors})
 
     return fit
@@ -323,9 +332,21 @@ def vectors(df: DataFrame, prep: Preparation) -> DataFrame:
     return VectorAssembler(inputCols=prep.features, outputCol="features").transform(model_input(df, prep))
 
 
-def training_set(df: DataFrame, target: str, features: list[str], key: str, task: str, seed: int = 42) -> TrainingSet:
-    """Split, prepare and write once; all models then read the same two tables."""
+def training_set(
+    df: DataFrame, target: str, features: list[str], key: str, task: str | None = None, seed: int = 42
+) -> TrainingSet:
+    """Split, prepare and write once; all models then read the same two tables.
+
+    The key may have any type.  Without a ``task`` the target decides it
+    (``problem_type``).  A text target of a regression becomes numbers: those it
+    spells, such as money, or else its codes in text order.  So does a target of
+    more than ``MAX_CLASSES`` classes, which no classifier here can tell apart.
+    """
     df = nan_to_null(df).where(col(target).isNotNull()).select(*map(col, dict.fromkeys((key, target, *features))))
+    facts = problem_type(df, target).first()
+    task = task or facts["problem_type"]
+    if task == CLASSIFICATION and facts["distinct"] > MAX_CLASSES:
+        task = REGRESSION
     if task == CLASSIFICATION:
         split = stratified_split(df, target, key, seed=seed)
     else:
@@ -335,13 +356,17 @@ def training_set(df: DataFrame, target: str, features: list[str], key: str, task
     classes: list[str] = []
     if task == CLASSIFICATION:
         # Spark ML needs the classes of a target as a small, dense range.
-        classes = sorted(r[0] for r in df.select(as_category(col(target))).distinct().limit(1001).collect())
-        if len(classes) > 1000:
-            raise ValueError(f"{target!r} has too many classes for a classifier")
+        classes = sorted(r[0] for r in df.select(as_category(col(target))).distinct().collect())
         label = F.array_position(F.array(*map(F.lit, classes)), as_category(col(target))).cast("double") - 1
-    else:
+    elif family(df.schema[target].dataType) != TEXT:
         label = col(target).cast("double")
-    rows = split.withColumns({"__key": col(key).cast("bigint"), "label": label})
+    elif facts["target_values"] == "parsed":
+        label = currency_to_number(col(target))
+    else:
+        split = split.withColumn("__target", col(target))
+        split = encode(split, fit_codes(split, ["__target"]), ["__target"])
+        label = col("__target").cast("double")
+    rows = split.withColumns({"__key": col(key), "label": label}).where("label is not null")
     ready = materialize(vectors(rows, prep).select("__key", "features", "label", "is_test"), "training")
     parts = [ready.where(cond).drop("is_test") for cond in (~F.col("is_test"), F.col("is_test"))]
     info = {"rows": parts[0].count(), "dim": len(features), "classes": len(classes)}
@@ -402,6 +427,12 @@ def leaderboard(
     return board, {n: model for n, (model, _) in zip(names, found)}
 
 
+def best(data: TrainingSet, settings: ModelSettings = ModelSettings(), names: list[str] | None = None) -> Fitted:
+    """The model that leads the leaderboard."""
+    board, models = leaderboard(data, settings, names)
+    return models[board.first()["model"]]
+
+
 # --- scoring -----------------------------------------------------------------
 
 
@@ -432,7 +463,7 @@ def score(df: DataFrame, data: TrainingSet, model: Fitted) -> DataFrame:
     Class predictions come back as the original labels.
     """
     good = _judged(df, data.prep).where("reason is null").drop("reason")
-    ready = vectors(good.withColumn("__key", col(data.key).cast("bigint")), data.prep).select("__key", "features")
+    ready = vectors(good.withColumn("__key", col(data.key)), data.prep).select("__key", "features")
     out = model.predict(ready)
     value = F.col("prediction")
     if data.task == CLASSIFICATION:

@@ -6,16 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.config import LOOKUP_ROWS
+from plumbline.config import LOOKUP_BYTES, LOOKUP_ROWS
 from plumbline.functions.counts import column_facts, value_counts
 from plumbline.functions.exprs import currency_to_number, epoch_micros, to_number
 from plumbline.functions.schema import DATETIME, NUMERIC, TEXT, col, columns_of, family, nan_to_null, replace_columns
 from plumbline.session import bounded, materialize
 
 MISSING = "(missing)"
-# A value is hot when it holds at least this share of the rows; at most
-# ``1 / HOT_SHARE`` values can, so their lookup is always small enough to broadcast.
-HOT_SHARE = 0.001
 
 
 def features_and_target(df: DataFrame, target: str) -> tuple[list[str], str]:
@@ -66,23 +63,18 @@ def _codes_by_range(counts: DataFrame) -> DataFrame:
 def encode(df: DataFrame, codes: DataFrame, columns: list[str], small_rows: int = LOOKUP_ROWS) -> DataFrame:
     """Replace each column by its code; values without a code become NULL.
 
-    A small code table is broadcast.  A large one is joined in two parts: hot values
-    by broadcast, the rest by shuffle, so one frequent value cannot fill one task.
+    One left join per column, so the input is read once however many there are.  A
+    column with few codes is joined by broadcast, its size checked first; the
+    others by shuffle, where adaptive execution splits the partitions of values
+    that are frequent in ``df`` itself.
     """
-    table, small = bounded(codes, small_rows)
+    coded = codes.where(F.col("column").isin(*columns)).groupBy("column")
+    facts = coded.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes")).collect()
+    small = {r["column"] for r in facts if r["n"] <= small_rows and r["bytes"] <= LOOKUP_BYTES}
     for c in columns:
-        lookup = table.where(F.col("column") == c).select(F.col("value").alias("__value"), F.col("code").alias("__code"), "n")
+        lookup = codes.where(F.col("column") == c).select(F.col("value").alias("__value"), F.col("code").alias("__code"))
         keyed = df.withColumn("__value", as_category(col(c)))
-        if small:
-            df = _take_code(keyed.join(F.broadcast(lookup.drop("n")), "__value", "left"), c)
-            continue
-        total = lookup.agg(F.sum("n").alias("t")).first()["t"] or 0
-        is_hot = F.col("n") >= max(1, HOT_SHARE * total)
-        hot, cold = (lookup.where(cond).drop("n") for cond in (is_hot, ~is_hot))
-        by_hot = keyed.join(F.broadcast(hot), "__value", "left")
-        done = by_hot.where("__code is not null")
-        rest = by_hot.where("__code is null").drop("__code").join(cold.hint("merge"), "__value", "left")
-        df = _take_code(done.unionByName(rest), c)
+        df = _take_code(keyed.join(F.broadcast(lookup) if c in small else lookup.hint("merge"), "__value", "left"), c)
     return df
 
 
@@ -107,7 +99,8 @@ def unseen_categories(df: DataFrame, codes: DataFrame, columns: list[str], list_
     """``(column, value, n, allowed_count, allowed)``: values the codes do not know.
 
     Both sides are distinct values, so a frequent value is one row.  ``allowed``
-    lists the known values where a column has at most ``list_up_to`` of them.
+    spells out the known values where a column has at most ``list_up_to`` of them;
+    ``codes`` holds them all.
     """
     seen = value_counts(df, columns).select("column", F.coalesce("value", F.lit(MISSING)).alias("value"), "n")
     known = codes.groupBy("column").agg(F.count(F.lit(1)).alias("allowed_count"))

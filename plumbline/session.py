@@ -7,8 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.config import LOOKUP_ROWS
+from plumbline.config import LOOKUP_BYTES, LOOKUP_ROWS
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -95,12 +96,19 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def bounded(df: DataFrame, limit: int = LOOKUP_ROWS) -> tuple[DataFrame, bool]:
-    """``(df, True)`` as a local relation when it has at most ``limit`` rows.
+def bounded(df: DataFrame, limit: int = LOOKUP_ROWS, most_bytes: int = LOOKUP_BYTES) -> tuple[DataFrame, bool]:
+    """``(df, True)`` as a local relation when it has at most ``limit`` rows of ``most_bytes`` in all.
 
-    At most ``limit + 1`` rows ever reach the driver, so the ``True`` case is a
-    proven bound and safe to broadcast; otherwise the input comes back untouched.
+    Where a column's values have no fixed width, rows and bytes are counted before
+    any row reaches the driver, so the ``True`` case is a proven bound and safe to
+    broadcast; otherwise the input comes back untouched.
     """
+    wide = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    if wide:
+        size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in wide), F.lit(0).cast("long"))
+        facts = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
+        if facts["rows"] > limit or (facts["bytes"] or 0) > most_bytes:
+            return df, False
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         return df, False

@@ -6,7 +6,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from plumbline.functions.schema import col, nan_to_null
+from plumbline.config import LOAD_TOKENS
+from plumbline.functions.exprs import to_number, to_time, tokens_to_null
+from plumbline.functions.schema import TEXT, col, columns_of, nan_to_null, replace_columns
 from plumbline.operators.clean import trim_names
 
 # File extensions and the Spark format that reads them.
@@ -14,12 +16,14 @@ FORMATS = {".csv": "csv", ".tsv": "csv", ".parquet": "parquet", ".json": "json",
 
 
 def load(
-    spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None, **options
+    spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None,
+    missing: tuple[str, ...] = LOAD_TOKENS, **options,
 ) -> DataFrame:
     """Read one table, choosing the format by extension.
 
-    CSV has a header row.  Give ``schema`` for large CSV input: without one, Spark
-    reads the files twice to infer it.
+    CSV has a header row, and a quote inside quotes is written twice.  Without a
+    ``schema``, spellings of "no value" (``missing``) become NULL and then one more
+    pass finds the columns that are whole numbers, numbers, flags or times.
     """
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     fmt = fmt or FORMATS.get(ext)
@@ -27,12 +31,41 @@ def load(
         raise ValueError(f"no reader for {path!r}; expected one of {', '.join(sorted(FORMATS))}")
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.options(header=True, sep="\t" if ext == ".tsv" else ",", nanValue="NaN", mode="PERMISSIVE")
-        if schema is None:
-            reader = reader.option("inferSchema", True)
+        reader = reader.options(header=True, sep="\t" if ext == ".tsv" else ",", escape='"', nanValue="NaN", mode="PERMISSIVE")
     if schema is not None:
         reader = reader.schema(schema)
-    return nan_to_null(trim_names(reader.options(**options).load(path)))
+    df = trim_names(reader.options(**options).load(path))
+    if fmt == "csv" and schema is None:
+        df = typed_by_content(replace_columns(df, {c: tokens_to_null(col(c), missing) for c in df.columns}))
+    return nan_to_null(df)
+
+
+def typed_by_content(df: DataFrame) -> DataFrame:
+    """Text columns retyped where every value fits: int, bigint, double, boolean, timestamp; one pass decides."""
+    measures = {
+        "present": F.count,
+        "whole": lambda c: F.count_if(c.rlike(r"^[+-]?[0-9]{1,18}$")),
+        "number": lambda c: F.count(to_number(c)),
+        "flag": lambda c: F.count_if(F.lower(c).isin("true", "false")),
+        "time": lambda c: F.count(to_time(c)),
+        "size": lambda c: F.max(F.abs(F.when(c.rlike(r"^[+-]?[0-9]{1,18}$"), c.try_cast("bigint")))),
+    }
+    names = columns_of(df, TEXT)
+    row = df.agg(F.count(F.lit(1)), *[m(col(c)).alias(f"{k}{i}") for i, c in enumerate(names) for k, m in measures.items()]).first()
+    new = {}
+    for i, c in enumerate(names):
+        f = {k: row[f"{k}{i}"] for k in measures}
+        if not f["present"]:
+            continue
+        if f["whole"] == f["present"]:
+            new[c] = col(c).cast("int" if f["size"] < 1 << 31 else "bigint")
+        elif f["number"] == f["present"]:
+            new[c] = to_number(col(c))
+        elif f["flag"] == f["present"]:
+            new[c] = F.lower(col(c)) == "true"
+        elif f["time"] == f["present"]:
+            new[c] = to_time(col(c))
+    return replace_columns(df, new)
 
 
 def save_table(df: DataFrame, directory: str, name: str = "cleaned", fmt: str = "parquet", mode: str = "error") -> str:

@@ -71,3 +71,30 @@ def test_rowwise_steps_run_on_a_stream(spark, sf_dir, tmp_path):
     expected = clean_rows(batch, fills={"value": 1.0})
     assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect()))
     assert got.where("value is null or event_type = ''").count() == 0
+
+
+def test_csv_as_people_write_it(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b,c,d,e,f\n"He said ""hi"", ok",10,NA,1.5,true,2024-01-05\nx,NA,n/a,-2,FALSE,2024-01-06 10:00:00\n"",5,7,none,,\n')
+    df = io.load(spark, str(path))
+    assert dict(df.dtypes) == {"a": "string", "b": "int", "c": "int", "d": "double", "e": "boolean", "f": "timestamp_ntz"}
+    assert [tuple(r)[:5] for r in df.collect()] == [
+        ('He said "hi", ok', 10, None, 1.5, True), ("x", None, None, -2.0, False), (None, 5, 7, None, None),
+    ]
+
+
+def test_bounded_counts_bytes_too(spark):
+    assert not bounded(spark.createDataFrame([("x" * 100,)], "s string"), 5, 99)[1]
+    assert bounded(spark.createDataFrame([("x" * 100,)], "s string"), 5, 100)[1]
+
+
+def test_written_tables_go_when_released(spark):
+    import os
+
+    from plumbline.session import release
+
+    df = materialize(spark.range(3))
+    path = df.inputFiles()[0].replace("file://", "").rsplit("/", 1)[0]
+    assert os.path.exists(path)
+    release(df)
+    assert not os.path.exists(path)
