@@ -5,13 +5,19 @@ with over a hundred of them leaves code generation.  Sums of centred values need
 buffer per column and per pair, and centring keeps them numerically stable.  Pairs
 with missing values get their own restricted sums, so each pair uses exactly the
 rows where both sides are present.
+
+Where the sums of many columns would take more than one scan, each task adds up
+matrix products of its Arrow batches instead, and one scan serves all pairs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.schema import col
@@ -75,12 +81,12 @@ def pair_moments(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str,
             if scope is not None or c not in full:
                 sums.setdefault(("n", c, scope), F.count(v))
         sums.setdefault(("p", x, y), F.sum(d[x] * d[y]))
-    got: dict[tuple, float] = {}
     keys = list(sums)
-    for i in range(0, len(keys), MAX_BUFFERS):
-        part = keys[i : i + MAX_BUFFERS]
-        row = df.agg(*[sums[k].alias(str(j)) for j, k in enumerate(part)]).first()
-        got |= {k: row[j] or 0.0 for j, k in enumerate(part)}
+    if len(keys) <= MAX_BUFFERS:
+        row = df.agg(*[sums[k].alias(str(j)) for j, k in enumerate(keys)]).first()
+        got = {k: row[j] or 0.0 for j, k in enumerate(keys)}
+    else:
+        got = _by_products(df.select(*[v.alias(str(i)) for i, v in enumerate(d.values())]), columns, keys)
 
     out = {}
     for x, y in pairs:
@@ -101,6 +107,29 @@ def pair_moments(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str,
     return out
 
 
+def _by_products(centred: DataFrame, columns: list[str], keys: list[tuple]) -> dict[tuple, float]:
+    """The sums of ``keys`` for all column pairs from one scan; four numbers a pair reach the driver."""
+    k = len(columns)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                x = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.slice(at, 4096).columns])
+                seen = ~np.isnan(x)
+                x, here = np.where(seen, x, 0.0), seen.astype(float)
+                total += np.stack([here.T @ here, x.T @ here, (x * x).T @ here, x.T @ x])
+        i, j = np.divmod(np.arange(k * k), k)
+        names = ["i", "j", "n", "s", "q", "p"]
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(t.ravel()) for t in total)], names)
+
+    parts = centred.mapInArrow(products, "i int, j int, n double, s double, q double, p double")
+    rows = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in "nsqp"]).collect()
+    at = {(columns[r["i"]], columns[r["j"]]): r for r in rows}
+    # a sum of x "where y is present" is the pair (x, y); without a condition it is (x, x)
+    return {key: at[key[1], key[2] or key[1]][key[0]] if at else 0.0 for key in keys}
+
+
 def _num(name: str) -> Column:
     return col(name).cast("double")
 

@@ -10,7 +10,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.config import HealthByCount, HealthByShare, ProfileOptions
+from plumbline.config import IN_MEMORY_VALUES, HealthByCount, HealthByShare, ProfileOptions
 from plumbline.functions.counts import (
     byte_size,
     column_facts,
@@ -31,10 +31,12 @@ DEFAULT = ProfileOptions()
 # --- fences ------------------------------------------------------------------
 
 
-def fences(df: DataFrame, columns: list[str], factor: float = DEFAULT.fence_factor) -> dict[str, dict]:
+def fences(
+    df: DataFrame, columns: list[str], factor: float = DEFAULT.fence_factor, in_memory: int = IN_MEMORY_VALUES
+) -> dict[str, dict]:
     """Quartiles and fences per column on the driver (five numbers each)."""
     out = {}
-    for c, (q1, median, q3) in exact_quantiles(df, columns, [0.25, 0.5, 0.75]).items():
+    for c, (q1, median, q3) in exact_quantiles(df, columns, [0.25, 0.5, 0.75], in_memory).items():
         if q1 is None:
             out[c] = {"q1": None, "median": None, "q3": None, "low": None, "high": None}
         else:
@@ -57,11 +59,16 @@ def _double(x):
 # --- per-column reports ------------------------------------------------------
 
 
-def numeric_stats(df: DataFrame, columns: list[str] | None = None, digits: int = 4) -> DataFrame:
-    """Count, missing, mean, median, spread, range and quartiles per numeric column."""
+def numeric_stats(
+    df: DataFrame, columns: list[str] | None = None, digits: int = 4, in_memory: int = IN_MEMORY_VALUES
+) -> DataFrame:
+    """Count, missing, mean, median, spread, range and quartiles per numeric column.
+
+    Columns of more than ``in_memory`` values get their quartiles by selection.
+    """
     df = nan_to_null(df)
     columns = columns or columns_of(df, NUMERIC)
-    marks = fences(df, columns)
+    marks = fences(df, columns, in_memory=in_memory)
 
     def measures(c):
         v = col(c).cast("double")

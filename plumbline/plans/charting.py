@@ -168,7 +168,7 @@ CATALOG: Catalog = {
             for y in numeric(LINEITEM)[i + 1 : 5]
         ),
     ),
-    "pair_plot_points": Query(
+    "point_sample": Query(
         _on("orders", lambda df: charts.point_sample(df, "o_orderkey", ["o_custkey", "o_totalprice"], 1000)),
         """SELECT o_orderkey, o_custkey, o_totalprice FROM orders
         ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|42'), o_orderkey LIMIT 1000""",

@@ -236,14 +236,6 @@ CATALOG: Catalog = {
         "SELECT event_id, epoch_us(ts) AS ts FROM events",
     ),
     "dedupe": Query(_orders(clean.dedupe), f"{_O} SELECT DISTINCT * FROM dirty_orders"),
-    "fill_numeric": Query(
-        _events(lambda df: clean.fill_numeric(clean.clean_integers(clean.replace_infinite(df), QUANTITIES), words=QUANTITIES).drop("ts", "event_id", "user_id")),
-        f"""{_E}, f AS (SELECT event_type, price_text,
-            CASE WHEN abs(value) < CAST('Infinity' AS DOUBLE) THEN value END AS value,
-            CASE WHEN visits_count - floor(visits_count) <= 1e-8 THEN visits_count END AS visits_count FROM dirty_events)
-        SELECT event_type, price_text, coalesce(value, {median_sql("value", "f")}) AS value,
-          coalesce(visits_count, {mode_sql("visits_count", "f")}) AS visits_count FROM f""",
-    ),
     "fill_categorical": Query(
         _orders(clean.fill_text),
         f"""{_O} {select(ORDERS, {c: f"coalesce({c}, {mode_sql(c, 'dirty_orders')}, 'Unknown')" for c in ORDERS_TEXT}, 'dirty_orders')}""",
@@ -276,9 +268,6 @@ CATALOG: Catalog = {
     "drop_high_missing": Query(
         _orders(clean.drop_sparse_columns), f"{_O} SELECT * EXCLUDE (empty_col, sparse_status) FROM dirty_orders"
     ),
-    "duplicate_columns": Query(
-        _orders(clean.duplicate_columns), "SELECT 'custkey_copy' AS \"column\", 'o_custkey' AS same_as"
-    ),
     "clean_full": Query(
         _orders(lambda df: clean_runs.clean_table(df, CleanOptions()).frame), _FULL + "SELECT * FROM settled"
     ),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from plumbline.functions.schema import col
@@ -86,16 +84,6 @@ def _ols(spark, sf):
     )
 
 
-def _linear(spark, sf):
-    """Spark ML least squares with one feature."""
-    df = table(spark, sf, "lineitem").select(col("l_quantity"), col("l_extendedprice").alias("label"))
-    rows = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(df)
-    m = LinearRegression(regParam=0.0, solver="normal").fit(rows)
-    return spark.createDataFrame(
-        [(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double"
-    ).select(F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
-
-
 def _knn(spark, sf):
     df = table(spark, sf, "embeddings")
     found = knn.classify(df, df, "vec_id", "embedding", "label", k=5, exclude_self=True)
@@ -215,11 +203,6 @@ CATALOG: Catalog = {
           v AS (SELECT vec_id, label, count(*) AS c FROM n WHERE r <= 5 GROUP BY 1, 2)
         SELECT vec_id, arg_min(label, (-c, label)) AS prediction FROM v GROUP BY 1""",
     ),
-    "ml_linear": Query(
-        _linear,
-        """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
-          round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem""",
-    ),
     "rejected_rows": Query(
         _rejected,
         f"""{_O}, u AS (SELECT o_orderkey, CASE

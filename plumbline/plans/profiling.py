@@ -164,6 +164,35 @@ _LINE_NULLS = " + ".join(f"(count(*) - count({c}))" for c in LINEITEM)
 _LINE_BYTES = " + ".join(bytes_sql(c, t) for c, t in LINEITEM.items())
 _LINE_COPIES = "count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem))"
 
+_STATS_SQL = each(
+    numeric(LINEITEM),
+    lambda c: f"""
+    SELECT '{c}' AS "column", count({c}) AS "count", count(*) - count({c}) AS missing,
+      round(avg({c}), 4) AS mean, round(any_value(q.med), 4) AS median, round(stddev_samp({c}), 4) AS std,
+      round(var_samp({c}), 4) AS variance, round(min(CAST({c} AS DOUBLE)), 4) AS "min",
+      round(max(CAST({c} AS DOUBLE)), 4) AS "max", round(any_value(q.q1), 4) AS q1, round(any_value(q.q3), 4) AS q3
+    FROM lineitem, {quartiles_sql(c, "lineitem")} q""",
+)
+
+# Columns of reports that are empty because the table lacks the kind of column they are about.
+_REPORTS = {
+    "numeric_stats": {"column": "VARCHAR", "count": "BIGINT", "missing": "BIGINT"}
+    | dict.fromkeys(("mean", "median", "std", "variance", "min", "max", "q1", "q3"), "DOUBLE"),
+    "iqr_outliers": {"column": "VARCHAR", "values": "BIGINT", "outliers": "BIGINT"}
+    | dict.fromkeys(("outlier_pct", "lower_fence", "upper_fence"), "DOUBLE"),
+    "categorical_stats": {"column": "VARCHAR", "count": "BIGINT", "missing": "BIGINT", "distinct": "BIGINT", "mode": "VARCHAR", "mode_count": "BIGINT"},
+    "datetime_columns": {"column": "VARCHAR", "parsed": "BIGINT", "date_share": "DOUBLE"},
+}
+
+
+def _no_rows(report):
+    return "SELECT " + ", ".join(f'CAST(NULL AS {t}) AS "{c}"' for c, t in _REPORTS[report].items()) + " WHERE 1 = 0"
+
+
+def _named(name, f):
+    return lambda spark, sf: f(table(spark, sf, name))
+
+
 CATALOG: Catalog = {
     "column_profile": Query(
         _orders(profile.column_profile), cte("dirty_orders") + column_profile_sql(ORDERS, "dirty_orders")
@@ -247,16 +276,27 @@ CATALOG: Catalog = {
           FROM dirty_orders''')})
         SELECT "column", "distinct" FROM r WHERE "distinct" >= 2 AND "distinct" <= top""",
     ),
-    "numeric_stats": Query(
-        _lineitem(profile.numeric_stats),
+    "numeric_stats": Query(_lineitem(profile.numeric_stats), _STATS_SQL),
+    # the same by selection, which otherwise starts at 250,000 values a column
+    "numeric_stats_selected": Query(_lineitem(lambda df: profile.numeric_stats(df, in_memory=0)), _STATS_SQL),
+    "numeric_stats_text_table": Query(_named("conversations", lambda df: profile.numeric_stats(df.select("role", "text"))), _no_rows("numeric_stats")),
+    "iqr_outliers_text_table": Query(_named("region", lambda df: profile.iqr_outliers(df.select("r_name"))), _no_rows("iqr_outliers")),
+    "categorical_stats_number_table": Query(_named("embeddings", profile.categorical_stats), _no_rows("categorical_stats")),
+    "datetime_columns_number_table": Query(_named("embeddings", roles.datetime_columns), _no_rows("datetime_columns")),
+    "feature_types_embeddings": Query(
+        _named("embeddings", roles.feature_types),
+        """SELECT 'vec_id' AS "column", 'bigint' AS dtype, 'numeric' AS role, count(DISTINCT vec_id) AS "distinct" FROM embeddings
+        UNION ALL SELECT 'label', 'int', 'numeric', count(DISTINCT label) FROM embeddings
+        UNION ALL SELECT 'embedding', 'array<float>', CASE WHEN count(DISTINCT embedding) > 50 THEN 'text' ELSE 'categorical' END,
+          count(DISTINCT embedding) FROM embeddings""",
+    ),
+    "feature_types_conversations": Query(
+        _named("conversations", roles.feature_types),
         each(
-            numeric(LINEITEM),
-            lambda c: f"""
-            SELECT '{c}' AS "column", count({c}) AS "count", count(*) - count({c}) AS missing,
-              round(avg({c}), 4) AS mean, round(any_value(q.med), 4) AS median, round(stddev_samp({c}), 4) AS std,
-              round(var_samp({c}), 4) AS variance, round(min(CAST({c} AS DOUBLE)), 4) AS "min",
-              round(max(CAST({c} AS DOUBLE)), 4) AS "max", round(any_value(q.q1), 4) AS q1, round(any_value(q.q3), 4) AS q3
-            FROM lineitem, {quartiles_sql(c, "lineitem")} q""",
+            {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"}.items(),
+            lambda c: f"""SELECT '{c[0]}' AS "column", '{c[1]}' AS dtype, CASE WHEN '{c[1]}' = 'bigint' THEN 'numeric'
+              WHEN count(DISTINCT {c[0]}) > 50 THEN 'text' ELSE 'categorical' END AS role, count(DISTINCT {c[0]}) AS "distinct"
+            FROM conversations""",
         ),
     ),
     "categorical_stats": Query(

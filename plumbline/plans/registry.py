@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import advising, charting, cleaning, modelling, profiling
+from plumbline.plans import advising, charting, cleaning, fitted, modelling, profiling, round_trips
 from plumbline.plans.fixtures import Catalog
 
 CATALOG: Catalog = {
@@ -11,4 +11,6 @@ CATALOG: Catalog = {
     **charting.CATALOG,
     **advising.CATALOG,
     **modelling.CATALOG,
+    **round_trips.CATALOG,
+    **fitted.CATALOG,
 }

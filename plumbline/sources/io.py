@@ -72,7 +72,7 @@ def save_table(df: DataFrame, directory: str, name: str = "cleaned", fmt: str =
     path = f"{directory.rstrip('/')}/{name}.{fmt}"
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(header=True, escape='"')
     writer.format(fmt).save(path)
     return path
 
