@@ -7,6 +7,7 @@ later decision would otherwise repeat the widest shuffle of the run.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,7 +18,7 @@ from plumbline.functions.exprs import title_case, to_time
 from plumbline.functions.schema import BOOLEAN, NUMERIC, TEXT, col, columns_of, nan_to_null, replace_columns
 from plumbline.operators import clean
 from plumbline.operators.roles import constant_names, identifier_names
-from plumbline.session import materialize
+from plumbline.session import materialize, release
 
 REPORT_SCHEMA = "seq bigint, step string, metric string, subject string, value bigint"
 
@@ -26,6 +27,12 @@ REPORT_SCHEMA = "seq bigint, step string, metric string, subject string, value b
 class Cleaned:
     frame: DataFrame
     facts: list[tuple]
+    written: DataFrame | None = None
+
+    def release(self) -> None:
+        """Delete the table the run has written; ``frame`` cannot be read afterwards."""
+        if self.written is not None:
+            release(self.written)
 
     def report(self, spark: SparkSession) -> DataFrame:
         """``(seq, step, metric, subject, value)``, one row per fact; ``subject`` is a column or NULL."""
@@ -62,16 +69,28 @@ def clean_table(df: DataFrame, options: CleanOptions = CleanOptions()) -> Cleane
         log.columns("numeric_strings", "unparsable", numeric_text)
 
     df, rows_before, rows = _rowwise_numbers(df, raw_text, o, log)
-    if o.drop_duplicates:
-        df = materialize(clean.dedupe(df), "deduped")
-        log.add("duplicates", "removed_rows", rows - (rows := df.count()))
-    df = _fill_and_cap(df, o, log)
-    df = _settle_columns(df, o, log)
+    with _deduped(df, o.drop_duplicates) as (df, written):
+        if o.drop_duplicates:
+            log.add("duplicates", "removed_rows", rows - (rows := df.count()))
+        df = _fill_and_cap(df, o, log)
+        df = _settle_columns(df, o, log)
     log.add("total", "rows_before", rows_before)
     log.add("total", "rows_after", rows)
     log.add("total", "columns_before", columns_before)
     log.add("total", "columns_after", len(df.columns))
-    return Cleaned(df, list(log))
+    return Cleaned(df, list(log), written)
+
+
+@contextmanager
+def _deduped(df, wanted):
+    """The distinct rows, written once, and that table; a run that fails leaves none behind."""
+    written = materialize(clean.dedupe(df), "deduped") if wanted else None
+    try:
+        yield (written if wanted else df), written
+    except Exception:
+        if wanted:
+            release(written)
+        raise
 
 
 def _rowwise_numbers(df, raw_text, o, log):
@@ -174,10 +193,18 @@ def clean_basic(df: DataFrame, options: BasicCleanOptions = BasicCleanOptions())
     o, log = options, _Log()
     df = nan_to_null(df)
     rows_before, columns_before = df.count(), len(df.columns)
-    rows = rows_before
+    with _deduped(df, o.drop_duplicates) as (df, written):
+        df, rows = _basic_steps(df, rows_before, o, log)
+    log.add("total", "rows_before", rows_before)
+    log.add("total", "rows_after", rows)
+    log.add("total", "columns_before", columns_before)
+    log.add("total", "columns_after", len(df.columns))
+    return Cleaned(df, list(log), written)
+
+
+def _basic_steps(df, rows, o, log):
     if o.drop_duplicates:
-        df = materialize(clean.dedupe(df), "deduped")
-        rows = df.count()
+        rows_before, rows = rows, df.count()
         log.add("duplicates", "removed_rows", rows_before - rows)
     if o.drop_constant:
         dropped = constant_names(df)
@@ -205,8 +232,4 @@ def clean_basic(df: DataFrame, options: BasicCleanOptions = BasicCleanOptions())
         fills = clean.find_text_fills(df, o.text_fill, o.fill_constant, missing)
         df = replace_columns(df, {c: F.coalesce(col(c), F.lit(v)) for c, v in fills.items()})
         log.columns("fill_text", "filled", {c: missing[c] for c in fills})
-    log.add("total", "rows_before", rows_before)
-    log.add("total", "rows_after", rows)
-    log.add("total", "columns_before", columns_before)
-    log.add("total", "columns_after", len(df.columns))
-    return Cleaned(df, list(log))
+    return df, rows

@@ -44,7 +44,7 @@ from plumbline.operators.ml_prepare import (
     stratified_split,
     unseen_categories,
 )
-from plumbline.session import materialize
+from plumbline.session import materialize, release
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
 # Classes of a classifier's target at most; beyond them it is a regression on codes.
@@ -186,15 +186,32 @@ def _fit_svm(task):
     return fit
 
 
-def _next_round(rows: DataFrame, i: int) -> DataFrame:
-    """Reweighted rows; written every few rounds, so the plan does not grow with the rounds."""
-    return materialize(rows, "boost") if i % ROUNDS_PER_CUT == ROUNDS_PER_CUT - 1 else rows
+class _Rounds:
+    """Reweighted rows; written every few rounds, so the plan does not grow with the rounds.
+
+    The table before is then needed no more; the last goes with ``release``.
+    """
+
+    def __init__(self) -> None:
+        self.kept: DataFrame | None = None
+
+    def next(self, rows: DataFrame, i: int) -> DataFrame:
+        if i % ROUNDS_PER_CUT != ROUNDS_PER_CUT - 1:
+            return rows
+        before, self.kept = self.kept, materialize(rows, "boost")
+        if before is not None:
+            release(before)
+        return self.kept
+
+    def release(self) -> None:
+        if self.kept is not None:
+            release(self.kept)
 
 
 def _fit_ada_classify(train, s, info):
     """SAMME: each round reweights the rows the round got wrong."""
     k, out = max(2, info["classes"]), Fitted("ada_classify", CLASSIFICATION, extra={"classes": max(2, info["classes"])})
-    rows = train.withColumn("__w", F.lit(1.0))
+    rows, rounds = train.withColumn("__w", F.lit(1.0)), _Rounds()
     for i in range(s.ada_rounds):
         tree = C.DecisionTreeClassifier(maxDepth=1, weightCol="__w", seed=s.seed + i).fit(rows)
         wrong = F.col("prediction") != F.col("label")
@@ -208,7 +225,8 @@ def _fit_ada_classify(train, s, info):
         if e <= 1e-10 or i + 1 == s.ada_rounds:
             break
         judged = judged.withColumn("__w", F.col("__w") * F.when(wrong, math.exp(alpha)).otherwise(1.0))
-        rows = _next_round(judged.select(*rows.columns), i)
+        rows = rounds.next(judged.select(*rows.columns), i)
+    rounds.release()
     if not out.stages:
         out.stages, out.weights = [tree], [1.0]
     return out
@@ -217,7 +235,7 @@ def _fit_ada_classify(train, s, info):
 def _fit_ada_regress(train, s, info):
     """AdaBoost.R2 with linear loss, over weighted trees instead of resampled ones."""
     out = Fitted("ada_regress", REGRESSION)
-    rows = train.withColumn("__w", F.lit(1.0))
+    rows, rounds = train.withColumn("__w", F.lit(1.0)), _Rounds()
     for i in range(s.ada_rounds):
         tree = R.DecisionTreeRegressor(maxDepth=s.ada_depth, weightCol="__w", seed=s.seed + i).fit(rows)
         judged = tree.transform(rows).withColumn("__e", F.abs(F.col("prediction") - F.col("label")))
@@ -232,7 +250,8 @@ def _fit_ada_regress(train, s, info):
         if loss == 0.0 or loss >= 0.5 or i + 1 == s.ada_rounds:
             break
         judged = judged.withColumn("__w", F.col("__w") * F.pow(F.lit(beta), 1.0 - F.col("__e") / top))
-        rows = _next_round(judged.select(*rows.columns), i)
+        rows = rounds.next(judged.select(*rows.columns), i)
+    rounds.release()
     return out
 
 
@@ -326,6 +345,12 @@ class TrainingSet:
     train: DataFrame
     test: DataFrame
     info: dict
+    written: DataFrame | None = None
+
+    def release(self) -> None:
+        """Delete the table both parts are read from; neither can be read afterwards."""
+        if self.written is not None:
+            release(self.written)
 
 
 def vectors(df: DataFrame, prep: Preparation) -> DataFrame:
@@ -370,7 +395,7 @@ def training_set(
     ready = materialize(vectors(rows, prep).select("__key", "features", "label", "is_test"), "training")
     parts = [ready.where(cond).drop("is_test") for cond in (~F.col("is_test"), F.col("is_test"))]
     info = {"rows": parts[0].count(), "dim": len(features), "classes": len(classes)}
-    return TrainingSet(task, target, key, prep, classes, *parts, info)
+    return TrainingSet(task, target, key, prep, classes, *parts, info, ready)
 
 
 def fit(data: TrainingSet, name: str, settings: ModelSettings = ModelSettings()) -> Fitted:

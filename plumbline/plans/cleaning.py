@@ -271,7 +271,9 @@ CATALOG: Catalog = {
     "clean_full": Query(
         _orders(lambda df: clean_runs.clean_table(df, CleanOptions()).frame), _FULL + "SELECT * FROM settled"
     ),
-    "clean_full_events": Query(_events(lambda df: clean_runs.clean_table(df).frame), _EVENTS_FULL),
+    "clean_full_events": Query(
+        _events(lambda df: clean_runs.clean_table(df, CleanOptions(integer_words=QUANTITIES)).frame), _EVENTS_FULL
+    ),
     "clean_basic": Query(
         _orders(lambda df: clean_runs.clean_basic(df).frame),
         f"""{_O}, d AS (SELECT DISTINCT * FROM dirty_orders)

@@ -139,3 +139,27 @@ def test_one_row_and_no_rows(spark):
     assert clean_table(one, CleanOptions(drop_constant=False)).frame.count() == 1
     none = one.limit(0)
     assert clean_table(none, CleanOptions(drop_constant=False)).frame.count() == 0
+
+
+def test_runs_leave_no_table_behind(spark, monkeypatch):
+    import os
+
+    from plumbline.operators import clean_runs
+    from plumbline.session import shared_dir
+
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "x int, s string")
+    folder = shared_dir(spark).replace("file:", "")
+    here = lambda: {n for n in os.listdir(folder) if n.startswith("deduped")}
+    before = here()
+    run = clean_table(df)
+    assert run.frame.count() == 2 and len(here() - before) == 1
+    run.release()
+    assert here() == before
+
+    def fails(*_):
+        raise RuntimeError("no")
+
+    monkeypatch.setattr(clean_runs, "_settle_columns", fails)
+    with pytest.raises(RuntimeError):
+        clean_table(df)
+    assert here() == before
