@@ -101,6 +101,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir)).drop("row_number")
 
 
+def _feistel_sql(source: str) -> str:
+    """One pass of the permutation over ``x`` of ``source``, which has n, a and b as well."""
+    inner = f"SELECT doc_id, n, a, b, (x - x % b) // b AS l, x % b AS r FROM {source}"
+    for i, (m, c) in enumerate(sharding.KEYS):
+        f = f"((r % {sharding.PRIME}) * {m} + {c}) % {sharding.PRIME}"
+        inner = f"SELECT doc_id, n, a, b, r AS l, (l + (({f}) * ({f})) % {sharding.PRIME}) % {'ab'[i % 2]} AS r FROM ({inner})"
+    return f"SELECT doc_id, n, a, b, l * b + r AS x FROM ({inner})"
+
+
+OP10_SQL = f"""
+WITH RECURSIVE numbered AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS x, count(*) OVER () AS n FROM documents),
+sides AS (SELECT *, (n + a - 1) // a AS b FROM (SELECT *, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM numbered)),
+walk AS ({_feistel_sql("sides")} UNION ALL {_feistel_sql("(SELECT * FROM walk WHERE x >= n)")}),
+crc AS (SELECT list_transform(range(256), lambda k: list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+bodies AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+coded AS (SELECT doc_id, len(h) // 2 + 8 AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM bodies, crc)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(x % {sharding.SHARDS} AS INTEGER) AS shard,
+    CAST(x // {sharding.SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM walk JOIN coded USING (doc_id) WHERE x < n"""
+
+
 CATALOG: Catalog = {
     "op1_exact_dedup": Query(op1_exact_dedup, OP1_SQL),
     "op2_substring_dedup": Query(op2_substring_dedup, OP2_SQL),
@@ -111,5 +135,5 @@ CATALOG: Catalog = {
     "op7_decontaminate": Query(op7_decontaminate),
     "op8_token_store": Query(op8_token_store),
     "op9_toxicity": Query(op9_toxicity),
-    "op10_sharding": Query(op10_sharding),
+    "op10_sharding": Query(op10_sharding, OP10_SQL),
 }
