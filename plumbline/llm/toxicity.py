@@ -34,6 +34,8 @@ SAMPLE = 6000
 TERMS, PHRASES, STEMS = 2000, 500, (4, 5, 6)
 #: A term's likelihood ratio must exceed this beyond twice the logarithm of the number of terms tried.
 LEAST_RATIO = 4.0
+#: The share of toxic documents among those with a term, classes as in the whole table, at least.
+LEAST_PRECISION = 0.9
 
 
 def folded(text: str) -> str:
@@ -181,7 +183,9 @@ def train(
     odds = lambda k, m: F.log((F.col(k) + 0.5) / (F.lit(m + 0.5) - F.col(k)))
     part = lambda k, m: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / ((F.col("clean") + F.col("toxic")) * m / (a + b)))).otherwise(0.0)
     best = counts.select("term", "stem", (odds("toxic", b) - odds("clean", a)).alias("weight"), (2 * (part("toxic", b) + part("clean", a))).alias("ratio"))
-    best = best.where((F.col("weight") > 0) & (F.col("ratio") >= LEAST_RATIO + 2 * float(np.log(max(1, counts.count())))))
+    # log odds of toxic given the term = weight + log odds of toxic
+    least = float(np.log(LEAST_PRECISION / (1 - LEAST_PRECISION)) - np.log(share / (1 - share)))
+    best = best.where((F.col("weight") >= least) & (F.col("ratio") >= LEAST_RATIO + 2 * float(np.log(max(1, counts.count())))))
     best = best.orderBy(F.desc("ratio"), "term", "stem").limit(TERMS).collect()
     lexicon = Toxicity(tuple((r.term, r.stem, float(r.weight)) for r in best))
 
