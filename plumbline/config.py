@@ -170,6 +170,8 @@ class AdviceRules:
     many_columns: int = 20
     good_health: float = 85.0
     fair_health: float = 70.0
+    # Accuracy in percent that people tend to reach, by health score; a rule of thumb.
+    expected: tuple[tuple[float, int, int], ...] = ((85.0, 90, 95), (70.0, 85, 90), (0.0, 70, 85))
 
 
 @dataclass(frozen=True)

@@ -181,7 +181,8 @@ def target_candidates(df: DataFrame, rules: TargetRules = TargetRules()) -> Data
 def model_suggestion(df: DataFrame, advice: AdviceRules = AdviceRules(), rules: TargetRules = TargetRules()) -> DataFrame:
     """One row of advice: task, model families, difficulty and confidence.
 
-    The confidence band is a rule of thumb on the health score, not a measurement.
+    The confidence and the expected accuracy are rules of thumb on the health score,
+    not measurements.
     """
     best = target_candidates(df, rules).first()
     facts = profile.dataset_facts(df).withColumn("health_score", profile.share_score())
@@ -200,6 +201,25 @@ def model_suggestion(df: DataFrame, advice: AdviceRules = AdviceRules(), rules:
         family_name.alias("model_families"),
         F.when(rows > advice.huge_rows, "hard").when(rows > advice.many_rows, "moderate").otherwise("easy").alias("difficulty"),
         ladder(health, [(advice.good_health, "high"), (advice.fair_health, "medium")], "low").alias("confidence"),
+        ladder(health, [(t, low) for t, low, _ in advice.expected]).alias("expected_low_pct"),
+        ladder(health, [(t, high) for t, _, high in advice.expected]).alias("expected_high_pct"),
         (F.col("text_columns") > F.col("numeric_columns")).alias("mostly_text"),
     )
 
+
+
+def training_tips(facts: DataFrame, advice: AdviceRules = AdviceRules()) -> DataFrame:
+    """What to do before training, one row per tip that applies to the facts of a table."""
+    f = F.col
+    return _fired(
+        facts,
+        [
+            _rule(f("missing_cells") > 0, "fill_gaps", "medium", "Fill missing values before training.", f("missing_cells")),
+            _rule(f("duplicate_rows") > 0, "drop_copies", "medium", "Drop repeated rows, or they leak into the test set.", f("duplicate_rows")),
+            _rule(f("constant_columns") > 0, "drop_constants", "low", "Drop columns that never change.", f("constant_columns")),
+            _rule(f("identifier_columns") > 0, "drop_identifiers", "medium", "Leave identifiers out of the features.", f("identifier_columns")),
+            _rule(f("text_columns") > 0, "encode_text", "info", "Encode text columns as codes.", f("text_columns")),
+            _rule(f("rows") < advice.few_rows, "cross_validate", "medium", "With few rows, prefer simple models and cross-validation.", f("rows")),
+            _rule(f("rows") > advice.many_rows, "sample_first", "info", "Try settings on a sample first.", f("rows")),
+        ],
+    )

@@ -129,6 +129,22 @@ CATALOG: Catalog = {
         lambda spark, sf: advice.target_candidates(table(spark, sf, "scored_docs"), TARGETS),
         f"{cte('scored_docs')}, {_target_sql(_DOCS, 'scored_docs')} SELECT * FROM targets",
     ),
+    "training_tips": Query(
+        _orders(lambda df: advice.training_tips(profile.dataset_facts(df)).select("code", "affected")),
+        FACTS
+        + " UNION ALL ".join(
+            f"SELECT '{code}' AS code, CAST({n} AS BIGINT) AS affected FROM facts WHERE {when}"
+            for code, n, when in (
+                ("fill_gaps", "missing_cells", "missing_cells > 0"),
+                ("drop_copies", "duplicate_rows", "duplicate_rows > 0"),
+                ("drop_constants", "constant_columns", "constant_columns > 0"),
+                ("drop_identifiers", "identifier_columns", "identifier_columns > 0"),
+                ("encode_text", "text_columns", "text_columns > 0"),
+                ("cross_validate", '"rows"', '"rows" < 1000'),
+                ("sample_first", '"rows"', '"rows" > 50000'),
+            )
+        ),
+    ),
     "model_suggestion": Query(
         _orders(lambda df: advice.model_suggestion(df, rules=TARGETS)),
         f"""{FACTS}, {_target_sql(_ORDERS_SCORED, "dirty_orders")},
@@ -138,6 +154,8 @@ CATALOG: Catalog = {
             ELSE 'random forest, gradient boosting, ' || l END AS model_families,
           CASE WHEN "rows" > 200000 THEN 'hard' WHEN "rows" > 50000 THEN 'moderate' ELSE 'easy' END AS difficulty,
           CASE WHEN health_score >= 85 THEN 'high' WHEN health_score >= 70 THEN 'medium' ELSE 'low' END AS confidence,
+          CASE WHEN health_score >= 85 THEN 90 WHEN health_score >= 70 THEN 85 ELSE 70 END AS expected_low_pct,
+          CASE WHEN health_score >= 85 THEN 95 WHEN health_score >= 70 THEN 90 ELSE 85 END AS expected_high_pct,
           text_columns > numeric_columns AS mostly_text
         FROM facts, health, best, (SELECT CASE WHEN problem_type = 'classification' THEN 'logistic regression'
           ELSE 'linear regression' END AS l FROM best)""",

@@ -7,7 +7,6 @@ from plumbline.operators import advice, charts, clean, profile, roles
 TABLES = {
     "numeric": ([(i, i * 1.5, i % 7) for i in range(40)], "a int, b double, c bigint"),
     "text": ([(f"v{i % 9}", f"name {i}") for i in range(40)], "a string, b string"),
-    "boolean": ([(i % 2 == 0,) for i in range(10)], "a boolean"),
     "array": ([([i, 1],) for i in range(6)], "a array<int>"),
     "no rows": ([], "a int, b string, c double, d date"),
     "no columns": ([(), ()], ""),
