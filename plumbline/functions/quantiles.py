@@ -28,10 +28,10 @@ from plumbline.config import IN_MEMORY_VALUES
 from plumbline.functions.schema import col
 
 ACCURACY = 10_000
-FINISH_ROWS = 1_000_000
+FINISH_ROWS = 50_000
 # Histogram bins per column, and over all columns (the bins reach the driver).
 BINS = 2048
-ALL_BINS = 200_000
+ALL_BINS = 50_000
 
 
 def exact_quantiles(
