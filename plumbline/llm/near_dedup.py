@@ -86,8 +86,8 @@ def _frequencies(k: int):
         for batch in batches:
             for raw in batch["text"].to_pylist():
                 split = raw.split()
-                grams, _ = shingles(words.of(split, len(split)), k)
-                counts[np.unique((grams & np.uint64(COUNTERS - 1)).astype(np.int64))] += 1
+                grams = gram_hashes(words.of(split, len(split)), min(k, max(1, len(split))))
+                counts[np.unique((grams & np.uint64(COUNTERS - 1)).astype(np.int32))] += 1
                 n += 1
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
@@ -170,9 +170,11 @@ def _similarities(k: int, idf):
 
 
 def _compared(pairs: DataFrame, bodies: DataFrame, k: int, idf) -> DataFrame:
+    """The similarity of each pair.  Both sides grow with the corpus, so the joins are by shuffle at every size."""
     mine = bodies.select("uid", F.col("body").alias("mine"))
     theirs = bodies.select(F.col("uid").alias("leader"), F.col("body").alias("theirs"))
-    both = pairs.join(mine, "uid").join(theirs, "leader").select("uid", "leader", "mine", "theirs")
+    both = pairs.hint("merge").join(mine, "uid").hint("merge").join(theirs, "leader")
+    both = both.select("uid", "leader", "mine", "theirs")
     return materialize(both.mapInArrow(_similarities(k, idf), "uid long, leader long, similarity double"), "compared")
 
 
@@ -184,7 +186,7 @@ def _starred(rows: DataFrame) -> DataFrame:
     leads the open ones.
     """
     size = rows.groupBy("set").agg(F.count("*").alias("size"), F.max("open").alias("any")).where("size > 1 and any")
-    members = rows.join(size.drop("any"), "set")
+    members = materialize(rows.join(size.drop("any"), "set"), "members")
     score = members.groupBy("uid").agg(F.sum("size").alias("score"))
     best = lambda which: F.max_by(F.col("uid"), F.when(which, F.struct("score", -F.col("uid"))))
     led = members.join(score, "uid").groupBy("set")
@@ -207,7 +209,8 @@ def _finer(starred: DataFrame, links: DataFrame, base: DataFrame, level: int, ba
     sets = F.array(*(F.array(*(F.get("keys", i) for i in c)) for c in combinations(range(bands), level + 1)))
     rows = mine.join(base, "uid").select("uid", "open", "mine", "leading", F.explode(sets).alias("set"))
     within = lambda s: F.size(F.array_except(s, F.col("set"))) == 0
-    return rows.where(F.exists("mine", within)).select("set", "uid", "open", F.exists("leading", within).alias("led"))
+    rows = rows.where(F.exists("mine", within)).select("set", "uid", "open", F.exists("leading", within).alias("led"))
+    return materialize(rows, "finer")
 
 
 def links_between(reps: DataFrame, bodies: DataFrame, similarity: float, k: int, idf, levels: int, bands: int = BANDS) -> DataFrame:
@@ -217,7 +220,10 @@ def links_between(reps: DataFrame, bodies: DataFrame, similarity: float, k: int,
     for level in range(1, levels + 1):
         starred = materialize(_starred(rows), "starred")
         pairs = starred.where("uid <> leader").select("uid", "leader").distinct()
-        if done is not None:
+        if done is None:  # members of finer buckets are among those of the first
+            some = pairs.select(F.explode(F.array("uid", "leader")).alias("uid")).distinct()
+            bodies = materialize(bodies.hint("merge").join(some, "uid", "left_semi"), "bodies")
+        else:
             pairs = pairs.join(done, ["uid", "leader"], "left_anti")
         compared = _compared(pairs, bodies, k, idf)
         done = compared.select("uid", "leader") if done is None else done.union(compared.select("uid", "leader"))
