@@ -15,7 +15,9 @@ width * offsets[i]: it can be unpacked alone.
 
 from __future__ import annotations
 
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import utf8
 
 #: Ids of a block (a longer document has a block of its own); words a task remembers.
-BLOCK_IDS, MEMORY = 1 << 18, 400_000
+BLOCK_IDS, MEMORY = 1 << 18, 600_000
 
 BLOCK = "part int, block int, first long, width int, doc_ids array<long>, offsets array<long>, packed binary"
 
@@ -70,8 +72,9 @@ def unpack(packed: bytes, width: int, start: int, stop: int) -> np.ndarray:
 class WordIds(dict):
     """Ids of words between ASCII blanks as the bytes of 32-bit numbers, up to ``MEMORY`` strings.
 
-    The tokenizer drops white space and never merges across it.  Words of plain
-    letters go straight to its merge model; all else through its whole encoder.
+    The tokenizer lower-cases, drops white space and never merges across it.  Words
+    of plain letters go straight to its merge model, signs after them and all else
+    through its whole encoder.
     """
 
     def __init__(self, path: str) -> None:
@@ -89,7 +92,7 @@ class WordIds(dict):
         if len(self) >= MEMORY:
             self.clear()
         word = raw.decode("utf-8", "replace")
-        core = word.rstrip(".,")
+        core = word.rstrip(string.punctuation)  # after a letter such a run is a piece of its own
         lower = core.lower()
         # Up to U+017F letters are composed already, and lower-casing needs no neighbours.
         plain = lower.isalpha() and core.isalpha() and (core.isascii() or max(core) < "\u0180")
@@ -97,9 +100,9 @@ class WordIds(dict):
             found = self[core.encode()] + self[word[len(core) :].encode()]
         elif plain:
             spelled = lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.alphabet)
-            found = np.array([t.id for t in self.tokenize(spelled)], "<u4").tobytes()
+            found = array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
         else:
-            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         self[raw] = found
         return found
 
@@ -124,7 +127,7 @@ def _blocks(path: str, end_id: int | None, width: int, block_ids: int):
         )
         for batch in batches:
             for doc_id, raw in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = b"".join(map(words.__getitem__, raw.split())) + end
+                ids = b"".join(map(words.__getitem__, raw.lower().split())) + end
                 if coded and held + len(ids) > 4 * block_ids:
                     yield block()
                     n, first, doc_ids, coded, held = n + 1, first + held // 4, [], [], 0
