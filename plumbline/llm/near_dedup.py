@@ -7,6 +7,8 @@
    every other member is compared with it exactly.  Members unlike their leader
    meet again, under new leaders, in the finer buckets of two bands, then three.
 4. Classes are the connected components of the links found.
+5. Where a bucket still holds several classes, an exact prefix join of shingles
+   finds every pair of its members that could link two of them.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from plumbline.session import materialize, release
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 10, 3
 #: Counters of document frequencies (2 MB, whatever the corpus); bands of the finest bucket.
 COUNTERS, LEVELS = 1 << 18, 3
+#: Allowance for the rounding of summed weights in bounds.
+SLACK = 1e-9
 #: Entries of the tables of random draws.
 DRAWS = 1 << 16
 
@@ -169,6 +173,46 @@ def _similarities(k: int, idf):
     return similarities
 
 
+_PREFIX = "token long, uid long, label long, stray boolean, weight double, rest double, small boolean"
+
+
+def _prefixes(k: int, idf, similarity: float):
+    """Rare shingles of each text that a text as similar must share one of.
+
+    In one order of all shingles, rare first, the first one that two texts share
+    leaves both at least the overlap they need.  ``rest`` is the weight from a
+    shingle on, ``small`` tells that it suffices for a partner no lighter.
+    """
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, weights = WordHashes(), idf.value
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                tokens, rests, totals, counts = [], [], [], []
+                for raw in batch["body"].to_pylist():
+                    split = raw.split()
+                    grams, tf = shingles(words.of(split, len(split)), k)
+                    order = np.lexsort((grams, -weigh(grams, np.ones(len(grams)), weights)))
+                    grams, w = grams[order], weigh(grams, tf, weights)[order]
+                    rest = np.cumsum(w[::-1])[::-1]
+                    total = float(w.sum())
+                    n = int((rest >= similarity * total * (1 - SLACK)).sum())
+                    tokens.append(grams[:n])
+                    rests.append(rest[:n])
+                    totals.append(total)
+                    counts.append(n)
+                weight, rest = np.repeat(totals, counts), np.concatenate(rests)
+                small = rest >= 2 * similarity / (1 + similarity) * weight * (1 - SLACK)
+                uid, label, stray = (np.repeat(batch[c].to_numpy(zero_copy_only=False), counts) for c in ("uid", "label", "stray"))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tokens).view(np.int64)), *map(pa.array, (uid, label, stray, weight, rest, small))],
+                    ["token", "uid", "label", "stray", "weight", "rest", "small"],
+                )
+
+    return prefixes
+
+
 def _compared(pairs: DataFrame, bodies: DataFrame, k: int, idf) -> DataFrame:
     """The similarity of each pair.  Both sides grow with the corpus, so the joins are by shuffle at every size."""
     mine = bodies.select("uid", F.col("body").alias("mine"))
@@ -213,14 +257,15 @@ def _finer(starred: DataFrame, links: DataFrame, base: DataFrame, level: int, ba
     return materialize(rows, "finer")
 
 
-def links_between(reps: DataFrame, bodies: DataFrame, similarity: float, k: int, idf, levels: int, bands: int = BANDS) -> DataFrame:
-    """(uid, leader) of verified links between the rows of ``reps``."""
+def links_between(reps: DataFrame, bodies: DataFrame, similarity: float, k: int, idf, levels: int, bands: int = BANDS) -> tuple[DataFrame, ...]:
+    """(uid, leader) of verified links between the rows of ``reps``, the first buckets, the texts of their members, and the pairs compared."""
     rows = reps.select(F.explode("keys").alias("key"), "uid").select(F.array("key").alias("set"), "uid", F.lit(True).alias("open"), F.lit(False).alias("led"))
-    found, done = [], None
+    found, done, buckets = [], None, None
     for level in range(1, levels + 1):
         starred = materialize(_starred(rows), "starred")
         pairs = starred.where("uid <> leader").select("uid", "leader").distinct()
         if done is None:  # members of finer buckets are among those of the first
+            buckets = starred.select("set", "uid", "leader")
             some = pairs.select(F.explode(F.array("uid", "leader")).alias("uid")).distinct()
             bodies = materialize(bodies.hint("merge").join(some, "uid", "left_semi"), "bodies")
         else:
@@ -231,7 +276,40 @@ def links_between(reps: DataFrame, bodies: DataFrame, similarity: float, k: int,
         if level == levels or starred.isEmpty():
             break
         rows = _finer(starred, reduce(DataFrame.union, found), reps, level, bands)
-    return reduce(DataFrame.union, found)
+    return reduce(DataFrame.union, found), buckets, bodies, done
+
+
+def links_of_classes(buckets: DataFrame, labels: DataFrame, bodies: DataFrame, done: DataFrame, similarity: float, k: int, idf) -> DataFrame:
+    """(uid, leader) of the links, by label, between members of different classes in buckets that hold several.
+
+    A stray is a member of another class than its bucket's leader.  Of any two
+    members of different classes one is a stray, so only pairs with a stray are
+    joined: members of one large class do not meet each other.
+    """
+    of = lambda c, name: labels.select(F.col("uid").alias(c), F.col("label").alias(name))
+    placed = buckets.join(of("uid", "label"), "uid", "left").join(of("leader", "hub"), "leader", "left")
+    placed = placed.select("set", "uid", F.coalesce("label", "uid").alias("label"), F.coalesce("hub", "leader").alias("hub"))
+    placed = materialize(placed.withColumn("stray", F.col("label") != F.col("hub")), "placed")
+    unsettled = placed.where("stray").select("set").distinct()
+    members = placed.join(unsettled, "set", "left_semi").groupBy("uid").agg(F.max("label").alias("label"), F.max("stray").alias("stray"))
+    texts = members.hint("merge").join(bodies, "uid").select("uid", "label", "stray", "body")
+    prefixes = materialize(texts.mapInArrow(_prefixes(k, idf, similarity), _PREFIX), "prefixes")
+
+    least = similarity * (1 - SLACK)
+    needed = similarity / (1 + similarity) * (1 - SLACK) * (F.col("a.weight") + F.col("b.weight"))
+    ordered = F.struct("a.weight", "a.uid") < F.struct("b.weight", "b.uid")
+    near = (F.col("a.label") != F.col("b.label")) & ordered & (F.col("a.weight") >= least * F.col("b.weight")) & (F.least("a.rest", "b.rest") >= needed)
+
+    def met(small: DataFrame, large: DataFrame) -> DataFrame:
+        both = small.where("small").alias("a").hint("merge").join(large.alias("b"), (F.col("a.token") == F.col("b.token")) & near)
+        return both.select(F.col("a.uid").alias("uid"), F.col("b.uid").alias("leader"), F.col("a.label").alias("mine"), F.col("b.label").alias("theirs"))
+
+    stray = F.col("stray")
+    pairs = materialize(met(prefixes.where(stray), prefixes).union(met(prefixes.where(~stray), prefixes.where(stray))).distinct(), "pairs")
+    seen = done.union(done.select("leader", "uid"))
+    again = pairs.select("uid", "leader").join(seen, ["uid", "leader"], "left_anti")
+    alike = _compared(again, bodies, k, idf).where(F.col("similarity") >= similarity).select("uid", "leader")
+    return pairs.join(alike, ["uid", "leader"]).select(F.col("mine").alias("uid"), F.col("theirs").alias("leader")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -278,8 +356,12 @@ def near_classes(
     reps = sketched.groupBy("same").agg(first, F.count("*").alias("n"))
     reps = materialize(reps.select("same", "first.no_id", "first.doc_id", "first.uid", "first.keys", "n"), "distinct")
 
-    links = links_between(reps.where("keys is not null").select("uid", "keys"), sketched.select("uid", "body"), similarity, words, idf, levels, bands)
-    labelled = reps.drop("keys").join(components(links), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    links, *met = links_between(reps.where("keys is not null").select("uid", "keys"), sketched.select("uid", "body"), similarity, words, idf, levels, bands)
+    labels = components(links)
+    between = components(links_of_classes(met[0], labels, *met[1:], similarity, words, idf))
+    labelled = reps.drop("keys").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    between = between.select(F.col("uid").alias("label"), F.col("label").alias("joined"))
+    labelled = labelled.join(between, "label", "left").withColumn("label", F.coalesce("joined", "label")).drop("joined")
     best = F.min(F.struct("no_id", "doc_id", "uid")).alias("best")
     classes = labelled.groupBy("label").agg(best, F.sum("n").alias("class_size"))
     by_text = materialize(labelled.join(classes, "label").select("same", "best", "class_size"), "classes")

@@ -184,6 +184,32 @@ def test_near_copies_of_repeated_rows_and_empty_tables(saved):
     assert near_dedup.near_classes(saved([])).collect() == []
 
 
+def test_families_on_one_template_are_found(saved):
+    """Many pairs of which each is alike and all the others are nearly so; brute force is the judge."""
+    rng = random.Random(12)
+    template = [f"t{k}" for k in range(240)]
+    pairs = []
+    for f in range(150):
+        own = [f"f{f}w{k}" for k in range(42)]
+        for copy in range(2):
+            words = template + own
+            if copy:
+                words[rng.randrange(250, 270)] = f"x{f}"
+                words[rng.randrange(10, 220)] = f"y{f}"
+            pairs.append((2 * f + copy, " ".join(words)))
+    texts = {i: t.encode().split() for i, t in pairs}
+    words, docs = WordHashes(), saved(pairs)
+    idf = near_dedup.inverse_frequencies(docs.select(near_dedup.utf8("text").alias("text")), 5)
+    vectors = {}
+    for i, t in texts.items():
+        grams, tf = near_dedup.shingles(words.of(t, len(t)), 5)
+        vectors[i] = grams, near_dedup.weigh(grams, tf, idf)
+    alike = {(i, j) for i in texts for j in texts if i < j and near_dedup.weighted_jaccard(vectors[i], vectors[j]) >= near_dedup.SIMILARITY}
+    assert alike == {(2 * f, 2 * f + 1) for f in range(150)}
+    classes = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()}
+    assert classes == {i: i - i % 2 for i in texts}
+
+
 def test_samples_agree_as_often_as_the_weighted_similarity():
     rng = np.random.default_rng(1)
     a = np.sort(rng.integers(0, 1 << 62, 300).astype(np.uint64))
