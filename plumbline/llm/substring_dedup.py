@@ -10,7 +10,10 @@
    array, its Burrows-Wheeler transform in a wavelet tree of bit-packed levels,
    and backward search, which streams each segment from its end and keeps the
    interval of the current match, cut back to a window's length.  A window whose
-   interval holds an earlier position is repeated.
+   interval holds an earlier position is repeated.  Anchors of more words than a
+   shard, by a full count, are not indexed: their windows are grouped by digest,
+   folded before the shuffle to the earliest, and the rows of later copies meet it
+   by broadcast where a window is frequent.
 4. What is repeated goes back to the documents, whose other words stay.
 """
 
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,8 @@ SPAN = WINDOW - ANCHOR + 1
 SAMPLE_DOCS, HOT_SHARE = 2000, 0.02
 #: Words of a shard's index; documents folded together in a task.
 SHARD_WORDS, TOGETHER = 300_000, 256
+#: Windows broadcast with their earliest place are those of at least this part of all windows of large anchors.
+FREQUENT_PART = 10_000
 #: Order of null doc_ids: last.
 LAST = (1 << 63) - 1
 
@@ -259,32 +265,59 @@ def repeated_windows(contents: list[np.ndarray]) -> list[int]:
 _CONTENT = "key long, doc_id long, uid long, start int, words binary"
 
 
-def _contents(hot):
-    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words of open segments; those of hot anchors window by window, spread by the window's own hash."""
-        hashes, spread = WordHashes(), set(hot.value)
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, uid, raw, found in zip(*(batch[c].to_pylist() for c in ("doc_id", "uid", "text", "found")), strict=True):
-                split = raw.split()
-                words = hashes.of(split, len(split))
-                for s in found:
-                    if s["anchor"] not in spread:
-                        out.append((s["anchor"], doc, uid, s["start"], words[s["start"] : s["start"] + s["n"] + WINDOW - 1].tobytes()))
-                        continue
-                    for at in range(s["start"], s["start"] + s["n"]):
-                        window = words[at : at + WINDOW]
-                        out.append((int(gram_hashes(window, WINDOW).view(np.int64)[0]), doc, uid, at, window.tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "doc_id", "uid", "start", "words"])
-
-    return contents
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of open segments."""
+    hashes = WordHashes()
+    for batch in batches:
+        out: list[tuple] = []
+        for doc, uid, raw, found in zip(*(batch[c].to_pylist() for c in ("doc_id", "uid", "text", "found")), strict=True):
+            split = raw.split()
+            words = hashes.of(split, len(split))
+            out += [(s["anchor"], doc, uid, s["start"], words[s["start"] : s["start"] + s["n"] + WINDOW - 1].tobytes()) for s in found]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "doc_id", "uid", "start", "words"])
+
+
+_WINDOW = "same binary, doc_id long, uid long, start int"
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of open segments, each as a 128-bit digest of its words."""
+    hashes = WordHashes()
+    for batch in batches:
+        out: list[tuple] = []
+        for doc, uid, raw, found in zip(*(batch[c].to_pylist() for c in ("doc_id", "uid", "text", "found")), strict=True):
+            split = raw.split()
+            words = hashes.of(split, len(split)).tobytes()
+            for s in found:
+                out += [(xxhash.xxh3_128_digest(words[8 * at : 8 * (at + WINDOW)]), doc, uid, at) for at in range(s["start"], s["start"] + s["n"])]
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["same", "doc_id", "uid", "start"])
+
+
+def _later_windows(windows: DataFrame) -> DataFrame:
+    """(uid, start, mask) of the windows that also start earlier.
+
+    Equal windows fold before the shuffle, and no task gets all copies of one: a
+    frequent window's earliest place is broadcast (at most FREQUENT_PART of them),
+    and what is left has few rows a window.
+    """
+    windows = materialize(windows, "windows")
+    place = F.struct("doc_id", "uid", "start")
+    first = materialize(windows.groupBy("same").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    least = max(1000, -(-windows.count() // FREQUENT_PART))
+    frequent = F.broadcast(first.where(F.col("n") >= least))
+    often = windows.join(frequent, "same")
+    seldom = windows.join(F.broadcast(first.where(F.col("n") >= least).select("same")), "same", "left_anti")
+    both = often.unionByName(seldom.join(first.where(F.col("n") < least), "same"))
+    return both.where(place != F.col("first")).select("uid", "start", F.lit(1).cast("long").alias("mask"))
 
 
 def _indexed(shard_words: int):
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in order of key and place, in shards that never part a key."""
+        """Rows in order of key and place, in shards that never part a key; a key holds at most ``shard_words``."""
         rows: list[tuple] = []
         held, last = 0, None
         for batch in batches:
@@ -382,10 +415,19 @@ def without_repeats(
     dealt = found.repartition("part").sortWithinPartitions(*place).drop("part")
     settled = materialize(dealt.mapInArrow(_settled(hot), "uid long, doc_id long, start int, n int, anchor long, open boolean"), "segments")
 
-    still = settled.where("open").groupBy("uid").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("found"))
-    words = rows.select("doc_id", "uid", "text").join(still, "uid").mapInArrow(_contents(hot), _CONTENT)
+    # Large anchors are at most all words by shard_words.
+    opened = settled.where("open")
+    large = opened.groupBy("anchor").agg(F.sum(F.col("n") + WINDOW - 1).alias("words")).where(F.col("words") > shard_words)
+    large = F.broadcast(materialize(large.select("anchor"), "large"))
+
+    def texts(segments: DataFrame) -> DataFrame:
+        still = segments.groupBy("uid").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("found"))
+        return rows.select("doc_id", "uid", "text").join(still, "uid")
+
+    words = texts(opened.join(large, "anchor", "left_anti")).mapInArrow(_contents, _CONTENT)
     shards = words.repartition("key").sortWithinPartitions("key", "doc_id", "uid", "start")
     marked = materialize(shards.mapInArrow(_indexed(shard_words), "uid long, start int, mask long"), "marked")
+    marked = marked.union(_later_windows(texts(opened.join(large, "anchor", "left_semi")).mapInArrow(_windows, _WINDOW)))
 
     whole = settled.where(~F.col("open")).select("uid", "start", (F.expr("shiftleft(1L, n)") - 1).alias("mask"))
     marks = whole.union(marked).groupBy("uid").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))

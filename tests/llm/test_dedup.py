@@ -109,6 +109,25 @@ def test_repeats_match_brute_force(saved, hot_share, shard_words):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in rows), key=repr) == brute_repeats(pairs)
 
 
+def test_no_index_holds_more_than_two_shards(saved, monkeypatch):
+    """A passage of many documents amid different text, which no sample of documents shows."""
+    rng = random.Random(4)
+    some = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = some(24)
+    pairs = [(k, f"{some(30)} {shared} {some(30)}") for k in range(120)]
+    whole = substring_dedup.repeated_windows
+
+    def small(contents):
+        if sum(map(len, contents)) > 800:
+            raise MemoryError("one index of a hot window")
+        return whole(contents)
+
+    monkeypatch.setattr(substring_dedup, "repeated_windows", small)
+    for share in (0.9, 0.02):
+        rows = substring_dedup.without_repeats(saved(pairs), keep_text=False, hot_share=share, shard_words=400).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in rows), key=repr) == brute_repeats(pairs)
+
+
 def test_repeats_of_repeated_rows_and_empty_tables(saved):
     text = " ".join(map(str, range(40)))
     rows = substring_dedup.without_repeats(saved([(1, text), (1, text)])).collect()
