@@ -94,6 +94,15 @@ def test_documents_of_a_batch_do_not_see_each_other():
     assert np.allclose(apart, model.score(np.concatenate(docs), np.array([len(d) for d in docs])), atol=1e-5)
 
 
+def test_a_window_of_32_sees_its_first_subword():
+    model = tiny_model()
+    ids = np.random.default_rng(4).integers(0, lm_scoring.SUBWORDS, 40).astype(np.int32)
+    other = ids.copy()
+    other[0] += 1 if ids[0] < lm_scoring.SUBWORDS - 1 else -1
+    a, b = (model.score(x, np.array([40])) for x in (ids, other))
+    assert (np.abs(a - b)[1:32] > 0).all()
+
+
 def test_gradients_match_differences():
     model = tiny_model()
     rng = np.random.default_rng(3)
