@@ -103,6 +103,34 @@ def test_a_window_of_32_sees_its_first_subword():
     assert (np.abs(a - b)[1:32] > 0).all()
 
 
+def test_word_order_is_learnt_from_all_training_documents(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["a b", "c d", " a  b ", ""] * 50)], "uid long, text string")
+    counted = docs.mapInArrow(lm_scoring._corpus_counts(SUBWORDS), "word binary, pair long, n long").groupBy("word", "pair").agg(F.sum("n").alias("n"))
+    words = counted.where("pair is null").select("word", "n")
+    assert {bytes(r.word): r.n for r in words.collect()} == {b"a": 100, b"b": 100, b"c": 50, b"d": 50, b"": 200}
+    speller = lm_scoring.Speller(SUBWORDS)
+    one = lambda w, at: int(lm_scoring.spelled([w], speller)[0][at])
+    want, size = Counter(), lm_scoring.END + 1
+    for text, n in (([b"a", b"b"], 100), ([b"c", b"d"], 50), ([], 50)):
+        for x, y in zip([b"", *text], [*text, b""], strict=True):
+            want[one(x, -1) * size + one(y, 0)] += n
+    across = counted.where("pair is not null")
+    assert {r.pair: r.n for r in across.collect()} == want
+    shares = lm_scoring.pair_shares(words, across.select("pair", "n"), SUBWORDS)
+    assert np.allclose(shares.sum(axis=1), 1)
+    assert shares[one(b"a", -1), one(b"b", 0)] > 3 * shares[one(b"c", -1), one(b"b", 0)]
+
+
+def test_the_fit_reads_a_share_of_windows_that_grows(spark):
+    rows, read = corpus(400), []
+    for n in (100, 400):
+        model, docs = tiny_model(), spark.createDataFrame([(i, t.encode()) for i, t in rows[:n]], "uid long, text binary")
+        before = {k: w.copy() for k, w in model.weights.items()}
+        read.append(lm_scoring.fit_share(model, docs, SUBWORDS, share=2))
+        assert all(model.weights[k].shape == w.shape and not np.array_equal(model.weights[k], w) for k, w in before.items())
+    assert read[1] > 2 * read[0] > 0
+
+
 def test_gradients_match_differences():
     model = tiny_model()
     rng = np.random.default_rng(3)
