@@ -82,7 +82,7 @@ WORD_BPE, WORD_BPE_SIZE, DOCUMENT_END = "word_bpe_49k.json", 49_408, 2
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
-    token_store.write_tokens(documents(spark, sf_dir), path, public_tokenizers.path(WORD_BPE), WORD_BPE_SIZE, DOCUMENT_END)
+    token_store.write_tokens(documents(spark, sf_dir), path, public_tokenizers.path(WORD_BPE), WORD_BPE_SIZE, DOCUMENT_END, special=True)
     return token_store.read_digests(spark, path)
 
 

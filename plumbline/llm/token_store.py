@@ -15,6 +15,7 @@ width * offsets[i]: it can be unpacked alone.
 
 from __future__ import annotations
 
+import re
 import string
 import zlib
 from array import array
@@ -74,16 +75,19 @@ class WordIds(dict):
 
     The tokenizer lower-cases, drops white space and never merges across it.  Words
     of plain letters go straight to its merge model, signs after them and all else
-    through its whole encoder.
+    through its whole encoder.  With ``special``, added tokens are found in the raw text
+    first, as the library does by default; without, they are text like any other.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = False) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
+        self.added = {t.content.encode(): array("I", [i]).tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items() if special}
+        self.cut = re.compile(b"(" + b"|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) + b")").split if self.added else None
         # The byte alphabet of byte-level models: printable bytes as they are, the others from U+0100 on.
         printable, others = {*range(33, 127), *range(161, 173), *range(174, 256)}, iter(range(256, 512))
         self.alphabet = {b: chr(b if b in printable else next(others)) for b in range(256)}
@@ -107,9 +111,17 @@ class WordIds(dict):
         return found
 
 
-def _blocks(path: str, end_id: int | None, width: int, block_ids: int):
+def encoded(words: WordIds, raw: bytes) -> bytes:
+    """The ids of a whole text as the bytes of 32-bit numbers."""
+    if words.cut is None or not any(map(raw.__contains__, words.added)):
+        return b"".join(map(words.__getitem__, raw.lower().split()))
+    parts = words.cut(raw)
+    return b"".join(words.added[p] if k % 2 else b"".join(map(words.__getitem__, p.lower().split())) for k, p in enumerate(parts))
+
+
+def _blocks(path: str, end_id: int | None, width: int, block_ids: int, special: bool):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, n = WordIds(path), TaskContext.get().partitionId(), 0
+        words, part, n = WordIds(path, special), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         doc_ids: list[int | None] = []
         coded: list[bytes] = []
@@ -127,7 +139,7 @@ def _blocks(path: str, end_id: int | None, width: int, block_ids: int):
         )
         for batch in batches:
             for doc_id, raw in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = b"".join(map(words.__getitem__, raw.lower().split())) + end
+                ids = encoded(words, raw) + end
                 if coded and held + len(ids) > 4 * block_ids:
                     yield block()
                     n, first, doc_ids, coded, held = n + 1, first + held // 4, [], [], 0
@@ -142,17 +154,18 @@ def _blocks(path: str, end_id: int | None, width: int, block_ids: int):
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int | None = None,
-    doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS,
+    doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS, special: bool = False,
 ) -> None:
     """Encode every whole text and write the blocks under ``path``, parts in ascending doc_id order.
 
     Null counts as empty; an empty text has only the end id, if there is one.
     Null doc_ids come first, rows of equal id in any order, each once; an empty
-    table writes no block.  Columns other than the two named are not read.
+    table writes no block.  With ``special``, the tokenizer's added tokens in a text
+    have their own ids, else they are split as text.  Columns other than the two named are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    packed = rows.mapInArrow(_blocks(tokenizer, end_id, width_for(vocabulary - 1), block_ids), BLOCK)
+    packed = rows.mapInArrow(_blocks(tokenizer, end_id, width_for(vocabulary - 1), block_ids, special), BLOCK)
     packed.write.option("compression", "none").parquet(path)
 
 

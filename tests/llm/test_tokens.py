@@ -93,6 +93,13 @@ def test_files_hold_what_the_library_encodes(spark, frame):
     assert spark.read.parquet(path).select(F.max("width")).first()[0] == 16
 
 
+def test_added_tokens_in_a_text_are_what_the_library_gives():
+    tokenizer, words = Tokenizer.from_file(WORDS), token_store.WordIds(WORDS, special=True)
+    for text in ("a<|endoftext|>B c", "<|startoftext|> x <|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext", "É<|startoftext|>É!", "plain Text."):
+        got = np.frombuffer(token_store.encoded(words, text.encode()), "<u4").tolist()
+        assert got == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_an_empty_table_writes_no_document(spark, frame):
     path = scratch_path(spark, "tokens")
     token_store.write_tokens(frame([]), path, WORDS, 49_408)
