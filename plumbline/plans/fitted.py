@@ -53,7 +53,7 @@ def _encode_shuffled(spark, sf):
 
 
 CATALOG: Catalog = {
-    "ml_linear": Query(
+    "ml_linear_predictions": Query(
         _predicted("orders", "o_totalprice", ["o_custkey"], "o_orderkey", "linear_regression"),
         f"""WITH s AS ({_split_sql("orders", "o_orderkey")}),
           m AS (SELECT regr_slope(o_totalprice, o_custkey) AS s, regr_intercept(o_totalprice, o_custkey) AS i FROM s WHERE NOT is_test)

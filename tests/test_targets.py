@@ -2,8 +2,9 @@
 
 import pytest
 
-from plumbline.operators import knn, ml_models, ml_prepare
 from plumbline.functions.schema import col
+from plumbline.operators import knn, ml_models, ml_prepare
+from plumbline.plans.registry import CATALOG
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +53,9 @@ def test_encoding_reads_its_input_once(spark, tmp_path):
         plan = ml_prepare.encode(df, codes, names, small_rows=small)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("c0#") > 0 and plan.count("Relation [c0#") == 1
         assert ml_prepare.encode(df, codes, names, small_rows=small).where("c3 is null").count() == 0
+
+
+def test_the_linear_fit_reads_all_of_lineitem(spark, sf_dir, con):
+    query = CATALOG["ml_linear"]
+    assert [tuple(r) for r in query.run(spark, sf_dir).select("slope", "intercept").collect()] == con.execute(query.oracle).fetchall()
+    assert "ml_linear_predictions" in CATALOG
