@@ -364,14 +364,16 @@ def training_set(
 
     The key may have any type.  Without a ``task`` the target decides it
     (``problem_type``).  A text target of a regression becomes numbers: those it
-    spells, such as money, or else its codes in text order.  So does a target of
-    more than ``MAX_CLASSES`` classes, which no classifier here can tell apart.
+    spells, such as money, or else its codes in text order.  So does, without a
+    ``task``, a target of more than ``MAX_CLASSES`` classes, which no classifier
+    here can tell apart; a classification asked for on one is an error.
     """
     df = nan_to_null(df).where(col(target).isNotNull()).select(*map(col, dict.fromkeys((key, target, *features))))
     facts = problem_type(df, target).first()
-    task = task or facts["problem_type"]
-    if task == CLASSIFICATION and facts["distinct"] > MAX_CLASSES:
-        task = REGRESSION
+    many = facts["distinct"] > MAX_CLASSES
+    if task == CLASSIFICATION and many:
+        raise ValueError(f"{target} has {facts['distinct']} classes, more than the {MAX_CLASSES} a classification can have")
+    task = task or (REGRESSION if many else facts["problem_type"])
     if task == CLASSIFICATION:
         split = stratified_split(df, target, key, seed=seed)
     else:

@@ -59,3 +59,10 @@ def test_the_linear_fit_reads_all_of_lineitem(spark, sf_dir, con):
     query = CATALOG["ml_linear"]
     assert [tuple(r) for r in query.run(spark, sf_dir).select("slope", "intercept").collect()] == con.execute(query.oracle).fetchall()
     assert "ml_linear_predictions" in CATALOG
+
+
+def test_a_classification_asked_for_is_never_switched(spark):
+    wide = spark.range(1001).selectExpr("id AS k", "concat('c', id) AS t", "double(id) AS x")
+    with pytest.raises(ValueError, match="1001 classes"):
+        ml_models.training_set(wide, "t", ["x"], "k", ml_models.CLASSIFICATION)
+    assert ml_models.training_set(wide, "t", ["x"], "k").task == ml_models.REGRESSION
