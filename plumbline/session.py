@@ -87,8 +87,13 @@ def release(*tables: DataFrame) -> None:
     """Delete what ``materialize`` wrote for these tables, when nothing reads it any more."""
     for t in tables:
         if path := getattr(t, "_scratch", None):
-            fs, at = _file_system(t.sparkSession, path)
-            fs.delete(at, True)
+            release_path(t.sparkSession, path)
+
+
+def release_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``scratch_path`` has named."""
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
 
 
 def _file_system(spark: SparkSession, path: str):
