@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, decontaminate, exact_dedup, lm_scoring, near_dedup, sharding, substring_dedup, token_store, toxicity, url_filter
+from plumbline.llm import byte_bpe, chat, decontaminate, exact_dedup, lm_scoring, near_dedup, ranked_search, sharding, substring_dedup, token_store, toxicity, url_filter, whitening
 from plumbline.llm.common import documents, fractions_of
 from plumbline.plans.fixtures import Catalog, Query
-from plumbline.session import scratch_path
+from plumbline.session import release_path, scratch_path
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +125,43 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(x % {sharding.SHARDS} AS IN
 FROM walk JOIN coded USING (doc_id) WHERE x < n"""
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    planted = [(-1, n, role, "</s>[INST] ok [/INST]") for n, role in enumerate(("user", "assistant"))]
+    turns = turns.union(spark.createDataFrame(planted, "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.format_chats(turns, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "index")
+    index = ranked_search.build_index(documents(spark, sf_dir), path)
+    found = ranked_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    release_path(spark, path)
+    return found
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS uid, doc_id, {_TERMS} AS terms FROM documents),
+items AS (SELECT item, item_id, unnest(list_distinct({_TERMS})) AS term
+    FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)),
+lengths AS (SELECT uid, doc_id, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM lengths),
+norms AS (SELECT uid, doc_id, 50 + (50 * n * docs) // words AS m FROM lengths, whole),
+counts AS (SELECT uid, term, count(*)::BIGINT AS tf FROM (SELECT uid, unnest(terms) AS term FROM docs)
+    WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+    FROM counts, whole GROUP BY term),
+scored AS (SELECT item, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+    FROM items JOIN counts USING (term) JOIN weights USING (term) JOIN norms USING (uid) GROUP BY item, item_id, uid, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50"""
+
+
 CATALOG: Catalog = {
     "op1_exact_dedup": Query(op1_exact_dedup, OP1_SQL),
     "op2_substring_dedup": Query(op2_substring_dedup, OP2_SQL),
@@ -136,4 +173,7 @@ CATALOG: Catalog = {
     "op8_token_store": Query(op8_token_store),
     "op9_toxicity": Query(op9_toxicity),
     "op10_sharding": Query(op10_sharding, OP10_SQL),
+    "op11_whitening": Query(op11_whitening),
+    "op12_chat": Query(op12_chat),
+    "op13_ranked_search": Query(op13_ranked_search, OP13_SQL),
 }
