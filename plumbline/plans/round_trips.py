@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.config import CLEAN_TOKENS
+from plumbline.config import CLEAN_TOKENS, LOAD_TOKENS
 from plumbline.functions.schema import col
 from plumbline.operators import charts, clean, clean_runs
-from plumbline.plans.cleaning import ORDERS_TEXT, QUANTITIES, _report, _report_sql, median_sql, mode_sql, select, tokens_sql
+from plumbline.plans.cleaning import ORDERS_TEXT, QUANTITIES, _report, _report_sql, median_sql, mode_sql, select, tokens_sql, trim_sql
 from plumbline.plans.fixtures import Catalog, Query, cte, table
 from plumbline.plans.profiling import ORDERS
 from plumbline.session import scratch_path
@@ -34,6 +34,26 @@ def _round_trip(fmt):
     return run
 
 
+def _documents_trip(spark, sf):
+    """Texts with line breaks in quoted cells, written as CSV and read again from every split."""
+    return io.load(spark, io.save_table(table(spark, sf, "documents"), scratch_path(spark, "sink"), "documents", "csv"))
+
+
+# Identifiers of 19 digits, amounts and numbers beyond a double, codes that start with zeros.
+LONG_IDS = """SELECT concat('12345678901', lpad(CAST(o_orderkey AS STRING), 8, '0')) AS id,
+  concat('9', lpad(CAST(o_orderkey AS STRING), 24, '0')) AS wide,
+  concat('12345678901', lpad(CAST(o_custkey AS STRING), 8, '0'), '.', CAST(10 + o_orderkey % 90 AS STRING)) AS amount,
+  lpad(CAST(o_custkey % 1000 AS STRING), 4, '0') AS code, CAST(o_orderkey % 7 AS STRING) AS small,
+  CASE WHEN o_orderkey % 3 = 0 THEN concat('note', chr(10), o_orderpriority) ELSE 'N/A' END AS note FROM orders"""
+
+
+def _long_ids(spark, sf):
+    table(spark, sf, "orders").createOrReplaceTempView("orders")
+    df = io.load(spark, io.save_table(spark.sql(LONG_IDS), scratch_path(spark, "sink"), "ids", "csv"))
+    types = [F.lit(t).alias(f"{c}_type") for c, t in df.dtypes]
+    return df.withColumns({c: col(c).cast("string") for c in ("wide", "amount")}).select("*", *types)
+
+
 def _report_trip(spark, sf):
     report = _report(spark, sf)
     path = io.save_report(report, scratch_path(spark, "report"))
@@ -83,6 +103,17 @@ CATALOG: Catalog = {
         _round_trip("csv"),
         f"SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, note, price, is_even, trim(gap) AS gap FROM ({NOTES})",
     ),
+    "csv_multiline_round_trip": Query(
+        _documents_trip,
+        f"""SELECT CAST(doc_id AS INTEGER) AS doc_id, CASE WHEN {trim_sql("text")} NOT IN {tokens_sql(LOAD_TOKENS)} THEN {trim_sql("text")} END AS text,
+          lang, source, CAST(n_chars AS INTEGER) AS n_chars FROM documents""",
+    ),
+    "csv_long_ids": Query(
+        _long_ids,
+        f"""SELECT CAST(id AS BIGINT) AS id, wide, amount, code, CAST(small AS INTEGER) AS small, nullif(note, 'N/A') AS note,
+          'bigint' AS id_type, 'decimal(38,0)' AS wide_type, 'decimal(21,2)' AS amount_type, 'string' AS code_type,
+          'int' AS small_type, 'string' AS note_type FROM ({LONG_IDS})""",
+    ),
     "report_round_trip": Query(_report_trip, _report_sql()),
     "trim_and_drop_names": Query(_named_columns, "SELECT n_nationkey, n_name FROM nation"),
     "null_tokens": Query(_orders(clean.null_tokens), f"{_O} {select(ORDERS, _TOKENS, 'dirty_orders')}"),
