@@ -13,10 +13,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fresh, utf8
+from plumbline.llm.common import Remembered, fresh, utf8
 
-#: Pieces whose ids a task remembers; rows worked on at a time.
-MEMORY, ROWS = 600_000, 400
+#: Bytes of pieces and ids that a task remembers; rows worked on at a time.
+MEMORY, ROWS = 120 << 20, 400
 NONE = 1 << 62
 
 
@@ -76,21 +76,18 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> array:
     return ids
 
 
-class Pieces(dict):
-    """Pieces to the bytes of their 32-bit ids, up to ``MEMORY`` pieces."""
+class Pieces(Remembered):
+    """Pieces to the bytes of their 32-bit ids, remembered within ``MEMORY`` bytes."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        super().__init__()
+        super().__init__(MEMORY)
         self.ranks, self.longest = ranks, max(map(len, ranks))
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
         raw = piece.encode("utf-8", "surrogatepass")
         rank = self.ranks.get(raw)
         ids = array("i", [rank]) if rank is not None else merge(raw, self.ranks, self.longest)
-        self[piece] = ids.tobytes()
-        return self[piece]
+        return self.remember(piece, ids.tobytes(), 5 * len(raw))
 
 
 def coder(path: str, pattern: str, decoded: bool):

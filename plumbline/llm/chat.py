@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -249,14 +250,19 @@ def _windows(template: Template, ranks: str, pattern: str, limits: tuple[int, in
     return windows
 
 
+def turn_order() -> list:
+    """Turns of equal number go by role, then by a hash of the text, which is short enough to be a bound of ranges."""
+    return ["turn", "role", F.xxhash64("text")]
+
+
 def positions(turns: DataFrame) -> DataFrame:
     """The rows with ``position``, their place in the conversation; no conversation passes through one task.
 
     Rows are sorted by range over all tasks and written once; a row's place is its
     place in its file and what files before hold of its conversation.
     """
-    order = ["null", "conv_id", "turn", "role", "hash", "uid"]
-    rows = turns.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["null", "conv_id", *turn_order()]
+    rows = turns.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order)  # equal rows are spread as well
     rows = materialize(rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "sorted")
     parts = rows.groupBy("part", "null", "conv_id").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     earlier = Window.partitionBy("null", "conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -277,8 +283,8 @@ def format_chats(
     assistant text.  Tokens are counted turn by turn with the byte-level BPE of ``ranks``,
     marks included.  A window is over the budget only if one turn and the system turn are.
 
-    Rows are ordered by turn (null first), then role, then text; repeated rows are turns
-    each.  A null role or text counts as empty; rows of null conv_id are one conversation
+    Rows are ordered by turn (null first), then role, then a hash of the text; repeated
+    rows are turns each.  A null role or text counts as empty; rows of null conv_id are one conversation
     whose id is null; an empty table gives an empty result.  Texts are never cut.
     Columns other than the four named are not read.
     """
@@ -288,9 +294,9 @@ def format_chats(
         F.col(turn).cast("long").alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-    ).withColumns({"hash": F.xxhash64("text"), "uid": F.monotonically_increasing_id()})
+    )
     key, segment = ["null", "conv_id"], max(segment, history_turns + 1)
-    columns = [*key, "segment", "kind", "position", "turn", "role", "hash", "uid", "text"]
+    columns = [*key, "segment", "kind", "position", "turn", "role", "text"]
     short = rows.withColumns({"segment": F.lit(0).cast("long"), "kind": F.lit(2), "position": F.lit(None).cast("long")})
     # Conversations of more turns than a segment: few, as each stands for so many rows.
     long_, few = bounded(rows.groupBy(*key).count().where(F.col("count") > segment).select(*key))
@@ -305,14 +311,13 @@ def format_chats(
         every = short.join(long_, key, "left_anti").select(columns)
         for kind, part in enumerate((systems, history, placed)):
             every = every.union(part.withColumn("kind", F.lit(kind)).select(columns))
-    dealt = every.repartition(*key, "segment").sortWithinPartitions(*key, "segment", "kind", "position", "turn", "role", "hash", "uid")
+    dealt = every.repartition(*key, "segment").sortWithinPartitions(*key, "segment", "kind", "position", *turn_order())
     dealt = dealt.select(*key, "segment", "kind", "position", "role", "text")
     return dealt.mapInArrow(_windows(template, ranks, pattern, (budget, history_turns, history_tokens)), WINDOW)
 
 
 _TURN = pa.schema(
-    [("conv_id", pa.int64()), ("position", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("learnt", pa.string()),
-     ("window_chars", pa.int64())]
+    [("conv_id", pa.int64()), ("position", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("learnt", pa.string())]
 )
 
 
@@ -325,7 +330,7 @@ def _turns(template: Template):
                 learnt = {s["start"]: plain(row["text"][s["start"] : s["stop"]]) for s in row["loss"]}
                 for k, (role, text, start, _) in enumerate(read(row["text"])[row["n_repeated"] :]):
                     turn = {"conv_id": row["conv_id"], "position": row["first_turn"] + k, "role": role, "text": text}
-                    out.append(turn | {"learnt": learnt.get(start), "window_chars": 0 if k else len(row["text"])})
+                    out.append(turn | {"learnt": learnt.get(start)})
             yield pa.RecordBatch.from_pylist(out, _TURN)
 
     return turns
@@ -334,21 +339,41 @@ def _turns(template: Template):
 def read_turns(windows: DataFrame, template: Template = Template()) -> DataFrame:
     """conv_id, position, role and text of every turn, read from the window that has it as new.
 
-    ``learnt`` is the text under the loss mask that begins where the turn's text does,
-    else null; ``window_chars`` the code points of the window, at its first new turn.
+    ``learnt`` is the text under the loss mask that begins where the turn's text does, else null.
     """
-    schema = "conv_id long, position long, role string, text string, learnt string, window_chars long"
+    schema = "conv_id long, position long, role string, text string, learnt string"
     return windows.select("conv_id", "first_turn", "n_repeated", "text", "loss").mapInArrow(_turns(template), schema)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_STREAM = pa.schema(
+    [("conv_id", pa.int64()), ("first_turn", pa.int64()), ("n_turns", pa.int64()), ("chars", pa.int64()), ("learnt", pa.int64()),
+     ("split", pa.int64()), ("bytes", pa.binary())]
+)
+
+
+def _streams(template: Template):
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each window what its new turns add to the two hashes of its conversation, packed: the second repeats the first."""
+        read, (_, plain) = template.reader(), template.escaper()
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                turns = read(row["text"])[row["n_repeated"] :]
+                whole = "".join(f"{role}\n{text}\n" for role, text, _, _ in turns).encode()
+                learnt = "".join(plain(row["text"][s["start"] : s["stop"]]) for s in row["loss"])
+                found = {"conv_id": row["conv_id"], "first_turn": row["first_turn"], "n_turns": len(turns), "chars": len(row["text"])}
+                out.append(found | {"learnt": len(learnt), "split": len(whole), "bytes": zlib.compress(whole + learnt.encode(), 6)})
+            yield pa.RecordBatch.from_pylist(out, _STREAM)
+
+    return streams
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per conversation, its turns hashed as they stream by in order."""
+    """One row per conversation, its windows hashed as they stream by in order."""
     names = [c.split()[0] for c in DIGEST.split(", ")]
     schema = pa.schema([(c, pa.string() if "sha" in c else pa.int64()) for c in names])
-    out: list[list] = []
+    out: list[dict] = []
     state = None
 
     def closed() -> dict:
@@ -356,17 +381,17 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return dict(zip(names, (conv, n, whole.hexdigest(), chars, learnt.hexdigest(), size), strict=True))
 
     for batch in batches:
-        columns = (batch[c].to_pylist() for c in ("conv_id", "role", "text", "learnt", "window_chars"))
-        for conv, role, text, learnt, size in zip(*columns, strict=True):
+        for at in range(batch.num_rows):
+            conv, _, n, size, chars, split, packed = (c[at].as_py() for c in batch.columns)
             if state is None or state[0] != conv:
                 if state is not None:
                     out.append(closed())
                 state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            state[1] += 1
-            state[2].update(f"{role}\n{text}\n".encode())
-            if learnt is not None:
-                state[3] += len(learnt)
-                state[4].update(learnt.encode())
+            raw = zlib.decompress(packed)
+            state[1] += n
+            state[2].update(raw[:split])
+            state[3] += chars
+            state[4].update(raw[split:])
             state[5] += size
         yield pa.RecordBatch.from_pylist(out, schema)
         out.clear()
@@ -376,8 +401,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(windows: DataFrame, template: Template = Template()) -> DataFrame:
     """Per conversation, read back from its windows: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    A hash needs its bytes in order, so the turns of a conversation stream through one
-    task, which holds a batch of them at a time.
+    A hash needs its bytes in order, so the windows of a conversation stream through one
+    task, packed, one at a time.
     """
-    turns = read_turns(windows, template).repartition("conv_id").sortWithinPartitions("conv_id", "position")
-    return turns.mapInArrow(_digests, DIGEST)
+    kind = "conv_id long, first_turn long, n_turns long, chars long, learnt long, split long, bytes binary"
+    packed = windows.select("conv_id", "first_turn", "n_repeated", "text", "loss").mapInArrow(_streams(template), kind)
+    return packed.repartition("conv_id").sortWithinPartitions("conv_id", "first_turn").mapInArrow(_digests, DIGEST)

@@ -35,18 +35,35 @@ def fractions_of(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to ``most`` words."""
+class Remembered(dict):
+    """What a task remembers of strings, within so many bytes; beyond them it starts over."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    #: Bytes that an entry costs beside its key and value, and the share of all bytes that one entry may take.
+    OWN, SHARE = 150, 64
+
+    def __init__(self, most_bytes: int) -> None:
         super().__init__()
-        self.most = most
+        self.most_bytes, self.held = most_bytes, 0
+
+    def remember(self, key, value, size: int):
+        size += self.OWN
+        if size <= self.most_bytes // self.SHARE:
+            if self.held + size > self.most_bytes:
+                self.clear()
+                self.held = 0
+            self[key] = value
+            self.held += size
+        return value
+
+
+class WordHashes(Remembered):
+    """64-bit hashes of words."""
+
+    def __init__(self, most_bytes: int = 24 << 20) -> None:
+        super().__init__(most_bytes)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+        return self.remember(word, xxhash.xxh64_intdigest(word), len(word))
 
     def of(self, words: Iterable[bytes], n: int) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, n)

@@ -162,13 +162,14 @@ def _similarities(k: int, idf):
             return grams, weigh(grams, tf, weights)
 
         last, led = None, None
-        for batch in batches:
-            out = []
-            for leader, mine, theirs in zip(batch["leader"].to_pylist(), batch["mine"].to_pylist(), batch["theirs"].to_pylist(), strict=True):
-                if leader != last:
-                    last, led = leader, vector(theirs)
-                out.append(weighted_jaccard(vector(mine), led))
-            yield pa.RecordBatch.from_arrays([batch["uid"], batch["leader"], pa.array(out, pa.float64())], ["uid", "leader", "similarity"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch, out = whole.slice(first, 256), []
+                for leader, mine, theirs in zip(batch["leader"].to_pylist(), batch["mine"].to_pylist(), batch["theirs"], strict=True):
+                    if leader != last:
+                        last, led = leader, vector(theirs.as_py())
+                    out.append(weighted_jaccard(vector(mine), led))
+                yield pa.RecordBatch.from_arrays([batch["uid"], batch["leader"], pa.array(out, pa.float64())], ["uid", "leader", "similarity"])
 
     return similarities
 

@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import utf8
+from plumbline.llm.common import Remembered, utf8
 
-#: Ids of a block (a longer document has a block of its own); words a task remembers.
-BLOCK_IDS, MEMORY = 1 << 18, 600_000
+#: Ids of a block (a longer document has a block of its own); bytes of words and ids that a task remembers.
+BLOCK_IDS, MEMORY = 1 << 18, 120 << 20
 
 BLOCK = "part int, block int, first long, width int, doc_ids array<long>, offsets array<long>, packed binary"
 
@@ -70,8 +70,8 @@ def unpack(packed: bytes, width: int, start: int, stop: int) -> np.ndarray:
     return (value & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
-class WordIds(dict):
-    """Ids of words between ASCII blanks as the bytes of 32-bit numbers, up to ``MEMORY`` strings.
+class WordIds(Remembered):
+    """Ids of words between ASCII blanks as the bytes of 32-bit numbers, remembered within ``MEMORY`` bytes.
 
     The tokenizer lower-cases, drops white space and never merges across it.  Words
     of plain letters go straight to its merge model, signs after them and all else
@@ -82,7 +82,7 @@ class WordIds(dict):
     def __init__(self, path: str, special: bool = False) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(MEMORY)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
@@ -93,8 +93,6 @@ class WordIds(dict):
         self.alphabet = {b: chr(b if b in printable else next(others)) for b in range(256)}
 
     def __missing__(self, raw: bytes) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
         word = raw.decode("utf-8", "replace")
         core = word.rstrip(string.punctuation)  # after a letter such a run is a piece of its own
         lower = core.lower()
@@ -107,8 +105,7 @@ class WordIds(dict):
             found = array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
         else:
             found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self[raw] = found
-        return found
+        return self.remember(raw, found, len(raw) + len(found))
 
 
 def encoded(words: WordIds, raw: bytes) -> bytes:

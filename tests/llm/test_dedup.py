@@ -248,7 +248,24 @@ def test_components_join_chains(spark):
 
 
 def test_word_hashes_forget_and_stay_right():
-    h = WordHashes(3)
-    words = [b"a", b"b", b"c", b"d", b"a"]
-    got = h.of(words, 5)
-    assert got[0] == got[4] and len(set(got.tolist())) == 4
+    h = WordHashes(3 * (WordHashes.OWN + 1) * WordHashes.SHARE)
+    words = [b"a", b"b", b"c", b"d", b"a"] * 100 + [b"x" * 10_000]
+    got = h.of(words, 501)
+    assert got[0] == got[4] and len(set(got.tolist())) == 5 and b"x" * 10_000 not in h
+    tight = WordHashes(64 * 160)
+    tight.of([str(k).encode() for k in range(1000)], 1000)
+    assert 0 < len(tight) <= 64 and tight.held <= 64 * 160
+
+
+def test_unique_long_words_stay_within_the_bytes():
+    from plumbline.llm import byte_bpe, lm_scoring, token_store
+    import public_tokenizers as public
+
+    ranks = public.path("byte_bpe_multi_50k.tiktoken")
+    held = [WordHashes(1 << 20), lm_scoring.Speller(ranks, 1 << 20), byte_bpe.Pieces(byte_bpe.ranks_of(ranks)), token_store.WordIds(public.path("word_bpe_49k.json"))]
+    for cache in held:
+        cache.most_bytes = 1 << 20
+        for k in range(150):
+            word = f"{k}z" * 3000
+            cache[word if isinstance(cache, byte_bpe.Pieces) else word.encode()]
+        assert cache.held <= 1 << 20 and sum(len(k) for k in cache) <= 1 << 20
