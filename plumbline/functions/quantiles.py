@@ -5,16 +5,17 @@ is fine for a few hundred thousand values and hopeless for a continuous column o
 a large table.  Beyond ``in_memory`` values this module selects instead, for all
 columns and probabilities together:
 
-1. two ends are found that should bracket each wanted rank: the edges of a bin of
-   an equal-width histogram, or, where bins are too full, two values of a
-   ``percentile_approx`` sketch;
-2. one grouped count tells how many values lie below, at and between the ends,
-   and, once few enough are expected between them, which values those are.
+1. one scan counts the values, finds their range and mean, and keeps a KLL sketch, whose
+   values a little below and above each wanted share should bracket its rank;
+2. one grouped count tells how many values lie below, at and between the ends, and,
+   once few enough are expected between them, which values those are.
 
+Up to some millions of values these two scans suffice; beyond, each further pair
+narrows the brackets by what the sketch can tell apart, some thousand times.
 The counts are exact, so a wrong guess in the first step costs a round and never a
 wrong result.  The wanted value is an end, or one of the values counted between the
-ends, or lies strictly between them in a later round.  A round narrows a bracket
-some thousand times and drops both ends, so ties cannot stall it.
+ends, or lies strictly between them in a later round.  A round drops both ends of a
+bracket, so ties cannot stall it.
 """
 
 from __future__ import annotations
@@ -27,47 +28,86 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.config import IN_MEMORY_VALUES
 from plumbline.functions.schema import col
 
-ACCURACY = 10_000
+# The size parameter of a sketch, and of all sketches of one scan together.
+ACCURACY, ALL_ACCURACY = 16_000, 2_000_000
 FINISH_ROWS = 50_000
-# Histogram bins per column, and over all columns (the bins reach the driver).
-BINS = 2048
-ALL_BINS = 50_000
 
 
-def exact_quantiles(
+def described(
     df: DataFrame,
     columns: list[str],
     probs: list[float],
     in_memory: int = IN_MEMORY_VALUES,
     finish: int = FINISH_ROWS,
     accuracy: int = ACCURACY,
-) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles per column; ``None`` for an all-missing column."""
+) -> dict[str, dict]:
+    """n, low, high, mean and linear-interpolated quantiles per column; ``None`` for those of an all-missing column."""
     if not columns:
         return {}
+    accuracy = max(8, min(accuracy, ALL_ACCURACY // len(columns)))
+    spread = _margin(accuracy)
     row = df.agg(
         *[
             e.alias(f"{k}{i}")
             for i, c in enumerate(columns)
-            for k, e in (("n", F.count(col(c))), ("lo", F.min(number(c))), ("hi", F.max(number(c))))
+            for k, e in (
+                ("n", F.count(col(c))), ("low", F.min(number(c))), ("high", F.max(number(c))), ("mean", F.avg(number(c))),
+                ("ends", _sketched(number(c), [p + d for p in probs for d in (-spread, spread)], accuracy)),
+            )
         ]
-    ).first()
-    counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    ranges = {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    small = [c for c in columns if 0 < counts[c] <= in_memory]
+    ).first()
+    out = {c: {k: row[f"{k}{i}"] for k in ("n", "low", "high", "mean")} | {"quantiles": [None] * len(probs)} for i, c in enumerate(columns)}
+    small = [c for c in columns if 0 < out[c]["n"] <= in_memory]
     if small:
-        wanted_probs = F.array(*map(F.lit, probs))
-        row = df.agg(*[F.percentile(number(c), wanted_probs).alias(str(i)) for i, c in enumerate(small)]).first()
-        out |= {c: list(row[i]) for i, c in enumerate(small)}
-    large = [c for c in columns if counts[c] > in_memory]
-    if large:
-        wanted = {c: sorted({r for p in probs for r in _ranks(counts[c], p)}) for c in large}
-        stats = order_statistics(df, wanted, counts, ranges, finish, accuracy)
-        out |= {c: [_interpolate(counts[c], p, stats[c]) for p in probs] for c in large}
+        wanted = F.array(*map(F.lit, probs))
+        values = df.agg(*[F.percentile(number(c), wanted).alias(str(i)) for i, c in enumerate(small)]).first()
+        for i, c in enumerate(small):
+            out[c]["quantiles"] = list(values[i])
+    todo = []
+    for i, c in enumerate(columns):
+        n = out[c]["n"]
+        if n <= in_memory:
+            continue
+        bounds: dict[int, tuple] = {}
+        for j, p in enumerate(probs):
+            low = out[c]["low"] if p <= spread else row[f"ends{i}"][2 * j]
+            high = out[c]["high"] if p >= 1 - spread else row[f"ends{i}"][2 * j + 1]
+            bounds |= {r: (low, high) for r in _ranks(n, p)}
+        todo += [_Target(c, r, n, ends=e, expected=_expected(n, accuracy)) for r, e in bounds.items()]
+    found = _selected(df, todo, finish, accuracy)
+    for c, stats in found.items():
+        out[c]["quantiles"] = [_interpolate(out[c]["n"], p, stats) for p in probs]
     return out
 
 
+def exact_quantiles(
+    df: DataFrame,
+    columns: list[str],
+    probs: list[float],
+    in_memory: int = IN_MEMORY_VALUES,
+    finish: int = FINISH_ROWS,
+    accuracy: int = ACCURACY,
+) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles per column; ``None`` for an all-missing column."""
+    return {c: f["quantiles"] for c, f in described(df, columns, probs, in_memory, finish, accuracy).items()}
+
+
+def _margin(accuracy: int) -> float:
+    """How far from a share a sketch's value for it may lie, but for rare cases."""
+    return 3.0 / accuracy**0.9
+
+
+def _expected(n: int, accuracy: int) -> float:
+    return min(float(n), 2 * _margin(accuracy) * n + 1)
+
+
+def _sketched(v: Column, shares: list[float], accuracy: int) -> Column:
+    """Aggregate: values at about these shares; NULL without values."""
+    sketch = F.kll_sketch_agg_double(v, F.lit(accuracy))
+    shares = F.array(*[F.lit(min(1.0, max(0.0, p))) for p in shares])
+    return F.when(F.count(v) > 0, F.kll_sketch_get_quantile_double(sketch, shares))
+
+
 def number(name: str) -> Column:
     return col(name).cast("double")
 
@@ -86,29 +126,15 @@ class _Target:
     expected: float = 0.0
 
 
-def order_statistics(
-    df: DataFrame,
-    wanted: dict[str, list[int]],
-    counts: dict[str, int],
-    ranges: dict[str, tuple[float, float]],
-    finish: int = FINISH_ROWS,
-    accuracy: int = ACCURACY,
-) -> dict[str, dict[int, float]]:
+def _selected(df: DataFrame, todo: list[_Target], finish: int, accuracy: int) -> dict[str, dict[int, float]]:
     """Value at each 0-based rank, per column."""
-    found: dict[str, dict[int, float]] = {c: {} for c in wanted}
-    todo = [_Target(c, r, counts[c]) for c, ranks in wanted.items() for r in ranks]
-    by_bins = [t for t in todo if 0 < ranges[t.column][1] - ranges[t.column][0] < math.inf]
-    by_sketch = [t for t in todo if t not in by_bins]
+    found: dict[str, dict[int, float]] = {t.column: {} for t in todo}
     while todo:
-        if by_bins:
-            _bracket_by_bins(df, by_bins, ranges)
-        by_sketch += [t for t in by_bins if t.expected > t.size / 64]
-        if by_sketch:
-            _bracket_by_sketch(df, by_sketch, accuracy)
         with_values = sum({(t.column, t.ends): t.expected for t in todo}.values()) <= finish
         tally = _tally(df, todo, with_values)
         todo = [t for t in todo if not _resolve(t, tally[t.column], found)]
-        by_bins, by_sketch = [], list(todo)
+        if todo:
+            _bracket(df, todo, accuracy)
     return found
 
 
@@ -130,51 +156,24 @@ def _per_id(values: list) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.col("id"))
 
 
-def _bracket_by_bins(df: DataFrame, todo: list[_Target], ranges: dict) -> None:
-    """Set two ends around each target: the edges of its bin."""
-    columns = list(dict.fromkeys(t.column for t in todo))
-    bins = max(64, min(BINS, ALL_BINS // len(columns)))
-    low = [ranges[c][0] for c in columns]
-    width = [(ranges[c][1] - ranges[c][0]) / bins for c in columns]
-    place = F.least(F.floor((F.col("v") - _per_id(low)) / _per_id([w or 1.0 for w in width])), F.lit(bins - 1))
-    rows = _values(df, columns).groupBy("id", place.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
-    counts: dict[int, list] = {}
-    for r in sorted(rows, key=lambda r: r["bin"]):
-        counts.setdefault(r["id"], []).append((r["bin"], r["n"]))
-    for t in todo:
-        i, below = columns.index(t.column), 0
-        for b, n in counts[i + 1]:
-            if t.rank < below + n:
-                break
-            below += n
-        edges = (low[i] + b * width[i], low[i] + (b + 1) * width[i])
-        t.ends = (edges[0], ranges[t.column][1] if b == bins - 1 else edges[1])
-        t.expected = n
-
-
-def _bracket_by_sketch(df: DataFrame, todo: list[_Target], accuracy: int) -> None:
+def _bracket(df: DataFrame, todo: list[_Target], accuracy: int) -> None:
     """Set two ends around each target: one sketch per column and interval."""
-    margin = 2.0 / accuracy
+    spread = _margin(accuracy)
     spans: dict[tuple, list[_Target]] = {}
     for t in todo:
         spans.setdefault((t.column, t.low, t.high), []).append(t)
     sketches = []
     for i, ((c, low, high), targets) in enumerate(spans.items()):
         v = _within(number(c), low, high)
-        shares = [(t.rank - t.below) / max(1, t.size - 1) for t in targets]
-        probs = [F.lit(min(1.0, max(0.0, p + d))) for p in shares for d in (-margin, margin)]
-        sketches += [
-            F.percentile_approx(v, F.array(*probs), F.lit(accuracy)).alias(f"q{i}"),
-            F.min(v).alias(f"lo{i}"),
-            F.max(v).alias(f"hi{i}"),
-        ]
+        shares = [(t.rank - t.below) / max(1, t.size - 1) + d for t in targets for d in (-spread, spread)]
+        sketches += [_sketched(v, shares, accuracy).alias(f"q{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     row = df.agg(*sketches).first()
     for i, targets in enumerate(spans.values()):
         for j, t in enumerate(targets):
             p = (t.rank - t.below) / max(1, t.size - 1)
             a, b = row[f"q{i}"][2 * j : 2 * j + 2]
-            t.ends = (a if p > margin else row[f"lo{i}"], b if p < 1 - margin else row[f"hi{i}"])
-            t.expected = t.size if t.size < 2 * accuracy else 2 * margin * t.size
+            t.ends = (a if p > spread else row[f"lo{i}"], b if p < 1 - spread else row[f"hi{i}"])
+            t.expected = _expected(t.size, accuracy)
 
 
 def _tally(df: DataFrame, todo: list[_Target], with_values: bool) -> dict[str, list[tuple]]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from plumbline.functions.counts import column_facts, empty, per_column, union_all, value_counts, with_distinct
 from plumbline.functions.exprs import to_time
 from plumbline.functions.moments import pair_moments
-from plumbline.functions.quantiles import exact_quantiles
+from plumbline.functions.quantiles import described
 from plumbline.functions.schema import DATETIME, NUMERIC, TEXT, col, columns_of, nan_to_null
 from plumbline.operators.profile import fences, outside
 from plumbline.operators.roles import categorical_names
@@ -178,20 +178,10 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 30, m
             df,
             "column string, bin bigint, low double, high double, n bigint, mean double, median double, width double, total bigint",
         )
-    facts = column_facts(
-        df,
-        columns,
-        lambda c: {
-            "lo": F.min(col(c)).cast("double"),
-            "hi": F.max(col(c)).cast("double"),
-            "mean": F.avg(col(c).cast("double")),
-            "n": F.count(col(c)),
-        },
-    )
-    median = exact_quantiles(df, columns, [0.5])
-    width = {c: (facts[c]["hi"] - facts[c]["lo"]) / bins for c in columns}
+    facts = described(df, columns, [0.5])
+    width = {c: (facts[c]["high"] - facts[c]["low"]) / bins for c in columns}
     place = [
-        F.least(F.floor((col(c).cast("double") - facts[c]["lo"]) / width[c]), F.lit(bins - 1)).alias(str(i))
+        F.least(F.floor((col(c).cast("double") - facts[c]["low"]) / width[c]), F.lit(bins - 1)).alias(str(i))
         for i, c in enumerate(columns)
     ]
     counts = (
@@ -203,7 +193,7 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 30, m
     )
     grid = df.sparkSession.createDataFrame(
         [
-            (i, c, b, facts[c]["lo"] + b * width[c], facts[c]["lo"] + (b + 1) * width[c], width[c], facts[c]["mean"], median[c][0], facts[c]["n"])
+            (i, c, b, facts[c]["low"] + b * width[c], facts[c]["low"] + (b + 1) * width[c], width[c], facts[c]["mean"], facts[c]["quantiles"][0], facts[c]["n"])
             for i, c in enumerate(columns)
             for b in range(bins)
         ],
