@@ -11,6 +11,8 @@ from plumbline.functions.schema import col, family
 
 # Aggregates with more buffers than this leave whole-stage code generation.
 MAX_BUFFERS = 96
+# Text columns with a value of more bytes are counted by hash; so many first characters go with it.
+HASHED_FROM = 64
 
 
 def empty(df: DataFrame, schema: str) -> DataFrame:
@@ -100,14 +102,61 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def long_text(df: DataFrame, columns: list[str]) -> list[str]:
+    """The text columns with a value of more than ``HASHED_FROM`` bytes."""
+    names = [c for c in columns if family(df.schema[c].dataType) == "text"]
+    facts = column_facts(df, names, lambda c: {"most": F.max(F.octet_length(col(c)))}, buffers=1)
+    return [c for c in names if (facts[c]["most"] or 0) > HASHED_FROM]
+
+
+def _of_long_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``distinct_and_mode`` of long text, which itself is never shuffled value by value.
+
+    Values are counted under a 128-bit hash, beside their first characters.  These name,
+    for each column, the highest count and the least beginning that has it; only values
+    that begin so are then counted whole.
+    """
+    ids = dict(enumerate(columns))
+    texts = df.select(*[col(c).cast("string").alias(str(i)) for i, c in ids.items()])
+
+    def rows(frame):
+        return frame.unpivot([], frame.columns, "id", "value").select(F.col("id").cast("int").alias("id"), "value")
+
+    begins = F.substring("value", 1, HASHED_FROM)
+    hashed = rows(texts).select("id", F.unhex(F.md5(F.col("value").cast("binary"))).alias("key"), begins.alias("begin"))
+    counts = hashed.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"), F.min("begin").alias("begin"))
+    seen = F.col("key").isNotNull()
+    facts = counts.groupBy("id").agg(
+        F.count_if(seen).alias("distinct"), F.count(F.lit(1)).alias("distinct_all"), F.min(F.when(seen, F.struct((-F.col("n")).alias("rank"), "begin"))).alias("top")
+    )
+    facts = {r["id"]: r for r in facts.collect()}
+    tops = {i: r["top"] for i, r in facts.items() if r["top"] is not None}
+    best = {}
+    if tops:
+        like = texts.select(*[F.when(F.substring(str(i), 1, HASHED_FROM) == t["begin"], F.col(str(i))).alias(str(i)) for i, t in tops.items()])
+        n = F.element_at(F.create_map(*[F.lit(x) for i, t in tops.items() for x in (i, -t["rank"])]), F.col("id"))
+        whole = rows(like).where("value IS NOT NULL").groupBy("id", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n)
+        best = dict(map(tuple, whole.groupBy("id").agg(F.min("value")).collect()))
+    return df.sparkSession.createDataFrame(
+        [
+            (c, facts[i]["distinct"] if i in facts else 0, facts[i]["distinct_all"] if i in facts else 0, best.get(i), -tops[i]["rank"] if i in tops else 0)
+            for i, c in ids.items()
+            if i in facts
+        ],
+        "column string, distinct bigint, distinct_all bigint, top_value string, top_count bigint",
+    )
+
+
 def distinct_and_mode(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column, distinct, distinct_all, top_value, top_count)``.
 
     ``distinct_all`` counts missing as a value.  Ties go to the smallest value in
-    the column's own order (numbers as numbers).
+    the column's own order (numbers as numbers).  Distinct long texts are told apart
+    by a 128-bit hash.
     """
-    parts = []
-    for ids, counts in typed_value_counts(df, columns):
+    long_ = long_text(df, columns)
+    parts = [_of_long_text(df, long_)] if long_ else []
+    for ids, counts in typed_value_counts(df, [c for c in columns if c not in long_]):
         seen = F.col("value").isNotNull()
         parts.append(
             counts.groupBy("id")
@@ -130,7 +179,10 @@ def distinct_and_mode(df: DataFrame, columns: list[str]) -> DataFrame:
 def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
     """Typed mode per column on the driver (one value per column)."""
     out: dict[str, object] = {c: None for c in columns}
-    for ids, counts in typed_value_counts(df, columns):
+    long_ = long_text(df, columns)
+    if long_:
+        out |= {r["column"]: r["top_value"] for r in _of_long_text(df, long_).collect()}
+    for ids, counts in typed_value_counts(df, [c for c in columns if c not in long_]):
         top = (
             counts.where(F.col("value").isNotNull())
             .groupBy("id")

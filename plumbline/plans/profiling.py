@@ -311,6 +311,17 @@ CATALOG: Catalog = {
             FROM dirty_orders""",
         ),
     ),
+    "categorical_stats_documents": Query(
+        _named("documents", profile.categorical_stats),
+        each(
+            ("text", "lang", "source"),
+            lambda c: f"""
+            SELECT '{c}' AS "column", count({c}) AS "count", count(*) - count({c}) AS missing, count(DISTINCT {c}) AS "distinct",
+              (SELECT CAST(v AS VARCHAR) FROM {top_sql(c, "documents")}) AS mode,
+              (SELECT coalesce(max(n), 0) FROM {top_sql(c, "documents")}) AS mode_count
+            FROM documents""",
+        ),
+    ),
     "iqr_outliers": Query(_orders(profile.iqr_outliers), cte("dirty_orders") + _outliers_sql(ORDERS, "dirty_orders")),
     "iqr_outliers_lineitem": Query(_lineitem(profile.iqr_outliers), _outliers_sql(LINEITEM, "lineitem")),
     "duplicate_analysis": Query(

@@ -123,6 +123,24 @@ def test_selected_quantiles_are_exact(spark, finish):
             assert a == b or math.isclose(a, b, rel_tol=1e-12), (k, got[k])
 
 
+@pytest.mark.parametrize("limit", [64, 8, 1])
+def test_long_text_is_counted_like_short_text(spark, monkeypatch, limit):
+    r = random.Random(limit)
+    long_ = ["the same beginning of every text " * 4 + str(k) for k in range(30)] + ["é" * 90, "z" * 70, "short", ""]
+    rows = [(r.choice(long_[:4]) if r.random() < 0.3 else r.choice(long_), r.choice([None, "a" * 100, "b" * 100]), None, f"unique {k} " * 12) for k in range(400)]
+    df = spark.createDataFrame(rows, "`a b` string, tied string, none string, own string")
+    want = []
+    for i, c in enumerate(df.columns):
+        seen = [x[i] for x in rows if x[i] is not None]
+        top = min(((-seen.count(v), v) for v in set(seen)), default=(0, None))
+        want.append((c, len(set(seen)), len(set(x[i] for x in rows)), top[1], -top[0]))
+    monkeypatch.setattr(counts, "HASHED_FROM", limit)
+    assert sorted(map(tuple, counts.distinct_and_mode(df, df.columns).collect())) == sorted(want)
+    assert counts.modes(df, df.columns) == {w[0]: w[3] for w in want}
+    assert counts.long_text(df, df.columns) == ["a b", "tied", "own"]
+    assert counts.distinct_and_mode(df.where("false"), df.columns).count() == 0
+
+
 def test_quantiles_of_an_empty_column(spark):
     df = spark.createDataFrame([(None, 1.0)], "x double, y double")
     assert exact_quantiles(df, ["x", "y"], [0.5]) == {"x": [None], "y": [1.0]}
