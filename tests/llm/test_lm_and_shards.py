@@ -79,10 +79,10 @@ def test_probabilities_add_up_and_look_back_only():
     head = rng.integers(0, lm_scoring.SUBWORDS, 70)
     total = 0.0
     for last in range(lm_scoring.END + 1):
-        total += math.exp(model.score(np.append(head, last).astype(np.int32), np.array([71]))[-1])
+        total += math.exp(model.score(np.append(head, last).astype(np.int32), np.array([71]))[0][-1])
     assert total == pytest.approx(1, abs=1e-3)
-    a = model.score(head.astype(np.int32), np.array([70]))
-    b = model.score(np.append(head, [5, 6]).astype(np.int32), np.array([72]))
+    a = model.score(head.astype(np.int32), np.array([70]))[0]
+    b = model.score(np.append(head, [5, 6]).astype(np.int32), np.array([72]))[0]
     assert np.allclose(a, b[:70], atol=1e-5)
 
 
@@ -90,8 +90,61 @@ def test_documents_of_a_batch_do_not_see_each_other():
     model = tiny_model()
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, lm_scoring.SUBWORDS, n).astype(np.int32) for n in (1, 100, 33, 64)]
-    apart = np.concatenate([model.score(d, np.array([len(d)])) for d in docs])
-    assert np.allclose(apart, model.score(np.concatenate(docs), np.array([len(d) for d in docs])), atol=1e-5)
+    apart = np.concatenate([model.score(d, np.array([len(d)]))[0] for d in docs])
+    assert np.allclose(apart, model.score(np.concatenate(docs), np.array([len(d) for d in docs]))[0], atol=1e-5)
+
+
+def test_classes_hold_subwords_that_begin_words_or_others():
+    ranks, ids, classes = lm_scoring.subword_ids(SUBWORDS)
+    token = {int(ids[r]): t for t, r in ranks.items()}
+    assert len(token) == len(ranks) > 950 and max(token) < lm_scoring.SUBWORDS
+    assert all((t[:1] == b" ") == (i // lm_scoring.CLASS < classes) for i, t in token.items())
+    assert all(bytes([b]) in ranks for b in range(256))
+
+
+def closed_spellings(speller, alphabet, most):
+    """Words of these letters up to a length, by their subwords."""
+    from itertools import product
+
+    words = [b"", *(bytes(w) for n in range(1, most + 1) for w in product(alphabet, repeat=n))]
+    return words, [np.frombuffer(speller[w], "<u2").astype(np.int32) for w in words]
+
+
+def test_words_add_up_to_one_at_most():
+    """After any text, the words of a closed alphabet have at most probability 1 together."""
+    speller = lm_scoring.Speller(SUBWORDS)
+    words, spelled = closed_spellings(speller, b"ab", 7)
+    size = lm_scoring.END + 1
+    pairs = np.full((size, size), 1e-9)
+    for ids in spelled:  # a law that knows these words alone
+        for a, b in zip(np.append(ids[:-1], lm_scoring.END), np.append(ids[1:], ids[0]), strict=True):
+            pairs[a, b] += 0.5 ** len(ids)
+        pairs[ids[-1], lm_scoring.END] += 0.1
+        pairs[lm_scoring.END, ids[0]] += 1
+    for model in (lm_scoring.Attention.untrained(pairs / pairs.sum(axis=1, keepdims=True)), tiny_model()):
+        for head in ([], [b"ab"], [b"ba", b"a", b"abab"]):
+            total = 0.0
+            for word in words:
+                text = [*head, word] if word == b"" else [*head, word, b""]
+                ids, sizes = lm_scoring.spelled(text, speller)
+                log_p = lm_scoring.word_log_p(model, ids, sizes, np.array([0]), speller.classes)
+                total += math.exp(log_p[len(head)])
+            assert total <= 1 + 1e-4
+    # A text's words multiply to its subwords' probability, given that it begins as a text does.
+    ids, sizes = lm_scoring.spelled([b"ab", b"bab", b"a", b""], speller)
+    log_p, begins = model.score(ids, np.array([len(ids)]), speller.classes)
+    words = lm_scoring.word_log_p(model, ids, sizes, np.array([0]), speller.classes)
+    assert words.sum() == pytest.approx(log_p.sum() - begins[0], rel=1e-5)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows, found = corpus(120, 5), []
+    for n in (1, 4, 11):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        out = lm_scoring.score_texts(docs, fractions_of("doc_id", 10) == 0, SUBWORDS, sample=300, sample_docs=60).collect()
+        found.append({r.doc_id: r.score for r in out})
+    for other in found[1:]:
+        assert other == pytest.approx(found[0], rel=1e-4)
 
 
 def test_a_window_of_32_sees_its_first_subword():
@@ -99,7 +152,7 @@ def test_a_window_of_32_sees_its_first_subword():
     ids = np.random.default_rng(4).integers(0, lm_scoring.SUBWORDS, 40).astype(np.int32)
     other = ids.copy()
     other[0] += 1 if ids[0] < lm_scoring.SUBWORDS - 1 else -1
-    a, b = (model.score(x, np.array([40])) for x in (ids, other))
+    a, b = (model.score(x, np.array([40]))[0] for x in (ids, other))
     assert (np.abs(a - b)[1:32] > 0).all()
 
 
@@ -124,7 +177,7 @@ def test_word_order_is_learnt_from_all_training_documents(spark):
 def test_the_fit_reads_a_share_of_windows_that_grows(spark):
     rows, read = corpus(400), []
     for n in (100, 400):
-        model, docs = tiny_model(), spark.createDataFrame([(i, t.encode()) for i, t in rows[:n]], "uid long, text binary")
+        model, docs = tiny_model(), spark.createDataFrame([(i, t.encode()) for i, t in rows[:n]], "doc_id long, text binary")
         before = {k: w.copy() for k, w in model.weights.items()}
         read.append(lm_scoring.fit_share(model, docs, SUBWORDS, share=2))
         assert all(model.weights[k].shape == w.shape and not np.array_equal(model.weights[k], w) for k, w in before.items())
