@@ -1,10 +1,9 @@
 """Eight models per task on Spark ML, a leaderboard, and batch scoring.
 
-Preparation is fitted on training rows only.  Four models have no twin in Spark ML
-and are approximations, marked so in the leaderboard:
+Preparation is fitted on training rows only.  Four models have no twin in Spark ML;
+two of them are approximations, marked so in the leaderboard:
 
-* extra trees: a forest without bootstrap and with random feature subsets, but
-  with searched, not random, split points;
+* extra trees are grown with random cuts (``operators.random_trees``);
 * AdaBoost: SAMME (classification) and R2 (regression) over weighted trees;
 * RBF support vector machines: random Fourier features and a linear model;
 * nearest neighbours are exact (``operators.knn``).
@@ -31,7 +30,7 @@ from pyspark.util import inheritable_thread_target
 
 from plumbline.functions.exprs import currency_to_number
 from plumbline.functions.schema import TEXT, col, family, nan_to_null
-from plumbline.operators import knn
+from plumbline.operators import knn, random_trees
 from plumbline.operators.ml_metrics import classification_metrics, regression_metrics
 from plumbline.operators.ml_prepare import (
     Preparation,
@@ -151,7 +150,12 @@ def _knn(model: Fitted, df: DataFrame) -> DataFrame:
     return numbered.join(found.withColumnRenamed("query", "__row"), "__row").select(*df.columns, "prediction")
 
 
+def _extra_trees(model: Fitted, df: DataFrame) -> DataFrame:
+    return random_trees.predict(df, model.extra["forest"])
+
+
 PREDICTORS: dict[str, Callable[[Fitted, DataFrame], DataFrame]] = {
+    "extra_trees": _extra_trees,
     "single": _single,
     "svm": _svm,
     "ada_classify": _ada_classify,
@@ -265,19 +269,22 @@ def _fit_knn(task):
     return fit
 
 
+def _fit_extra_trees(task):
+    def fit(train, s, info):
+        classes = info["classes"] if task == CLASSIFICATION else 0
+        forest = random_trees.grow(train, info["dim"], classes, s.trees, s.depth, seed=s.seed)
+        return Fitted("extra_trees", task, extra={"forest": forest, "trees": s.trees})
+
+    return fit
+
+
 CLASSIFIERS: dict[str, Callable] = {
     "random_forest": _fit_single(
         "random_forest",
         CLASSIFICATION,
         lambda s, i: C.RandomForestClassifier(numTrees=s.trees, maxDepth=s.depth, seed=s.seed),
     ),
-    "extra_trees": _fit_single(
-        "extra_trees",
-        CLASSIFICATION,
-        lambda s, i: C.RandomForestClassifier(
-            numTrees=s.trees, maxDepth=s.depth, seed=s.seed + 1, bootstrap=False, featureSubsetStrategy="sqrt"
-        ),
-    ),
+    "extra_trees": _fit_extra_trees(CLASSIFICATION),
     "gradient_boosting": _fit_single(
         "gradient_boosting",
         CLASSIFICATION,
@@ -306,13 +313,7 @@ REGRESSORS: dict[str, Callable] = {
             numTrees=s.trees, maxDepth=s.depth, seed=s.seed, featureSubsetStrategy="all"
         ),
     ),
-    "extra_trees": _fit_single(
-        "extra_trees",
-        REGRESSION,
-        lambda s, i: R.RandomForestRegressor(
-            numTrees=s.trees, maxDepth=s.depth, seed=s.seed + 1, bootstrap=False, featureSubsetStrategy="onethird"
-        ),
-    ),
+    "extra_trees": _fit_extra_trees(REGRESSION),
     "gradient_boosting": _fit_single(
         "gradient_boosting",
         REGRESSION,
@@ -329,7 +330,7 @@ REGRESSORS: dict[str, Callable] = {
     "svm": _fit_svm(REGRESSION),
 }
 
-APPROXIMATE = {"extra_trees", "adaboost", "svm"}
+APPROXIMATE = {"adaboost", "svm"}
 
 
 # --- training data -----------------------------------------------------------
@@ -508,7 +509,7 @@ def unseen_inputs(df: DataFrame, prep: Preparation) -> DataFrame:
 def save_model(model: Fitted, data: TrainingSet, path: str) -> None:
     """Stages, code table and settings under one folder."""
     spark = data.train.sparkSession
-    extra = {k: v for k, v in model.extra.items() if not isinstance(v, DataFrame)}
+    extra = {k: v for k, v in model.extra.items() if not isinstance(v, DataFrame | random_trees.Forest)}
     meta = {
         "name": model.name,
         "task": model.task,
@@ -531,6 +532,8 @@ def save_model(model: Fitted, data: TrainingSet, path: str) -> None:
         data.prep.codes.write.mode("overwrite").parquet(f"{path}/codes")
     if "train" in model.extra:
         model.extra["train"].write.mode("overwrite").parquet(f"{path}/train")
+    if "forest" in model.extra:
+        model.extra["forest"].table(spark).write.mode("overwrite").parquet(f"{path}/forest")
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[Fitted, TrainingSet]:
@@ -544,6 +547,8 @@ def load_model(spark: SparkSession, path: str) -> tuple[Fitted, TrainingSet]:
     extra = dict(meta["extra"])
     if meta["name"] == "knn":
         extra["train"] = spark.read.parquet(f"{path}/train")
+    if meta["name"] == "extra_trees":
+        extra["forest"] = random_trees.Forest.of(spark.read.parquet(f"{path}/forest"), extra["trees"])
     model = Fitted(meta["name"], meta["task"], stages, meta["weights"], extra)
     empty = spark.createDataFrame([], T.StructType())
     return model, TrainingSet(meta["task"], meta["target"], meta["key"], prep, meta["classes"], empty, empty, meta["info"])

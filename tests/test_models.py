@@ -185,7 +185,7 @@ def test_leaderboard_is_sorted_and_split_is_shared(sets):
     assert got == sorted(got, reverse=True) and len(models) == 3
 
 
-@pytest.mark.parametrize("name", ["decision_tree", "adaboost", "svm", "knn"])
+@pytest.mark.parametrize("name", ["decision_tree", "adaboost", "svm", "knn", "extra_trees"])
 def test_saved_models_score_the_same(spark, labelled, sets, tmp_path, name):
     data = sets[ml_models.CLASSIFICATION]
     model = ml_models.fit(data, name, SMALL)
