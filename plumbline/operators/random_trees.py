@@ -49,16 +49,18 @@ class Forest:
     value: np.ndarray
 
     def table(self, spark: SparkSession) -> DataFrame:
-        frame = pd.DataFrame({"node": np.arange(len(self.cut)), "feature": self.feature, "cut": self.cut, "child": self.child})
-        frame["value"] = list(self.value)
-        schema = "node bigint, feature bigint, cut double, child bigint, value array<double>"
-        return spark.createDataFrame(frame, schema)
+        n, wide = self.value.shape
+        shares = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * wide, pa.int32()), pa.array(self.value.ravel()))
+        columns = (np.arange(n), self.feature, self.cut, self.child)
+        names = ("node", "feature", "cut", "child")
+        return spark.createDataFrame(pa.table({**dict(zip(names, map(pa.array, columns))), "value": shares}))
 
     @staticmethod
     def of(table: DataFrame, trees: int) -> Forest:
-        frame = table.toPandas().sort_values("node")
-        arrays = [frame[c].to_numpy() for c in ("feature", "cut", "child")]
-        return Forest(trees, *arrays, np.stack(frame["value"].to_list()))
+        found = table.toArrow().sort_by("node").combine_chunks()
+        arrays = [found[c].to_numpy() for c in ("feature", "cut", "child")]
+        value = found["value"].combine_chunks().flatten().to_numpy()
+        return Forest(trees, *arrays, value.reshape(found.num_rows, -1))
 
 
 # --- draws -------------------------------------------------------------------
