@@ -144,7 +144,9 @@ def feature_suggestions(df: DataFrame, options: ProfileOptions = DEFAULT) -> Dat
 def target_candidates(df: DataFrame, rules: TargetRules = TargetRules()) -> DataFrame:
     """Columns worth predicting: ``(column, score, distinct, problem_type, rank)``.
 
-    A column whose values are all distinct is never a candidate.
+    A column whose values are all distinct is never a candidate.  Names add points
+    only by ``rules.words``, of which none are built in: a caller who knows what the
+    table is about gives them.
     """
     df = nan_to_null(df)
     names = [c for c in groupable(df) if c in columns_of(df, NUMERIC, TEXT, BOOLEAN)]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -262,7 +263,13 @@ def whole_only(c: Column) -> Column:
 
 
 def clean_integers(df: DataFrame, words: tuple[str, ...] = INTEGER_WORDS, substring: bool = False) -> DataFrame:
-    """Fractional values of whole-number quantities become NULL."""
+    """Fractional values of whole-number quantities become NULL.
+
+    A column is such a quantity when its name has one of ``words``.  None are built
+    in: without them the table comes back as it is, with a warning.
+    """
+    if not words:
+        warnings.warn("clean_integers does nothing without words that name whole-number quantities", stacklevel=2)
     df = nan_to_null(df)
     return replace_columns(df, {c: whole_only(col(c)) for c in integer_columns(df, words, substring)})
 
@@ -288,6 +295,7 @@ def to_whole(c: Column) -> Column:
 
 
 def restore_integers(df: DataFrame, words: tuple[str, ...] = INTEGER_WORDS) -> DataFrame:
+    """Float columns of whole numbers become bigint; nearly whole ones only where ``words`` name them."""
     df = nan_to_null(df)
     return replace_columns(df, {c: to_whole(col(c)) for c in find_whole_columns(df, words)})
 

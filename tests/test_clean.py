@@ -163,3 +163,11 @@ def test_runs_leave_no_table_behind(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         clean_table(df)
     assert here() == before
+
+
+def test_whole_numbers_need_words(spark):
+    df = spark.createDataFrame([(1.5, 2.5), (2.0, 3.0)], "visit_count double, price double")
+    with pytest.warns(UserWarning, match="words"):
+        assert sorted(map(tuple, clean.clean_integers(df).collect())) == [(1.5, 2.5), (2.0, 3.0)]
+    named = clean.clean_integers(df, ("count",))
+    assert {tuple(r) for r in named.collect()} == {(None, 2.5), (2.0, 3.0)}
