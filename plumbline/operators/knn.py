@@ -3,9 +3,11 @@
 Training points are grouped around pivots.  Each cell is summarised by its size,
 its radius and its few smallest pivot distances; from these summaries alone every
 query bounds the distance of its k-th neighbour, and by the triangle inequality
-skips each cell that cannot hold a nearer point.  Cells are cut into blocks and
-queries into chunks of bounded size, so a crowded cell is many small tasks, and
-each task returns only its k best per query, never its pairs.
+skips each cell that cannot hold a nearer point.  Cells that lie near each other
+share a block, a crowded cell is cut into several, and queries are cut into chunks:
+a query travels once to each block that holds a cell it needs, with the list of
+those cells, so what is shuffled grows with blocks and not with cells.  A task holds
+one block and one chunk, both of bounded size, and returns its k best per query.
 
 What is skipped depends on the data.  Vectors without clusters, as in many
 dimensions, leave nothing to skip, and then every block meets every query: the
@@ -23,9 +25,13 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from plumbline.functions.schema import col
 
-BLOCK_ROWS = 4096
-CHUNK_ROWS = 4096
+# Rows of a block and of a chunk, and numbers in either, at most.
+BLOCK_ROWS = CHUNK_ROWS = 16384
+BLOCK_NUMBERS = 1 << 20
 MAX_PIVOTS = 512
+# Numbers in the temporary tables of a task, and rows of a message to the JVM.
+NUMBERS = 1 << 21
+MESSAGE = 8192
 # Room for rounding when comparing bounds.
 SLACK = 1e-6
 
@@ -34,9 +40,27 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.empty((0, 0))
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances, but for rounding."""
+    sq = a @ b.T
+    sq *= -2.0
+    sq += (a * a).sum(1)[:, None]
+    sq += (b * b).sum(1)[None, :]
+    return sq
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(sq, 0.0))
+    sq = _squares(a, b)
+    return np.sqrt(np.maximum(sq, 0.0, out=sq), out=sq)
+
+
+def _chain(centers: np.ndarray) -> list[int]:
+    """Row numbers in an order that steps from each center to the nearest one left."""
+    left, order = list(range(1, len(centers))), [0]
+    while left:
+        d = ((centers[left] - centers[order[-1]]) ** 2).sum(1)
+        order.append(left.pop(int(d.argmin())))
+    return order
 
 
 def nearest(
@@ -47,8 +71,8 @@ def nearest(
     k: int = 5,
     payload: str | None = None,
     exclude_self: bool = False,
-    block_rows: int = BLOCK_ROWS,
-    chunk_rows: int = CHUNK_ROWS,
+    block_rows: int | None = None,
+    chunk_rows: int | None = None,
     pivots: int | None = None,
 ) -> DataFrame:
     """``(query, neighbor, distance, rank[, payload])`` by Euclidean distance, ties by key.
@@ -74,12 +98,16 @@ def nearest(
     centers = _matrix(
         [r["vec"] for r in points.orderBy(F.md5(F.col("id").cast("string")), "id").limit(n_pivots).select("vec").collect()]
     )
+    most = max(256, min(BLOCK_ROWS, BLOCK_NUMBERS // max(1, centers.shape[1])))
+    block_rows, chunk_rows = block_rows or most, chunk_rows or most
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            d = _distances(_matrix(pdf["vec"]), centers) if len(pdf) else np.zeros((0, 1))
-            cell = d.argmin(1)
-            yield pdf.assign(cell=cell.astype("int32"), reach=d[np.arange(len(pdf)), cell])
+            for i in range(0, len(pdf), MESSAGE):
+                part = pdf.iloc[i : i + MESSAGE]
+                d = _distances(_matrix(part["vec"]), centers)
+                cell = d.argmin(1)
+                yield part.assign(cell=cell.astype("int32"), reach=d[np.arange(len(part)), cell])
 
     placed = points.mapInPandas(place, f"id {kind}, vec array<double>, payload {payload_type}, cell int, reach double")
 
@@ -95,95 +123,134 @@ def nearest(
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius")).join(near, "cell")
     summary = {r["cell"]: r for r in cells.collect()}
     ids = np.array(sorted(summary))
+    ids = ids[_chain(centers[ids])]
     radius = np.array([summary[c]["radius"] for c in ids])
     near_pad = np.full((len(ids), need), np.inf)
     for i, c in enumerate(ids):
         near_pad[i, : len(summary[c]["near"])] = summary[c]["near"]
-    blocks = {int(c): max(1, math.ceil(summary[c]["n"] / block_rows)) for c in ids}
     used = centers[ids]
 
-    def visits(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers of the batch, and the cells each row has to look into."""
-        rows, cols = [], []
-        for start in range(0, len(pdf), 1024):
-            d = _distances(_matrix(pdf["qvec"].iloc[start : start + 1024]), used)
-            reachable = (d[:, :, None] + near_pad[None, :, :]).reshape(len(d), -1)
-            kth = min(need, reachable.shape[1]) - 1
-            bound = np.partition(reachable, kth, axis=1)[:, kth]
-            slack = SLACK * (1.0 + d.max(1))
-            r, c = np.nonzero(d - radius[None, :] <= (bound + slack)[:, None])
-            rows.append(r + start)
-            cols.append(ids[c].astype("int32"))
-        return np.concatenate(rows), np.concatenate(cols)
+    # Cells go into groups in that order until a group would exceed a block; a larger cell is a group of several blocks.
+    group, held, n_blocks = np.empty(len(ids), np.int64), 0, []
+    for i, c in enumerate(ids):
+        n = summary[c]["n"]
+        if not i or held + n > block_rows:
+            n_blocks.append(max(1, math.ceil(n / block_rows)))
+            held = 0
+        held, group[i] = held + n, len(n_blocks) - 1
+    firsts = np.searchsorted(group, np.arange(len(n_blocks)))
+
+    def visits(qvec: np.ndarray) -> np.ndarray:
+        """Which cells each query has to look into."""
+        d = _distances(qvec, used)
+        reachable = (d[:, :, None] + near_pad[None, :, :]).reshape(len(d), -1)
+        kth = min(need, reachable.shape[1]) - 1
+        reachable.partition(kth, axis=1)
+        slack = SLACK * (1.0 + d.max(1))
+        return d - radius[None, :] <= (reachable[:, kth] + slack)[:, None]
+
+    def slices(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        step = max(1, min(MESSAGE // len(n_blocks), NUMBERS // (len(ids) * need)))
+        for i in range(0, len(pdf), step):
+            part = pdf.iloc[i : i + step]
+            yield part, visits(_matrix(part["qvec"]))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """How many queries look into each group of cells."""
+        n = np.zeros(len(n_blocks), np.int64)
         for pdf in batches:
-            if len(pdf):
-                rows, where = visits(pdf)
-                yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[rows], "cell": where})
+            for _, look in slices(pdf):
+                n += np.logical_or.reduceat(look, firsts, axis=1).sum(0)
+        yield pd.DataFrame({"grp": np.arange(len(n), dtype="int32"), "n": n})
 
     def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A query for each group of cells that it looks into, with those cells."""
         for pdf in batches:
-            if len(pdf):
-                rows, where = visits(pdf)
-                yield pdf.iloc[rows].assign(cell=where)
-
-    routed = asked.mapInPandas(route, f"qid {kind}, cell int")
-    # Rows per cell decide how many chunks its queries make; at most MAX_PIVOTS rows.
-    load = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chunks = {int(c): max(1, math.ceil(load.get(int(c), 0) / chunk_rows)) for c in ids}
-    grid = train.sparkSession.createDataFrame(
-        [(int(c), blocks[int(c)], chunks[int(c)]) for c in ids], "cell int, n_blocks int, n_chunks int"
-    )
+            for part, look in slices(pdf):
+                row, grp = np.nonzero(np.logical_or.reduceat(look, firsts, axis=1))
+                at, where = np.nonzero(look)
+                ends = np.cumsum(np.unique(at * len(n_blocks) + group[where], return_counts=True)[1])
+                yield part.iloc[row].assign(grp=grp.astype("int32"), cells=np.split(ids[where].astype("int32"), ends)[:-1])
+
+    load = {r["grp"]: r["n"] for r in asked.mapInPandas(route, "grp int, n bigint").groupBy("grp").agg(F.sum("n").alias("n")).collect()}
+    # at most MAX_PIVOTS rows
+    chunks = [max(1, math.ceil(load.get(g, 0) / chunk_rows)) for g in range(len(n_blocks))]
+    session = train.sparkSession
+    grid = session.createDataFrame([(g, b, c) for g, (b, c) in enumerate(zip(n_blocks, chunks))], "grp int, n_blocks int, n_chunks int")
+    groups = session.createDataFrame([(int(c), int(g)) for c, g in zip(ids, group)], "cell int, grp int")
 
     def spread(count, column):
         return F.pmod(F.xxhash64(column), F.col(count)).cast("int")
 
     left = (
-        placed.join(F.broadcast(grid), "cell")
+        placed.join(F.broadcast(groups), "cell")
+        .join(F.broadcast(grid), "grp")
         .withColumn("block", spread("n_blocks", "id"))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-        .select("cell", "block", "chunk", "id", "vec", "payload")
+        .select("grp", "block", "chunk", "cell", "id", "vec", "payload")
     )
     right = (
-        asked.mapInPandas(carry, f"qid {kind}, qvec array<double>, cell int")
-        .join(F.broadcast(grid), "cell")
+        asked.mapInPandas(carry, f"qid {kind}, qvec array<double>, grp int, cells array<int>")
+        .join(F.broadcast(grid), "grp")
         .withColumn("chunk", spread("n_chunks", "qid"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select("cell", "block", "chunk", "qid", "qvec")
+        .select("grp", "block", "chunk", "qid", "qvec", "cells")
     )
 
     plain = np.int64 if whole else np.str_
 
+    def candidates_of(qid: np.ndarray, qvec: np.ndarray, pid: np.ndarray, pvec: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(query row, point row, distance) of the k nearest points of each query, and all that tie with them but for rounding."""
+        d = _squares(qvec, pvec)
+        if exclude_self:
+            low, high = np.searchsorted(pid, qid, "left"), np.searchsorted(pid, qid, "right")
+            for j in range((high - low).max()):
+                own = np.flatnonzero(low + j < high)
+                d[own, low[own] + j] = np.inf
+        kth = min(need, len(pid)) - 1
+        room = 8 * (pvec.shape[1] + 1) * np.finfo(float).eps * ((qvec * qvec).sum(1) + (pvec * pvec).sum(1).max())
+        bound = np.partition(d, kth, axis=1)[:, kth] + room
+        row, at = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
+        exact = np.empty(len(row))
+        step = max(1, NUMBERS // max(1, pvec.shape[1]))
+        for i in range(0, len(row), step):
+            part = slice(i, i + step)
+            exact[part] = np.sqrt(((pvec[at[part]] - qvec[row[part]]) ** 2).sum(1))
+        return row, at, exact
+
+    def best_of(row: np.ndarray, at: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The k nearest of each query; of equals those that come first among the points, which are sorted by id."""
+        order = np.lexsort((at, exact, row))
+        row, at, exact = row[order], at[order], exact[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        return row[rank < k], at[rank < k], exact[rank < k]
+
     def best(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query": [], "neighbor": [], "distance": [], "payload": []})
         if not len(points) or not len(queries):
             return empty
         points = points.sort_values("id")
         pid, pvec, extra = points["id"].to_numpy(plain), _matrix(points["vec"]), points["payload"].to_numpy()
-        out = []
-        for start in range(0, len(queries), 512):
-            part = queries.iloc[start : start + 512]
-            qid, qvec = part["qid"].to_numpy(plain), _matrix(part["qvec"])
-            d = _distances(qvec, pvec)
-            if exclude_self:
-                d[qid[:, None] == pid[None, :]] = np.inf
-            take = min(len(pid), need + 8)
-            pick = np.argpartition(d, take - 1, axis=1)[:, :take]
-            exact = np.sqrt(((pvec[pick] - qvec[:, None, :]) ** 2).sum(2))
-            exact[np.isinf(np.take_along_axis(d, pick, 1))] = np.inf
-            order = np.lexsort((pid[pick], exact), axis=1)[:, :k]
-            pick, exact = np.take_along_axis(pick, order, 1), np.take_along_axis(exact, order, 1)
-            keep = np.isfinite(exact)
-            q = np.repeat(qid, pick.shape[1]).reshape(pick.shape)
-            out.append(
-                pd.DataFrame({"query": q[keep], "neighbor": pid[pick][keep], "distance": exact[keep], "payload": extra[pick][keep]})
-            )
-        return pd.concat(out) if out else empty
+        qid, qvec = queries["qid"].to_numpy(plain), _matrix(queries["qvec"])
+        members = {c: np.flatnonzero(points["cell"].to_numpy() == c) for c in points["cell"].unique()}
+        wanted = np.concatenate(queries["cells"].to_list())
+        asks = np.repeat(np.arange(len(queries)), queries["cells"].map(len))
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for c, own in members.items():
+            rows = asks[wanted == c]
+            step = max(1, NUMBERS // len(own))
+            for i in range(0, len(rows), step):
+                r = rows[i : i + step]
+                row, at, exact = candidates_of(qid[r], qvec[r], pid[own], pvec[own])
+                found.append(best_of(r[row], own[at], exact))
+            # what a cell gives is merged at once, so that no more than the k best are kept
+            found = [best_of(*(np.concatenate(x) for x in zip(*found)))]
+        row, at, exact = found[0]
+        return pd.DataFrame({"query": qid[row], "neighbor": pid[at], "distance": exact, "payload": extra[at]})
 
     candidates = (
-        left.groupBy("cell", "block", "chunk")
-        .cogroup(right.groupBy("cell", "block", "chunk"))
+        left.groupBy("grp", "block", "chunk")
+        .cogroup(right.groupBy("grp", "block", "chunk"))
         .applyInPandas(best, f"query {kind}, neighbor {kind}, distance double, payload {payload_type}")
     )
     closest = Window.partitionBy("query").orderBy("distance", "neighbor")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,30 @@ def test_neighbors_skip_far_cells(spark):
     assert knn.nearest(df, df.where("id < 4"), "id", "v", 3, pivots=8).count() == 12
 
 
+def test_of_equal_distances_the_smallest_keys_win(spark):
+    train = [(i, [float(i >= 400), 1.0]) for i in np.random.default_rng(3).permutation(600).tolist()]
+    query = [(1000 + i, [float(i % 2), 1.0]) for i in range(6)]
+    schema = "id bigint, v array<double>"
+    found = knn.nearest(spark.createDataFrame(train, schema), spark.createDataFrame(query, schema), "id", "v", 5, pivots=1)
+    got = {}
+    for row in found.orderBy("query", "rank").collect():
+        got.setdefault(row["query"], []).append(row["neighbor"])
+    assert got == brute(train, query, 5, False)
+
+
+def test_queries_travel_once_to_a_block_in_small_messages(spark, monkeypatch):
+    """Vectors without clusters skip nothing; a task must still never hold its queries times the cells."""
+    r = np.random.default_rng(5)
+    vectors = r.normal(0, 1, (4000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id bigint, v array<double>")
+    sent, plain = {}, type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, f, *a, **b: sent.update({f.__name__: f}) or plain(self, f, *a, **b))
+    knn.nearest(df, df, "id", "v", 3, exclude_self=True)
+    batch = pd.DataFrame({"qid": np.arange(4000), "qvec": list(vectors)})
+    made = [len(m) for m in sent["carry"](iter([batch]))]
+    assert max(made) <= knn.MESSAGE and sum(made) <= 2 * len(batch)
+
+
 def test_fewer_points_than_neighbors(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id bigint, v array<double>")
     assert knn.nearest(df, df, "id", "v", 5).count() == 4
