@@ -32,8 +32,8 @@ from pyspark.storagelevel import StorageLevel
 
 # Cells of statistics that a task and the driver hold at once.
 NUMBERS = 1 << 20
-# Places (row and tree) a task follows down the trees at once.
-PLACES = 1 << 19
+# Rows a task follows down a tree at once: enough that a node has several of them.
+ROWS = 1 << 16
 # Rows of a message between a task and the JVM.
 MESSAGE = 1 << 16
 
@@ -114,17 +114,28 @@ def gain(right: np.ndarray, total: np.ndarray, classify: bool) -> np.ndarray:
 # --- rows through trees ------------------------------------------------------
 
 
+def walk(flat: np.ndarray, n: int, root: int, feature: np.ndarray, cut: np.ndarray, child: np.ndarray) -> np.ndarray:
+    """The node that each of ``n`` rows, laid out feature by feature, reaches from ``root``."""
+    at, row, node = np.empty(n, np.int64), np.arange(n), np.full(n, root)
+    while True:
+        f = feature.take(node)
+        inner = f >= 0
+        if not inner.all():
+            at[row[~inner]] = node[~inner]
+            row, node, f = row[inner], node[inner], f[inner]
+            if not len(row):
+                return at
+        f *= n
+        f += row
+        right = flat.take(f) > cut.take(node)
+        node = child.take(node)
+        node += right
+
+
 def route(x: np.ndarray, trees: int, feature: np.ndarray, cut: np.ndarray, child: np.ndarray) -> np.ndarray:
     """The node each row has reached in each tree."""
-    at = np.tile(np.arange(trees), (len(x), 1))
-    row, tree = np.nonzero(feature[at] >= 0)
-    while len(row):
-        node = at[row, tree]
-        node = child[node] + (x[row, feature[node]] > cut[node])
-        at[row, tree] = node
-        more = feature[node] >= 0
-        row, tree = row[more], tree[more]
-    return at
+    flat = x.T.ravel()
+    return np.stack([walk(flat, len(x), t, feature, cut, child) for t in range(trees)], axis=1)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -142,26 +153,45 @@ class _Level:
     """What tasks need to find the open nodes of a slice in their rows."""
 
     def __init__(self, forest: Forest, dim: int, nodes: np.ndarray) -> None:
-        self.forest = (forest.trees, forest.feature, forest.cut, forest.child)
+        self.tables = (forest.feature, forest.cut, forest.child)
         self.dim, self.open = dim, len(nodes)
         self.slot = np.full(len(forest.cut), -1)
         self.slot[nodes] = np.arange(len(nodes))
+        inner = np.flatnonzero(forest.feature >= 0)
+        root = np.arange(len(forest.cut))
+        root[forest.child[inner]] = root[forest.child[inner] + 1] = inner
+        while (root >= forest.trees).any():
+            root = root[root]
+        self.trees = np.unique(root[nodes]).tolist()
+
+    def chunks(self, batches):
+        """Rows and labels of several batches together."""
+        held, n = [], 0
+        for batch in batches:
+            held.append((_matrix(batch.column(0), self.dim), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= ROWS:
+                yield tuple(np.concatenate(a) for a in zip(*held))
+                held, n = [], 0
+        if n:
+            yield tuple(np.concatenate(a) for a in zip(*held))
 
     def runs(self, batches):
-        """``(x, label, row, slots, starts)``: places in open nodes, sorted by slot, and where each begins."""
-        step = max(1, PLACES // self.forest[0])
-        for batch in batches:
-            whole, labels = _matrix(batch.column(0), self.dim), batch.column(1).to_numpy()
-            for i in range(0, len(whole), step):
-                x = whole[i : i + step]
-                slot = self.slot[route(x, *self.forest)].ravel()
-                place = np.flatnonzero(slot >= 0)
-                if not len(place):
+        """``(flat, label, row, slots, starts)``: a tree's rows in open nodes, sorted by slot, and where each begins."""
+        for x, label in self.chunks(batches):
+            flat, n = x.T.ravel(), len(x)
+            for t in self.trees:
+                slot = self.slot.take(walk(flat, n, t, *self.tables))
+                row = np.flatnonzero(slot >= 0)
+                if not len(row):
                     continue
-                place = place[np.argsort(slot[place], kind="stable")]
-                slot, row = slot[place], place // self.forest[0]
+                slot = slot[row]
+                # a tree's slots lie together; short keys are sorted by radix
+                near = slot - slot.min()
+                order = np.argsort(near.astype(np.int16) if near.max() < 1 << 15 else near, kind="stable")
+                row, slot = row[order], slot[order]
                 starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-                yield x, labels[i : i + step], row, slot[starts], starts
+                yield flat, label, row, slot[starts], starts
 
 
 def _ranges(rows: DataFrame, level: _Level) -> tuple[np.ndarray, np.ndarray]:
@@ -170,9 +200,10 @@ def _ranges(rows: DataFrame, level: _Level) -> tuple[np.ndarray, np.ndarray]:
 
     def task(batches):
         lo, hi = np.full((level.open, wide), np.inf), np.full((level.open, wide), -np.inf)
-        for x, label, row, slots, starts in level.runs(batches):
+        for flat, label, row, slots, starts in level.runs(batches):
+            n = len(label)
             for f in range(wide):
-                v = (x[:, f] if f < level.dim else label)[row]
+                v = (flat[f * n : (f + 1) * n] if f < level.dim else label)[row]
                 lo[slots, f] = np.minimum(lo[slots, f], np.minimum.reduceat(v, starts))
                 hi[slots, f] = np.maximum(hi[slots, f], np.maximum.reduceat(v, starts))
         seen = np.flatnonzero(np.isfinite(lo[:, -1]).repeat(wide))
@@ -191,22 +222,22 @@ def _right_sides(rows: DataFrame, level: _Level, feature: np.ndarray, cut: np.nd
 
     def task(batches):
         sums = np.zeros((level.open, tried, cells), dtype=np.int64)
-        for x, label, row, slots, starts in level.runs(batches):
-            run = np.repeat(np.arange(len(slots)), np.diff(np.r_[starts, len(row)]))
-            slot = slots[run]
+        for flat, label, row, slots, starts in level.runs(batches):
+            sizes = np.diff(np.r_[starts, len(row)])
             target = label[row].astype(np.int64) if classes else scaled(label, *scale)[row]
             for k in range(tried):
-                f = feature[slot, k]
-                right = (f >= 0) & (x[row, f] > cut[slot, k])
+                f = np.repeat(feature[slots, k], sizes)
+                right = (f >= 0) & (flat[f * len(label) + row] > np.repeat(cut[slots, k], sizes))
                 if classes:
-                    part = np.bincount(run[right] * classes + target[right], minlength=len(slots) * classes)
+                    run = np.repeat(np.arange(len(slots)) * classes, sizes)
+                    part = np.bincount(run[right] + target[right], minlength=len(slots) * classes)
                     sums[slots, k] += part.reshape(-1, classes)
                 else:
                     sums[slots, k, 0] += np.add.reduceat(right.astype(np.int64), starts)
-                    sums[slots, k, 1] += np.add.reduceat(np.where(right, target, 0), starts)
-        flat = sums.ravel()
-        seen = np.flatnonzero(flat)
-        yield from _messages(seen, n=flat[seen])
+                    sums[slots, k, 1] += np.add.reduceat(target * right, starts)
+        sums = sums.ravel()
+        seen = np.flatnonzero(sums)
+        yield from _messages(seen, n=sums[seen])
 
     found = rows.mapInArrow(task, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(level.open * tried * cells, dtype=np.int64)
@@ -322,11 +353,14 @@ def predict(df: DataFrame, forest: Forest) -> DataFrame:
 
     @F.pandas_udf("double")
     def vote(column: pd.Series) -> pd.Series:
-        out, step = np.zeros(len(column)), max(1, PLACES // (trees * value.shape[1]))
-        for i in range(0, len(out), step):
-            x = np.stack(column.iloc[i : i + step].to_list())
-            mean = value[route(np.where(np.isnan(x), np.inf, x), trees, feature, cut, child)].mean(axis=1)
-            out[i : i + step] = mean.argmax(axis=1) if value.shape[1] > 1 else mean[:, 0]
+        out = np.zeros(len(column))
+        for i in range(0, len(out), ROWS):
+            x = np.stack(column.iloc[i : i + ROWS].to_list())
+            flat = np.where(np.isnan(x), np.inf, x).T.ravel()
+            total = np.zeros((len(x), value.shape[1]))
+            for t in range(trees):
+                total += value[walk(flat, len(x), t, feature, cut, child)]
+            out[i : i + ROWS] = total.argmax(axis=1) if value.shape[1] > 1 else total[:, 0] / trees
         return pd.Series(out)
 
     return df.withColumn("prediction", vote(vector_to_array("features")))

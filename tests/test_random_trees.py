@@ -1,6 +1,7 @@
 """Random-cut trees against a plain recursive grower, and what they do with odd rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import types as T
@@ -111,3 +112,16 @@ def test_large_values_split_between_them(spark):
     forest = rt.grow(frame(spark, x, [0, 1, 1]), 1, 2, trees=3)
     got = [(r["features"][0] > 0, r["prediction"]) for r in rt.predict(frame(spark, x, [0] * 3), forest).collect()]
     assert all(p == float(up) for up, p in got)
+
+
+def test_a_task_follows_many_rows_down_a_tree_at_once(spark, monkeypatch):
+    """Batches are put together, so that a node's rows are a run and not one by one."""
+    x, y = data(0, n=3000)
+    level = rt._Level(rt.Forest(4, np.full(4, -1), np.zeros(4), np.zeros(4, dtype=np.int64), None), 4, np.array([1, 3]))
+    kind = pa.list_(pa.float64())
+    parts = [(x[i : i + 100], y[i : i + 100]) for i in range(0, 3000, 100)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(a.tolist(), kind), pa.array(b)], ["x", "label"]) for a, b in parts]
+    runs = list(level.runs(iter(batches)))
+    assert [len(row) for _, _, row, _, _ in runs] == [3000, 3000] and [slots.tolist() for *_, slots, _ in runs] == [[0], [1]]
+    monkeypatch.setattr(rt, "ROWS", 1000)
+    assert [len(row) for _, _, row, _, _ in level.runs(iter(batches))] == [1000] * 6
