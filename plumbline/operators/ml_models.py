@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -50,6 +51,10 @@ CLASSIFICATION, REGRESSION = "classification", "regression"
 MAX_CLASSES = 1000
 # Rounds of reweighting between two writes of the weighted rows.
 ROUNDS_PER_CUT = 8
+# A table of fewer rows for each core than this is not dealt out anew.
+ROWS_PER_CORE = 4096
+# Rows of a partition of Fourier features at most: 64 MB of them.
+FOURIER_ROWS = 32768
 
 
 @dataclass(frozen=True)
@@ -167,6 +172,28 @@ PREDICTORS: dict[str, Callable[[Fitted, DataFrame], DataFrame]] = {
 # --- fitting -----------------------------------------------------------------
 
 
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """A model's work is far more than its rows' bytes, by which files are cut: rows go to all cores alike."""
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_PER_CORE)
+    return df.repartition(cores) if cores > df.rdd.getNumPartitions() else df
+
+
+def _bounded_parts(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """Partitions of at most about ``most`` rows."""
+    parts = math.ceil(rows / most)
+    return df.repartition(parts) if parts > df.rdd.getNumPartitions() else df
+
+
+@contextmanager
+def _kept(data: TrainingSet) -> Iterator[DataFrame]:
+    """The training rows, dealt out and cached."""
+    train = _dealt(data.train, data.info["rows"]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield train
+    finally:
+        train.unpersist()
+
+
 def _fit_single(name, task, estimator):
     return lambda train, s, info: Fitted(name, task, [estimator(s, info).fit(train)])
 
@@ -178,7 +205,7 @@ def _one_vs_rest(binary, info):
 def _fit_svm(task):
     def fit(train, s, info):
         extra = {"dim": info["dim"], "count": s.fourier_features, "gamma": 1.0 / info["dim"], "seed": s.seed}
-        mapped = _fourier(train, extra).persist(StorageLevel.MEMORY_AND_DISK)
+        mapped = _fourier(_bounded_parts(train, info["rows"], FOURIER_ROWS), extra).persist(StorageLevel.MEMORY_AND_DISK)
         if task == CLASSIFICATION:
             est = _one_vs_rest(C.LinearSVC(maxIter=100, regParam=1.0 / info["rows"]), info)
         else:
@@ -402,18 +429,17 @@ def training_set(
 
 
 def fit(data: TrainingSet, name: str, settings: ModelSettings = ModelSettings()) -> Fitted:
+    with _kept(data) as train:
+        return _fit_on(train, data, name, settings)
+
+
+def _fit_on(train: DataFrame, data: TrainingSet, name: str, settings: ModelSettings) -> Fitted:
     fitters = CLASSIFIERS if data.task == CLASSIFICATION else REGRESSORS
-    kept = data.train.storageLevel.useMemory
-    train = data.train if kept else data.train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return fitters[name](train, settings, data.info)
-    finally:
-        if not kept:
-            train.unpersist()
+    return fitters[name](train, settings, data.info)
 
 
 def evaluate(data: TrainingSet, model: Fitted) -> DataFrame:
-    scored = model.predict(data.test)
+    scored = model.predict(_dealt(data.test, data.info["rows"] // 4))
     return classification_metrics(scored) if data.task == CLASSIFICATION else regression_metrics(scored)
 
 
@@ -438,16 +464,13 @@ def leaderboard(
     names = names or list(CLASSIFIERS if data.task == CLASSIFICATION else REGRESSORS)
     spark = data.train.sparkSession
 
-    def run(name):
-        model = fit(data, name, settings)
-        return model, evaluate(data, model).first().asDict()
+    with _kept(data) as train, ThreadPoolExecutor(parallelism) as pool:
 
-    data.train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            found = list(pool.map(inheritable_thread_target(spark)(run), names))
-    finally:
-        data.train.unpersist()
+        def run(name):
+            model = _fit_on(train, data, name, settings)
+            return model, evaluate(data, model).first().asDict()
+
+        found = list(pool.map(inheritable_thread_target(spark)(run), names))
     rows = [(i, n, n in APPROXIMATE, *m.values()) for i, (n, (_, m)) in enumerate(zip(names, found))]
     metrics = list(found[0][1])
     schema = "position int, model string, approximate boolean, " + ", ".join(f"{k} double" for k in metrics)

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from plumbline.operators import knn, ml_metrics, ml_models, ml_prepare
@@ -233,3 +234,22 @@ def test_rows_with_gaps_or_new_categories_are_rejected(spark, sets):
     assert [r["id"] for r in ml_models.score(new, data, model).collect()] == [1]
     unseen = ml_models.unseen_inputs(new, data.prep).where("value = 'violet'").first()
     assert unseen["allowed"] == "blue, green, red" and unseen["n"] == 1
+
+
+def test_rows_are_dealt_to_all_cores_whatever_their_files(spark, monkeypatch):
+    """A million rows of few numbers are one small file, which one task would read and learn from."""
+    df = spark.range(20000).selectExpr("id", "CAST(id % 97 AS DOUBLE) AS x", "CAST(id % 89 AS DOUBLE) AS y")
+    data = ml_models.training_set(df.coalesce(1), "y", ["x"], "id", ml_models.REGRESSION)
+    assert data.train.rdd.getNumPartitions() == 1
+    seen = {}
+
+    def fitter(train, settings, info):
+        seen["train"] = train.rdd.getNumPartitions()
+        mapped = ml_models._bounded_parts(train, info["rows"], 2000)
+        seen["mapped"] = max(mapped.rdd.glom().map(len).collect())
+        return ml_models._fit_single("linear", ml_models.REGRESSION, lambda s, i: LinearRegression())(train, settings, info)
+
+    monkeypatch.setitem(ml_models.REGRESSORS, "linear_regression", fitter)
+    ml_models.fit_and_evaluate(data, "linear_regression").collect()
+    board, _ = ml_models.leaderboard(data, names=["linear_regression"])
+    assert board.count() == 1 and seen["train"] == 16000 // ml_models.ROWS_PER_CORE and seen["mapped"] <= 2100
