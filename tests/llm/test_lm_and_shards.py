@@ -184,6 +184,18 @@ def test_the_fit_reads_a_share_of_windows_that_grows(spark):
     assert read[1] > 2 * read[0] > 0
 
 
+def test_the_model_is_fitted_on_every_window_of_all_training_documents(spark, monkeypatch):
+    rows = corpus(200)
+    docs = spark.createDataFrame([(i, t, i % 10 == 0) for i, t in rows], "doc_id long, text string, held_out boolean")
+    speller = lm_scoring.Speller(SUBWORDS)
+    sizes = [len(lm_scoring.spelled(lm_scoring.words_of(t.encode()), speller)[0]) for i, t in rows if i % 10]
+    windows = sum(math.ceil(n / lm_scoring.STRIDE) for n in sizes)
+    read, plain = [], lm_scoring.fit_share
+    monkeypatch.setattr(lm_scoring, "fit_share", lambda *a, **b: read.append(plain(*a, **b)))
+    lm_scoring.score_texts(docs, F.col("held_out"), SUBWORDS)
+    assert read == [windows] and windows > 180
+
+
 def test_gradients_match_differences():
     model = tiny_model()
     rng = np.random.default_rng(3)
