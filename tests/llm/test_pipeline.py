@@ -16,9 +16,9 @@ from plumbline.llm.queries import CATALOG
 RANKS = public_tokenizers.path(corpus_pipeline.RANKS)
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_all_numbered_queries_and_the_pipeline_are_registered():
     names = [n for n in queries() if n.startswith("op")]
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11)) and len(names) == 10
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14)) and len(names) == 13
     assert set(CATALOG) == set(names) and "pipeline" in queries()
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and 4 <= len(corpus_pipeline.STAGES) <= 5
 
@@ -30,10 +30,13 @@ def test_queries_match_sql(spark, con, sf_dir, key):
 
 @pytest.mark.parametrize("key", [k for k, q in CATALOG.items() if not q.oracle])
 def test_queries_return_every_row(spark, sf_dir, key):
-    table, key_of = ("pages", "page_id") if key.startswith("op3") else ("documents", "doc_id")
+    tables = {"op3": ("pages", "page_id"), "op11": ("embeddings", "vec_id"), "op12": ("conversations", "conv_id")}
+    table, key_of = tables.get(key.split("_")[0], ("documents", "doc_id"))
     want = {r[0] for r in duckdb.sql(f"SELECT {key_of} FROM '{sf_dir}/{table}.parquet'").fetchall()}
+    want |= {-1} if key.startswith("op12") else set()
+    each = 8 if key.startswith("op11") else 1  # components of a vector
     rows = queries()[key](spark, sf_dir).collect()
-    assert len(rows) == len(want) and {r[key_of] for r in rows} == want
+    assert len(rows) == each * len(want) and {r[key_of] for r in rows} == want
 
 
 @pytest.fixture(scope="module")
