@@ -64,6 +64,14 @@ def test_merge_takes_the_leftmost_least_pair(piece):
 test_merge_takes_the_leftmost_least_pair.ranks = byte_bpe.ranks_of(RANKS)
 
 
+@given(st.integers(-2, 2), st.sampled_from([1, 2, byte_bpe.FAN, byte_bpe.FAN + 5, byte_bpe.FAN**2]), st.randoms(use_true_random=False))
+@settings(max_examples=60, deadline=None)
+def test_merge_where_the_nodes_of_the_tree_end(library, more, fans, rng):
+    ranks = test_merge_takes_the_leftmost_least_pair.ranks
+    piece = "".join(rng.choice("aab e日") for _ in range(max(1, byte_bpe.FAN * fans + more) if fans < 3 else fans + more))
+    assert list(byte_bpe.merge(piece.encode(), ranks, max(map(len, ranks)))) == library._core_bpe.encode_single_piece(piece.encode())
+
+
 @given(st.integers(1, 31), st.lists(st.integers(0, (1 << 31) - 1), max_size=80), st.data())
 @settings(max_examples=80, deadline=None)
 def test_packing_round_trips_from_any_place(width, values, data):
