@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +197,25 @@ def test_the_model_is_fitted_on_every_window_of_all_training_documents(spark, mo
     assert read == [windows] and windows > 180
 
 
+def test_windows_leave_a_task_in_small_batches(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "WINDOWS_AT_ONCE", 16)
+    texts, seeds = [t.encode() for _, t in corpus(150)] + [b"", b"x y " * 400], [(k * 0x9E3779B9) ** 2 % 2**64 - 2**63 for k in range(152)]
+    made = list(lm_scoring._training_windows(SUBWORDS)([pa.record_batch([pa.array(texts, pa.binary()), pa.array(seeds, pa.int64())], ["text", "seed"])]))
+    assert max(b.num_rows for b in made) <= 16
+    speller, want, n = lm_scoring.Speller(SUBWORDS), [], lm_scoring.CONTEXT + lm_scoring.STRIDE
+    for text, seed in zip(texts, seeds, strict=True):
+        ids = lm_scoring.spelled(lm_scoring.words_of(text), speller)[0].tolist()
+        for k, first in enumerate(range(0, len(ids), lm_scoring.STRIDE)):
+            at = range(first - lm_scoring.CONTEXT - 1, first + lm_scoring.STRIDE)
+            there = [0 <= i < len(ids) for i in at]
+            row = [ids[i] if ok else lm_scoring.END for i, ok in zip(at, there, strict=True)]
+            want.append(((seed + 0x9E3779B97F4A7C15 * (k + 1)) % 2**63, row, there[1:]))
+    windows, valid = lm_scoring._windows_of([r for b in made for r in b["row"].to_pylist()])
+    assert windows.shape[1] == n + 1
+    places = [p for b in made for p in b["place"].to_pylist()]
+    assert [*zip(places, windows.tolist(), valid.tolist(), strict=True)] == want
+
+
 def test_gradients_match_differences():
     model = tiny_model()
     rng = np.random.default_rng(3)
