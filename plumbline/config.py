@@ -62,6 +62,9 @@ DATE_FORMATS = (
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
 )
 
+# How every text begins that fits one of these shapes.
+DATE_START = r"^([0-9]{1,2}[-/ ]|[0-9]{4}[-/]|[A-Za-z]{3} )"
+
 # The shortest and longest text that fits one of these shapes.
 MIN_DATE_LENGTH, MAX_DATE_LENGTH = 8, 35
 

@@ -9,8 +9,11 @@ keeps becomes a decimal, and beyond 38 digits it stays text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.config import DATE_START, NUMBER_PATTERN
 from plumbline.functions.exprs import strip, to_number, to_time
 from plumbline.functions.schema import TEXT, col, columns_of, replace_columns
 
@@ -22,24 +25,43 @@ CHUNK = 20
 _WHOLE = r"^[+-]?[0-9]+$"
 
 
-def _digits(c: Column) -> Column:
+def _digits(text: Column) -> Column:
     """How many significant digits a number has before its exponent."""
-    mantissa = F.regexp_replace(strip(c), "[eE].*$", "")
+    mantissa = F.regexp_replace(text, "[eE].*$", "")
     return F.length(F.ltrim(F.regexp_replace(mantissa, "[^0-9]", ""), F.lit("0")))
 
 
-def _measures(c: Column) -> dict[str, Column]:
-    text = strip(c)
-    number = to_number(c)
-    whole = text.rlike(_WHOLE)
-    digits = F.when(number.isNotNull(), _digits(c))
-    before, after = F.length(F.regexp_extract(text, r"^[+-]?0*([0-9]*)", 1)), F.length(F.regexp_extract(text, r"\.([0-9]*)", 1))
+def _facts(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` and, of each value of the columns ``names``, what several measures use, found once."""
+    fact = lambda k, i: F.col(f"__{k}{i}")
+
+    def beside(df: DataFrame, k: str, of: Callable[[int], Column]) -> DataFrame:
+        return df.withColumns({f"__{k}{i}": of(i) for i in range(len(names))})
+
+    def sized(i: int, whole: Column, other: Column) -> Column:
+        return F.when(fact("number", i).isNotNull(), F.when(fact("whole", i), whole).otherwise(other))
+
+    # a whole number has no more than a sign and zeros before its digits
+    plain = lambda i: F.length(F.ltrim(fact("text", i), F.lit("+-0")))
+    df = beside(df, "text", lambda i: strip(col(names[i])))
+    df = beside(df, "number", lambda i: F.when(fact("text", i).rlike(NUMBER_PATTERN), fact("text", i).try_cast("double")))
+    df = beside(df, "whole", lambda i: fact("text", i).rlike(_WHOLE))
+    df = beside(df, "digits", lambda i: sized(i, plain(i), _digits(fact("text", i))))
+    df = beside(df, "before", lambda i: sized(i, plain(i), F.length(F.regexp_extract(fact("text", i), r"^[+-]?0*([0-9]*)", 1))))
+    df = beside(df, "after", lambda i: sized(i, F.lit(0), F.length(F.regexp_extract(fact("text", i), r"\.([0-9]*)", 1))))
+    return beside(
+        df, "exact", lambda i: F.when(fact("whole", i) & (fact("digits", i) <= DECIMAL_DIGITS), fact("text", i).try_cast("decimal(38,0)"))
+    )
+
+
+def _measures(i: int) -> dict[str, Column]:
+    """Over the facts of the column numbered ``i``."""
+    text, number, whole, digits, before, after, exact = (F.col(f"__{k}{i}") for k in ("text", "number", "whole", "digits", "before", "after", "exact"))
     # A double of 16 or 17 digits is kept where writing it out gives the same number.
     same = number.cast("string").try_cast("decimal(38,18)") == text.try_cast("decimal(38,18)")
     kept = (digits <= SURE_DIGITS) | ((digits <= MOST_DIGITS) & (after <= 18) & F.coalesce(same, F.lit(False)))
-    exact = F.when(whole & (digits <= DECIMAL_DIGITS), text.try_cast("decimal(38,0)"))
     return {
-        "present": F.count(c),
+        "present": F.count(text),
         "whole": F.count_if(whole),
         "exact": F.count(exact),
         "least": F.min(exact),
@@ -48,10 +70,11 @@ def _measures(c: Column) -> dict[str, Column]:
         "number": F.count(number),
         "changed": F.count_if(number.isNotNull() & ~kept),
         "powers": F.count_if(number.isNotNull() & text.rlike("[eE]")),
-        "before": F.max(F.when(number.isNotNull(), before)),
-        "after": F.max(F.when(number.isNotNull(), after)),
-        "flag": F.count_if(F.lower(text).isin("true", "false")),
-        "time": F.count(to_time(c)),
+        "before": F.max(before),
+        "after": F.max(after),
+        # the length tells most values apart, and costs less than lower case or ten shapes
+        "flag": F.count_if(F.length(text).between(4, 5) & F.lower(text).isin("true", "false")),
+        "time": F.count(F.when(text.rlike(DATE_START), to_time(text))),
     }
 
 
@@ -87,14 +110,15 @@ def types_by_content(df: DataFrame, keep_zeros: bool = True, also: dict[str, Col
     names, types, extra = columns_of(df, TEXT), {}, {}
     for at in range(0, max(1, len(names)), CHUNK):
         part = names[at : at + CHUNK]
-        wanted = [m.alias(f"{k}{i}") for i, c in enumerate(part) for k, m in _measures(col(c)).items()]
+        measures = [_measures(i) for i in range(len(part))]
+        wanted = [m.alias(f"{k}{i}") for i, ms in enumerate(measures) for k, m in ms.items()]
         others = {} if at else also or {}
         if not wanted and not others:
             break
-        row = df.agg(*wanted, *[e.alias(f"also_{k}") for k, e in others.items()]).first()
+        row = _facts(df, part).agg(*wanted, *[e.alias(f"also_{k}") for k, e in others.items()]).first()
         extra |= {k: row[f"also_{k}"] for k in others}
         for i, c in enumerate(part):
-            found = join_of({k: row[f"{k}{i}"] for k in _measures(F.lit(None).cast("string"))}, keep_zeros)
+            found = join_of({k: row[f"{k}{i}"] for k in measures[i]}, keep_zeros)
             if found:
                 types[c] = found
     return types, extra

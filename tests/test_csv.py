@@ -3,14 +3,16 @@
 import csv
 import io as memory
 import random
+import re
 import warnings
 from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from plumbline.config import DATE_FORMATS, DATE_START
 from plumbline.sources import io, quoted
-from plumbline.sources.lattice import types_by_content
+from plumbline.sources.lattice import _facts, _measures, types_by_content
 
 PIECES = ["a", 'say "hi"', "two\nlines", "x,y", "\r\nz", "\n\n", '"', '""', "", "é", "\t"]
 
@@ -178,6 +180,21 @@ def test_types_keep_every_value(spark):
     assert types_by_content(spark.createDataFrame([("007",), ("7",)], "a string"), keep_zeros=False)[0] == {"a": "int"}
 
 
+def test_each_value_is_read_as_a_number_once(spark):
+    df = spark.createDataFrame([("12",), (" +0.50 ",), (None,)], "a string")
+    facts = _facts(df, ["a"])
+    assert [tuple(r)[1:] for r in facts.collect()] == [("12", 12.0, True, 2, 2, 0, Decimal(12)), ("+0.50", 0.5, False, 2, 0, 2, None), (None,) * 7]
+    plan = facts.agg(*[m.alias(k) for k, m in _measures(0).items()])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("as double") == 1
+
+
+def test_times_begin_as_their_shapes_do():
+    for text in ("2024-01-05", "2024/1/5", "2024-01-05 10:00:00", "2024-01-05T10:00:00", "2024-01-05 10:00", "2024-01-05T10:00:00.5+01:00", "1/5/2024",
+                 "12/31/2024", "5-1-2024", "31-12-2024", "5 Jan 2024", "31 Dec 2024", "Jan 5, 2024"):
+        assert any(re.match(shape, text) for shape, _ in DATE_FORMATS) and re.match(DATE_START, text)
+    assert all(any(re.match(shape, t) for t in ("2024-01-05", "2024/1/5", "2024-01-05 10:00:00", "2024-01-05T10:00:00", "2024-01-05 10:00", "1/5/2024", "5-1-2024", "5 Jan 2024", "Jan 5, 2024")) for shape, _ in DATE_FORMATS)
+
+
 def test_parts_join_to_the_same_type_in_any_partitioning(spark):
     values = ["1", "2147483648", "12345678901234567890", "0.5", None]
     for n in (1, 5):
