@@ -211,6 +211,9 @@ def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.
 def _cut_hashes(hashed: DataFrame, share: float, digits: int = 4) -> DataFrame:
     """``(__class, __cut)``: the hash of the last test row of each class."""
     sizes = hashed.groupBy("__class").agg(F.count(F.lit(1)).alias("n"))
+    # A collected table is of unknown size to the planner, which would shuffle all rows by class to meet it.
+    sent = lambda state, small: F.broadcast(state) if small else state
+    small = False
     state = sizes.select("__class", F.ceil(F.col("n") * share).alias("__need"), F.lit("").alias("__prefix"))
     rows = hashed
     # Each round fixes four more hex digits of the cut: 65,536 counters per class.
@@ -220,7 +223,7 @@ def _cut_hashes(hashed: DataFrame, share: float, digits: int = 4) -> DataFrame:
         upto = Window.partitionBy("__class").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
         state = (
             counts.withColumn("__upto", F.sum("n").over(upto))
-            .join(state, "__class")
+            .join(sent(state, small), "__class")
             .where((F.col("__upto") >= F.col("__need")) & (F.col("__upto") - F.col("n") < F.col("__need")))
             .select(
                 "__class",
@@ -228,16 +231,15 @@ def _cut_hashes(hashed: DataFrame, share: float, digits: int = 4) -> DataFrame:
                 F.concat("__prefix", "__p").alias("__prefix"),
             )
         )
-        state, _ = bounded(state)
+        state, small = bounded(state)
         done = F.substring("__hash", 1, start + digits - 1)
-        rows = hashed.join(state.select("__class", F.col("__prefix").alias("__fixed")), "__class").where(
-            done == F.col("__fixed")
-        )
+        fixed = state.select("__class", F.col("__prefix").alias("__fixed"))
+        rows = hashed.join(sent(fixed, small), "__class").where(done == F.col("__fixed"))
     # What is left shares eight hex digits: one row in four billion.
     order = Window.partitionBy("__class").orderBy("__hash")
     return (
         rows.withColumn("__rank", F.row_number().over(order))
-        .join(state, "__class")
+        .join(sent(state, small), "__class")
         .where("__rank = __need")
         .select("__class", F.col("__hash").alias("__cut"))
     )

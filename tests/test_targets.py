@@ -1,9 +1,11 @@
 """Training on the targets and keys that people have."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.functions.schema import col
 from plumbline.operators import knn, ml_models, ml_prepare
+from plumbline.operators.ml_prepare import _cut_hashes, split_hash
 from plumbline.plans.registry import CATALOG
 
 
@@ -66,3 +68,18 @@ def test_a_classification_asked_for_is_never_switched(spark):
     with pytest.raises(ValueError, match="1001 classes"):
         ml_models.training_set(wide, "t", ["x"], "k", ml_models.CLASSIFICATION)
     assert ml_models.training_set(wide, "t", ["x"], "k").task == ml_models.REGRESSION
+
+
+def test_a_split_does_not_shuffle_its_rows_to_meet_the_cut(spark):
+    """All rows of a regression are one class, so a shuffle by class would send them all to one task."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")  # tables beyond it, whatever their size
+    try:
+        hashed = spark.range(5000).select(F.lit("all").alias("__class"), split_hash("id", 42).alias("__hash"))
+        cuts = _cut_hashes(hashed, 0.2)
+        assert "SortMergeJoin" not in cuts._jdf.queryExecution().executedPlan().toString()
+        want = sorted(r["__hash"] for r in hashed.collect())[999]
+        assert [tuple(r) for r in cuts.collect()] == [("all", want)]
+    finally:
+        spark.conf.set(threshold, kept)
