@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import WordHashes, fresh, gram_hashes, mixed, utf8
@@ -174,44 +174,46 @@ def _similarities(k: int, idf):
     return similarities
 
 
-_PREFIX = "token long, uid long, label long, stray boolean, weight double, rest double, small boolean"
+_TOKENS = "uid long, label long, stray boolean, token long, w double"
 
 
-def _prefixes(k: int, idf, similarity: float):
-    """Rare shingles of each text that a text as similar must share one of.
-
-    In one order of all shingles, rare first, the first one that two texts share
-    leaves both at least the overlap they need.  ``rest`` is the weight from a
-    shingle on, ``small`` tells that it suffices for a partner no lighter.
-    """
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokens(k: int, idf):
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each distinct shingle of each text, with its weight there."""
         words, weights = WordHashes(), idf.value
         for whole in batches:
-            for first in range(0, whole.num_rows, 256):
-                batch = whole.slice(first, 256)
-                tokens, rests, totals, counts = [], [], [], []
+            for first in range(0, whole.num_rows, 64):
+                batch = whole.slice(first, 64)
+                found = []
                 for raw in batch["body"].to_pylist():
                     split = raw.split()
-                    grams, tf = shingles(words.of(split, len(split)), k)
-                    order = np.lexsort((grams, -weigh(grams, np.ones(len(grams)), weights)))
-                    grams, w = grams[order], weigh(grams, tf, weights)[order]
-                    rest = np.cumsum(w[::-1])[::-1]
-                    total = float(w.sum())
-                    n = int((rest >= similarity * total * (1 - SLACK)).sum())
-                    tokens.append(grams[:n])
-                    rests.append(rest[:n])
-                    totals.append(total)
-                    counts.append(n)
-                weight, rest = np.repeat(totals, counts), np.concatenate(rests)
-                small = rest >= 2 * similarity / (1 + similarity) * weight * (1 - SLACK)
-                uid, label, stray = (np.repeat(batch[c].to_numpy(zero_copy_only=False), counts) for c in ("uid", "label", "stray"))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), *map(pa.array, (uid, label, stray, weight, rest, small))],
-                    ["token", "uid", "label", "stray", "weight", "rest", "small"],
-                )
+                    found.append(shingles(words.of(split, len(split)), k))
+                counts = [len(g) for g, _ in found]
+                grams, tf = (np.concatenate(c) for c in zip(*found, strict=True))
+                own = [pa.array(np.repeat(batch[c].to_numpy(zero_copy_only=False), counts)) for c in ("uid", "label", "stray")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(grams.view(np.int64)), pa.array(weigh(grams, tf, weights))], ["uid", "label", "stray", "token", "w"])
+
+    return tokens
+
 
-    return prefixes
+def _prefixes(tokens: DataFrame, similarity: float) -> DataFrame:
+    """Rare shingles of each text that a text as similar, of another class, must share one of.
+
+    Only shingles that texts of two classes have, a stray among them, can be shared.
+    In one order of these, by the exact number of texts they are in, the first one that
+    two texts share leaves both at least the overlap they need.  ``rest`` is the weight
+    from a shingle on, ``small`` tells that it suffices for a partner no lighter, and
+    ``before`` is the text's shingle before it in that order, null for the first.
+    """
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.max("stray").alias("any"))
+    shared = tokens.select("uid", "token", "w").hint("merge").join(counts.where("least < most and any").select("token", "n"), "token")
+    last_first = Window.partitionBy("uid").orderBy(F.desc("n"), F.desc("token"))
+    rest = F.sum("w").over(last_first.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ordered = shared.select("uid", "token", rest.alias("rest"), F.lead("token").over(last_first).alias("before"))
+    texts = tokens.groupBy("uid").agg(F.first("label").alias("label"), F.first("stray").alias("stray"), F.sum("w").alias("weight"))
+    enough = lambda share: F.col("rest") >= share * (1 - SLACK) * F.col("weight")
+    prefixes = ordered.hint("merge").join(texts, "uid").where(enough(similarity))
+    return prefixes.withColumn("small", enough(2 * similarity / (1 + similarity)))
 
 
 def _compared(pairs: DataFrame, bodies: DataFrame, k: int, idf) -> DataFrame:
@@ -294,12 +296,15 @@ def links_of_classes(buckets: DataFrame, labels: DataFrame, bodies: DataFrame, d
     unsettled = placed.where("stray").select("set").distinct()
     members = placed.join(unsettled, "set", "left_semi").groupBy("uid").agg(F.max("label").alias("label"), F.max("stray").alias("stray"))
     texts = members.hint("merge").join(bodies, "uid").select("uid", "label", "stray", "body")
-    prefixes = materialize(texts.mapInArrow(_prefixes(k, idf, similarity), _PREFIX), "prefixes")
+    tokens = materialize(texts.mapInArrow(_tokens(k, idf), _TOKENS), "tokens")
+    prefixes = materialize(_prefixes(tokens, similarity), "prefixes")
+    release(tokens)
 
     least = similarity * (1 - SLACK)
     needed = similarity / (1 + similarity) * (1 - SLACK) * (F.col("a.weight") + F.col("b.weight"))
     ordered = F.struct("a.weight", "a.uid") < F.struct("b.weight", "b.uid")
     near = (F.col("a.label") != F.col("b.label")) & ordered & (F.col("a.weight") >= least * F.col("b.weight")) & (F.least("a.rest", "b.rest") >= needed)
+    near &= F.coalesce(F.col("a.before") != F.col("b.before"), F.lit(True))  # of shared shingles in a row, the first will do
 
     def met(small: DataFrame, large: DataFrame) -> DataFrame:
         both = small.where("small").alias("a").hint("merge").join(large.alias("b"), (F.col("a.token") == F.col("b.token")) & near)

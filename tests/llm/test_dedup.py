@@ -229,6 +229,56 @@ def test_families_on_one_template_are_found(saved):
     assert classes == {i: i - i % 2 for i in texts}
 
 
+def test_texts_on_one_template_do_not_all_meet(saved, monkeypatch):
+    """Frequent shingles, which a few counters cannot tell from rare ones, bring no pairs together."""
+    rng = random.Random(21)
+    template = [f"t{k}" for k in range(240)]
+    pairs = []
+    for f in range(60):
+        words = template + [f"f{f}w{k}" for k in range(42)]
+        pairs += [(2 * f, " ".join(words)), (2 * f + 1, " ".join([*words[:260], f"x{rng.random()}", *words[261:]]))]
+    met, compared, joined = [], near_dedup._compared, near_dedup.links_of_classes
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return compared(pairs, *rest)
+
+    def between(*settings):
+        del met[:]
+        return joined(*settings)
+
+    monkeypatch.setattr(near_dedup, "COUNTERS", 16)
+    monkeypatch.setattr(near_dedup, "_compared", counted)
+    monkeypatch.setattr(near_dedup, "links_of_classes", between)
+    classes = {r.doc_id: r.class_id for r in near_dedup.near_classes(saved(pairs)).collect()}
+    assert classes == {i: i - i % 2 for i in classes} and len(classes) == 120
+    assert len(met) == 1 and met[0] <= 120  # of 7,140
+
+
+def test_links_between_classes_match_all_pairs(spark):
+    """Chains of edited texts in one bucket, each text its own class: the links are those of brute force."""
+    rng, words, rows = random.Random(8), WordHashes(), []
+    for chain in range(6):
+        text = [f"c{chain if chain % 2 else 'x'}w{rng.randrange(300)}" for _ in range(120)]
+        for _ in range(12):
+            rows.append(" ".join(text).encode())
+            for _ in range(rng.choice([0, 1, 2, 5])):
+                text[rng.randrange(len(text))] = f"n{rng.random()}"
+    rows.append(b"few words")
+    weights, vectors = np.random.default_rng(2).uniform(0.75, 1, 64), []
+    for text in rows:
+        grams, tf = near_dedup.shingles(words.of(text.split(), len(text.split())), 5)
+        vectors.append((grams, near_dedup.weigh(grams, tf, weights)))
+    n = len(rows)
+    want = {(i, j) for i in range(n) for j in range(i) if near_dedup.weighted_jaccard(vectors[i], vectors[j]) >= 0.8}
+    assert 60 < len(want) < n * n / 4
+    bodies = spark.createDataFrame([*enumerate(rows)], "uid long, body binary")
+    buckets = spark.createDataFrame([([7], i, leader) for i in range(n) for leader in (0, n - 1)], "set array<long>, uid long, leader long")
+    labels, done = (spark.createDataFrame([], schema) for schema in ("uid long, label long", "uid long, leader long"))
+    found = near_dedup.links_of_classes(buckets, labels, bodies, done, 0.8, 5, spark.sparkContext.broadcast(weights)).collect()
+    assert {(max(r), min(r)) for r in found} == want
+
+
 def test_samples_agree_as_often_as_the_weighted_similarity():
     rng = np.random.default_rng(1)
     a = np.sort(rng.integers(0, 1 << 62, 300).astype(np.uint64))
