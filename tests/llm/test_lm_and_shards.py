@@ -240,6 +240,24 @@ def test_gradients_match_differences():
         assert (up - down) / 2e-2 == pytest.approx(float(g[at]), rel=0.03, abs=1e-4), k
 
 
+def test_steps_use_their_memory_again():
+    """Steps of any size after one another are those of new models, and ask for little memory."""
+    import tracemalloc
+
+    model, rng = tiny_model(), np.random.default_rng(6)
+    n = lm_scoring.CONTEXT + lm_scoring.STRIDE
+    for size in (lm_scoring.BATCH, 5, 200, lm_scoring.BATCH):
+        windows, valid = rng.integers(0, lm_scoring.SUBWORDS, (size, n + 1)).astype(np.int32), np.ones((size, n), bool)
+        valid[::3, :4] = False
+        tracemalloc.start()
+        found = model.gradients(windows, valid)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        fresh = lm_scoring.Attention(model.class_prior, model.id_prior, model.weights).gradients(windows, valid)
+        assert all((found[k] == fresh[k]).all() for k in fresh)
+    assert most < 12 << 20
+
+
 def test_scores_without_training_rows_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     out = lm_scoring.score_texts(docs, F.lit(True), SUBWORDS).collect()
