@@ -258,6 +258,36 @@ def test_steps_use_their_memory_again():
     assert most < 12 << 20
 
 
+def test_steps_take_no_log_probabilities(monkeypatch):
+    """A step needs the softmaxes of the targets' log probabilities alone, and these are the same without them."""
+    model, rng = tiny_model(), np.random.default_rng(7)
+    n = 50
+    z = np.tanh(rng.normal(size=(n, lm_scoring.WIDTH))).astype(np.float32)
+    last, target = rng.integers(0, lm_scoring.SUBWORDS, (2, n))
+    whole, bare = (model.outputs(z, last, target, loss=loss) for loss in (True, False))
+    assert bare[0] is None and all((a == b).all() for a, b in zip(whole[1:], bare[1:], strict=True))
+    windows = rng.integers(0, lm_scoring.SUBWORDS, (9, lm_scoring.CONTEXT + lm_scoring.STRIDE + 1)).astype(np.int32)
+    valid = np.ones((9, windows.shape[1] - 1), bool)
+    valid[2, :4] = valid[5, 20:] = False
+    want = model.gradients(windows, valid)
+    monkeypatch.setattr(np, "log", None)
+    assert all((want[k] == g).all() for k, g in model.gradients(windows, valid).items())
+
+
+def test_windows_that_lack_positions_do_not_touch_others():
+    model, rng = tiny_model(), np.random.default_rng(8)
+    before = rng.integers(0, lm_scoring.SUBWORDS, (6, lm_scoring.CONTEXT + lm_scoring.STRIDE)).astype(np.int32)
+    valid = np.ones(before.shape, bool)
+    valid[0, : lm_scoring.CONTEXT] = valid[3, 30:] = valid[5, 9:] = False
+    for states in (lambda b, v: model.forward(b, v)["z"], model.states):
+        together = states(before, valid)
+        for k in range(len(before)):
+            assert np.allclose(together[k], states(before[k : k + 1], valid[k : k + 1])[0], atol=1e-6)
+        other = np.where(valid, before, (before + 1) % lm_scoring.SUBWORDS)  # what does not exist is not read
+        there = valid[:, lm_scoring.CONTEXT :]
+        assert np.allclose(together[there], states(other, valid)[there], atol=1e-6)
+
+
 def test_scores_without_training_rows_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     out = lm_scoring.score_texts(docs, F.lit(True), SUBWORDS).collect()
