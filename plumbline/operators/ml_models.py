@@ -3,7 +3,8 @@
 Preparation is fitted on training rows only.  Four models have no twin in Spark ML;
 two of them are approximations, marked so in the leaderboard:
 
-* extra trees are grown with random cuts (``operators.random_trees``);
+* extra trees are grown with random cuts (``operators.random_trees``), and so are
+  regression forests over many rows, by Spark's own method (``operators.bagged_trees``);
 * AdaBoost: SAMME (classification) and R2 (regression) over weighted trees;
 * RBF support vector machines: random Fourier features and a linear model;
 * nearest neighbours are exact (``operators.knn``).
@@ -31,7 +32,7 @@ from pyspark.util import inheritable_thread_target
 
 from plumbline.functions.exprs import currency_to_number
 from plumbline.functions.schema import TEXT, col, family, nan_to_null
-from plumbline.operators import knn, random_trees
+from plumbline.operators import bagged_trees, knn, random_trees
 from plumbline.operators.ml_metrics import classification_metrics, regression_metrics
 from plumbline.operators.ml_prepare import (
     Preparation,
@@ -55,6 +56,8 @@ ROUNDS_PER_CUT = 8
 ROWS_PER_CORE = 4096
 # Rows of a partition of Fourier features at most: 64 MB of them.
 FOURIER_ROWS = 32768
+# Training rows up to which Spark's own regression forest is grown; beyond them its work for each row and tree is what counts.
+FOREST_ROWS = 65536
 
 
 @dataclass(frozen=True)
@@ -161,6 +164,7 @@ def _extra_trees(model: Fitted, df: DataFrame) -> DataFrame:
 
 PREDICTORS: dict[str, Callable[[Fitted, DataFrame], DataFrame]] = {
     "extra_trees": _extra_trees,
+    "bagged_trees": _extra_trees,
     "single": _single,
     "svm": _svm,
     "ada_classify": _ada_classify,
@@ -305,6 +309,15 @@ def _fit_extra_trees(task):
     return fit
 
 
+def _fit_forest_regress(train, s, info):
+    """Spark's own forest where rows are few, else the same method on blocks of rows."""
+    if info["rows"] <= FOREST_ROWS:
+        own = R.RandomForestRegressor(numTrees=s.trees, maxDepth=s.depth, seed=s.seed, featureSubsetStrategy="all")
+        return Fitted("random_forest", REGRESSION, [own.fit(train)])
+    forest = bagged_trees.grow(train, info["dim"], s.trees, s.depth, s.seed)
+    return Fitted("bagged_trees", REGRESSION, extra={"forest": forest, "trees": s.trees})
+
+
 CLASSIFIERS: dict[str, Callable] = {
     "random_forest": _fit_single(
         "random_forest",
@@ -333,13 +346,7 @@ CLASSIFIERS: dict[str, Callable] = {
 }
 
 REGRESSORS: dict[str, Callable] = {
-    "random_forest": _fit_single(
-        "random_forest",
-        REGRESSION,
-        lambda s, i: R.RandomForestRegressor(
-            numTrees=s.trees, maxDepth=s.depth, seed=s.seed, featureSubsetStrategy="all"
-        ),
-    ),
+    "random_forest": _fit_forest_regress,
     "extra_trees": _fit_extra_trees(REGRESSION),
     "gradient_boosting": _fit_single(
         "gradient_boosting",
@@ -570,7 +577,7 @@ def load_model(spark: SparkSession, path: str) -> tuple[Fitted, TrainingSet]:
     extra = dict(meta["extra"])
     if meta["name"] == "knn":
         extra["train"] = spark.read.parquet(f"{path}/train")
-    if meta["name"] == "extra_trees":
+    if "trees" in extra:
         extra["forest"] = random_trees.Forest.of(spark.read.parquet(f"{path}/forest"), extra["trees"])
     model = Fitted(meta["name"], meta["task"], stages, meta["weights"], extra)
     empty = spark.createDataFrame([], T.StructType())
