@@ -1,9 +1,11 @@
 """Exact k nearest neighbours by pruned blocks.
 
 Training points are grouped around pivots.  Each cell is summarised by its size,
-its radius and its few smallest pivot distances; from these summaries alone every
-query bounds the distance of its k-th neighbour, and by the triangle inequality
-skips each cell that cannot hold a nearer point.  Cells that lie near each other
+its radius and its few smallest pivot distances.  A query first meets the points of
+the cell whose pivot is nearest; the k-th of them bounds its k-th neighbour (where
+there are fewer, the summaries do).  It then skips each cell that cannot hold a
+nearer point, by the triangle inequality, and because a point is nearer to its own
+pivot than to the query's.  Cells that lie near each other
 share a block, a crowded cell is cut into several, and queries are cut into chunks:
 a query travels once to each block that holds a cell it needs, with the list of
 those cells, so what is shuffled grows with blocks and not with cells.  A task holds
@@ -24,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from plumbline.functions.schema import col
+from plumbline.session import materialize
 
 # Rows of a block and of a chunk, and numbers in either, at most.
 BLOCK_ROWS = CHUNK_ROWS = 16384
@@ -140,20 +143,52 @@ def nearest(
         held, group[i] = held + n, len(n_blocks) - 1
     firsts = np.searchsorted(group, np.arange(len(n_blocks)))
 
-    def visits(qvec: np.ndarray) -> np.ndarray:
-        """Which cells each query has to look into."""
+    between, wide = _distances(used, used), (used * used).sum(1).max()
+    between[between == 0.0] = np.inf
+
+    def visits(qvec: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Which cells each query has to look into; ``limit`` is a distance that k points keep, or missing."""
         d = _distances(qvec, used)
-        reachable = (d[:, :, None] + near_pad[None, :, :]).reshape(len(d), -1)
-        kth = min(need, reachable.shape[1]) - 1
-        reachable.partition(kth, axis=1)
         slack = SLACK * (1.0 + d.max(1))
-        return d - radius[None, :] <= (reachable[:, kth] + slack)[:, None]
+        if (open_ := np.flatnonzero(~np.isfinite(limit))).size:
+            reachable = (d[open_][:, :, None] + near_pad[None, :, :]).reshape(len(open_), -1)
+            kth = min(need, reachable.shape[1]) - 1
+            reachable.partition(kth, axis=1)
+            limit = limit.copy()
+            limit[open_] = reachable[:, kth]
+        limit = (limit + slack)[:, None]
+        home = d.argmin(1)
+        gap = between[home]
+        # how far a query is from where its pivot's side ends, but for rounding
+        squares = (qvec * qvec).sum(1)[:, None] + wide + np.square(np.where(np.isfinite(limit), limit, 0.0))
+        room = 64 * np.finfo(float).eps * squares
+        plane = (d * d - np.square(d[np.arange(len(d)), home])[:, None] - room) / (2.0 * gap)
+        return (d - radius[None, :] <= limit) & (plane <= limit)
 
     def slices(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
         step = max(1, min(MESSAGE // len(n_blocks), NUMBERS // (len(ids) * need)))
         for i in range(0, len(pdf), step):
             part = pdf.iloc[i : i + step]
-            yield part, visits(_matrix(part["qvec"]))
+            limit = part["bound"].to_numpy(np.float64) if "bound" in part else np.full(len(part), np.nan)
+            yield part[["qid", "qvec"]], visits(_matrix(part["qvec"]), limit)
+
+    def homes(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        """The nearest cell alone."""
+        for i in range(0, len(pdf), MESSAGE):
+            part = pdf.iloc[i : i + MESSAGE]
+            yield part, _distances(_matrix(part["qvec"]), used).argmin(1)
+
+    def route_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(len(n_blocks), np.int64)
+        for pdf in batches:
+            for _, home in homes(pdf):
+                n += np.bincount(group[home], minlength=len(n))
+        yield pd.DataFrame({"grp": np.arange(len(n), dtype="int32"), "n": n})
+
+    def carry_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part, home in homes(pdf):
+                yield part.assign(grp=group[home].astype("int32"), cells=list(ids[home].astype("int32")[:, None]))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """How many queries look into each group of cells."""
@@ -172,30 +207,33 @@ def nearest(
                 ends = np.cumsum(np.unique(at * len(n_blocks) + group[where], return_counts=True)[1])
                 yield part.iloc[row].assign(grp=grp.astype("int32"), cells=np.split(ids[where].astype("int32"), ends)[:-1])
 
-    load = {r["grp"]: r["n"] for r in asked.mapInPandas(route, "grp int, n bigint").groupBy("grp").agg(F.sum("n").alias("n")).collect()}
-    # at most MAX_PIVOTS rows
-    chunks = [max(1, math.ceil(load.get(g, 0) / chunk_rows)) for g in range(len(n_blocks))]
     session = train.sparkSession
-    grid = session.createDataFrame([(g, b, c) for g, (b, c) in enumerate(zip(n_blocks, chunks))], "grp int, n_blocks int, n_chunks int")
     groups = session.createDataFrame([(int(c), int(g)) for c, g in zip(ids, group)], "cell int, grp int")
 
     def spread(count, column):
         return F.pmod(F.xxhash64(column), F.col(count)).cast("int")
 
-    left = (
-        placed.join(F.broadcast(groups), "cell")
-        .join(F.broadcast(grid), "grp")
-        .withColumn("block", spread("n_blocks", "id"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-        .select("grp", "block", "chunk", "cell", "id", "vec", "payload")
-    )
-    right = (
-        asked.mapInPandas(carry, f"qid {kind}, qvec array<double>, grp int, cells array<int>")
-        .join(F.broadcast(grid), "grp")
-        .withColumn("chunk", spread("n_chunks", "qid"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select("grp", "block", "chunk", "qid", "qvec", "cells")
-    )
+    def meetings(asked: DataFrame, route, carry):
+        """Blocks of points and the chunks of queries that look into them."""
+        load = {r["grp"]: r["n"] for r in asked.mapInPandas(route, "grp int, n bigint").groupBy("grp").agg(F.sum("n").alias("n")).collect()}
+        # at most MAX_PIVOTS rows
+        chunks = [max(1, math.ceil(load.get(g, 0) / chunk_rows)) for g in range(len(n_blocks))]
+        grid = session.createDataFrame([(g, b, c) for g, (b, c) in enumerate(zip(n_blocks, chunks))], "grp int, n_blocks int, n_chunks int")
+        left = (
+            placed.join(F.broadcast(groups), "cell")
+            .join(F.broadcast(grid), "grp")
+            .withColumn("block", spread("n_blocks", "id"))
+            .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+            .select("grp", "block", "chunk", "cell", "id", "vec", "payload")
+        )
+        right = (
+            asked.mapInPandas(carry, f"qid {kind}, qvec array<double>, grp int, cells array<int>")
+            .join(F.broadcast(grid), "grp")
+            .withColumn("chunk", spread("n_chunks", "qid"))
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+            .select("grp", "block", "chunk", "qid", "qvec", "cells")
+        )
+        return left.groupBy("grp", "block", "chunk").cogroup(right.groupBy("grp", "block", "chunk"))
 
     plain = np.int64 if whole else np.str_
 
@@ -248,11 +286,18 @@ def nearest(
         row, at, exact = found[0]
         return pd.DataFrame({"query": qid[row], "neighbor": pid[at], "distance": exact, "payload": extra[at]})
 
-    candidates = (
-        left.groupBy("grp", "block", "chunk")
-        .cogroup(right.groupBy("grp", "block", "chunk"))
-        .applyInPandas(best, f"query {kind}, neighbor {kind}, distance double, payload {payload_type}")
-    )
+    def kth(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        """The distance of the k-th of these points, for queries that have as many."""
+        found = best(points, queries)
+        counts = found.groupby("query", sort=False)["distance"].agg(["size", "max"])
+        counts = counts[counts["size"] == k]
+        return pd.DataFrame({"query": counts.index.to_numpy(), "bound": counts["max"].to_numpy()})
+
+    if len(ids) > 1:
+        bounds = meetings(asked, route_home, carry_home).applyInPandas(kth, f"query {kind}, bound double")
+        bounds = bounds.groupBy("query").agg(F.min("bound").alias("bound"))
+        asked = materialize(asked.join(bounds, F.col("qid") == F.col("query"), "left").drop("query"), "bounds")
+    candidates = meetings(asked, route, carry).applyInPandas(best, f"query {kind}, neighbor {kind}, distance double, payload {payload_type}")
     closest = Window.partitionBy("query").orderBy("distance", "neighbor")
     out = candidates.withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= k)
     return out.withColumnRenamed("payload", payload) if payload else out.drop("payload")

@@ -179,7 +179,8 @@ PREDICTORS: dict[str, Callable[[Fitted, DataFrame], DataFrame]] = {
 def _dealt(df: DataFrame, rows: int) -> DataFrame:
     """A model's work is far more than its rows' bytes, by which files are cut: rows go to all cores alike."""
     cores = min(df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_PER_CORE)
-    return df.repartition(cores) if cores > df.rdd.getNumPartitions() else df
+    # parts of a file may be empty, because a row group is never cut, so their number tells nothing
+    return df.repartition(max(cores, df.rdd.getNumPartitions())) if cores > 1 else df
 
 
 def _bounded_parts(df: DataFrame, rows: int, most: int) -> DataFrame:
